@@ -23,13 +23,19 @@ def edit_similarity(a: Column, b: Column, at_least: float = 0.0) -> Column:
     longest = F.greatest(F.length(na), F.length(nb))
     allowed = F.floor(longest * F.lit(1.0 - at_least)).cast("int")
     distance = F.call_function("levenshtein", na, nb, allowed) if at_least > 0 else F.levenshtein(na, nb)
+    # The one-element array lets the distance be named, so that it is worked out once.
+    share = F.transform(F.array(distance), lambda d: F.when(d < 0, F.lit(0.0)).otherwise(F.lit(1.0) - d / longest))
     return (
         F.when(longest == 0, F.lit(1.0)).when(F.least(F.length(na), F.length(nb)) == 0, F.lit(0.0)).when(na == nb, F.lit(1.0))
-        .when(F.abs(F.length(na) - F.length(nb)) > allowed, F.lit(0.0))
-        .otherwise(F.when(distance < 0, F.lit(0.0)).otherwise(F.lit(1.0) - distance / longest))
+        .when(F.abs(F.length(na) - F.length(nb)) > allowed, F.lit(0.0)).otherwise(F.element_at(share, 1))
     )
 
 
+def strip(text: Column) -> Column:
+    """Cut white space, line ends included, from both sides."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def block_similarity(a: Column, b: Column, at_least: float = 0.0) -> Column:
     """Matching-block ratio of the normalised texts; Arrow batches, for pairs already narrowed."""
     return _block_ratio(normalize_text(a), normalize_text(b))

@@ -119,7 +119,7 @@ def match_edges(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[str
     near = pairs.withColumns({"iou": overlap, "distance": distance}).where("iou >= 0.35 OR distance <= 0.25")
     near = near.withColumn("geom_score", F.greatest(F.col("iou"), F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance"))))
     alike = near.withColumn("text_score", SIMILARITIES[similarity](F.col("text"), F.col("o_text"), 0.65))
-    strong = (F.col("text_score") >= 0.999) | ((F.col("text_score") >= 0.65) & (F.col("geom_score") >= 0.70))
+    strong = F.col("text_score") >= F.when(F.col("geom_score") >= 0.70, F.lit(0.65)).otherwise(F.lit(0.999))
     return alike.where(strong).select(
         *keys, F.col("text_id").alias("layer_text_id"), F.col("o_text_id").alias("ocr_text_id"), "geom_score", "text_score",
         (0.7 * F.col("geom_score") + 0.3 * F.col("text_score")).alias("weight"),

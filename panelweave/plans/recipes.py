@@ -88,7 +88,8 @@ SELECT o_custkey AS page_id, o_orderkey AS layer_id,
        CAST((o_orderkey*7)%900 AS INT) AS rgba_elapsed_ms,
        CAST((o_orderkey*53)%900 - 60 AS INT) AS x1, CAST((o_orderkey*71)%2100 - 60 AS INT) AS y1,
        CAST((o_orderkey*53)%900 - 60 + (o_orderkey*7)%220 AS INT) AS x2, CAST((o_orderkey*71)%2100 - 60 + (o_orderkey*11)%90 AS INT) AS y2,
-       o_orderkey%13 = 0 AS is_excluded
+       o_orderkey%13 = 0 AS is_excluded,
+       CASE WHEN o_orderkey%5 = 0 THEN concat(' ', chr(13), ' ') ELSE concat('  ', o_orderpriority, chr(13), CAST(o_orderkey AS VARCHAR(20)), chr(13)) END AS layer_text
 FROM orders""",
     "layer_tree": """
 SELECT page_id, layer_id, name, CASE WHEN pos = 1 THEN NULL ELSE first_value(layer_id) OVER (PARTITION BY page_id, CAST(floor((pos-1)/4) AS BIGINT) ORDER BY pos) END AS above,
