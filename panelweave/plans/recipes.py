@@ -123,10 +123,10 @@ SELECT CAST(floor(l_orderkey/100) AS BIGINT) AS image_id, l_orderkey AS seg_a, l
        CAST((l_partkey*7)%1000 + CASE WHEN l_linenumber%2=0 THEN 0 ELSE l_partkey%9 END AS INT) AS sy2
 FROM lineitem""",
     "pixels": """
-SELECT CAST(floor(event_id/1024) AS BIGINT) AS image_id,
-       CAST(floor((event_id%1024)/32) AS INT) AS y, CAST(event_id%32 AS INT) AS x,
+SELECT CAST(floor(event_id/500) AS BIGINT) AS image_id,
+       CAST(floor((event_id%500)/20) AS INT) AS y, CAST(event_id%20 AS INT) AS x,
        CAST((event_id*13)%256 AS INT) AS b, CAST((event_id*29)%256 AS INT) AS g, CAST(CAST(floor(value) AS BIGINT)%256 AS INT) AS r,
-       CAST(floor((event_id%32)/8) + 4*floor((event_id%1024)/256) AS INT) AS label
+       CAST(floor((event_id%20)/5) + 4*floor((event_id%500)/100) AS INT) AS label
 FROM events""",
     "box_pairs": """
 SELECT pair_id, ax1, ay1, ax1 + aw AS ax2, ay1 + ah AS ay2, bx1, by1, bx1 + bw AS bx2, by1 + bh AS by2, has_quad,
