@@ -91,11 +91,11 @@ SELECT o_custkey AS page_id, o_orderkey AS layer_id,
        o_orderkey%13 = 0 AS is_excluded,
        CASE WHEN o_orderkey%5 = 0 THEN concat(' ', chr(13), ' ') ELSE concat('  ', o_orderpriority, chr(13), CAST(o_orderkey AS VARCHAR(20)), chr(13)) END AS layer_text
 FROM orders""",
+    "layer_seq": """
+SELECT o_custkey AS page_id, o_orderkey AS layer_id, o_orderpriority AS name, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS pos FROM orders""",
     "layer_tree": """
-SELECT page_id, layer_id, name, CASE WHEN pos = 1 THEN NULL ELSE first_value(layer_id) OVER (PARTITION BY page_id, CAST(floor((pos-1)/4) AS BIGINT) ORDER BY pos) END AS above,
-       pos
-FROM (SELECT o_custkey AS page_id, o_orderkey AS layer_id, o_orderpriority AS name,
-             row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos FROM orders) s""",
+SELECT c.page_id, c.layer_id, c.name, c.pos, p.layer_id AS above
+FROM layer_seq c LEFT JOIN layer_seq p ON p.page_id = c.page_id AND p.pos = CAST(floor((c.pos+2)/4) AS BIGINT) AND c.pos > 1""",
     "runs": """
 SELECT concat('run_', CAST(o_orderkey AS VARCHAR(20))) AS id, o_orderkey AS run_no,
        concat('asset_', CAST(o_custkey%400 AS VARCHAR(20)), '.psd') AS file,
