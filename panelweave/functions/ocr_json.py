@@ -62,6 +62,15 @@ def _named(v: Column, build) -> Column:
     return F.element_at(F.transform(F.array(v), build), 1)
 
 
+def _members(v: Column, keys) -> Column:
+    """Members under each of the names, in their order; null for absent ones."""
+    return F.transform(F.array(*(F.lit(f"$.{k}") for k in keys)), lambda path: F.try_variant_get(v, path, "variant"))
+
+
+def _first(values: Column) -> Column:
+    return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
+
+
 def non_blank(text: Column) -> Column:
     stripped = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
     return F.when(stripped != "", stripped)
@@ -69,7 +78,7 @@ def non_blank(text: Column) -> Column:
 
 def text_field(item: Column) -> Column:
     """First non-blank text under the known names."""
-    return F.coalesce(*(non_blank(text_of(member(item, k))) for k in TEXT_KEYS))
+    return _first(F.transform(_members(item, TEXT_KEYS), lambda v: non_blank(text_of(v))))
 
 
 def confidence(item: Column) -> Column:
@@ -78,68 +87,71 @@ def confidence(item: Column) -> Column:
         number = F.when(is_number(v) | (kind(v) == "BOOLEAN"), F.try_variant_get(v, "$", "double"))
         return F.coalesce(number, non_blank(text_of(v)).try_cast("double"))
 
-    return F.coalesce(*(value(member(item, k)) for k in CONFIDENCE_KEYS))
+    return _first(F.transform(_members(item, CONFIDENCE_KEYS), value))
+
+
+def _sql_first(v: str, keys) -> str:
+    """SQL for the member under the first name present, even if it is null there."""
+    paths = ", ".join(f"'$.{k}'" for k in keys)
+    return f"get(filter(transform(array({paths}), p -> try_variant_get({v}, p, 'variant')), m -> m IS NOT NULL), 0)"
 
 
-def _quad_of(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    return F.array(F.array(x1, y1), F.array(x2, y1), F.array(x2, y2), F.array(x1, y2))
+def _sql_named(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _first_key(v: Column, keys) -> Column:
-    """The member under the first name present, even if it is null there."""
-    return F.coalesce(*(member(v, k) for k in keys))
+def _sql_kind(v: str) -> str:
+    return f"coalesce(schema_of_variant({v}), 'MISSING')"
 
 
-def _number(v: Column, keys) -> Column:
-    found = _first_key(v, keys)
-    return F.when(is_number(found), F.try_variant_get(found, "$", "double"))
+def _sql_number(v: str, keys) -> str:
+    number = f"CASE WHEN {_sql_kind('n')} RLIKE '{NUMBER}' THEN try_variant_get(n, '$', 'double') END"
+    return _sql_named(_sql_first(v, keys), "n", number)
 
 
-def _from_corners(v: Column) -> Column:
-    x1, y1, x2, y2 = (_number(v, keys) for keys in (("x0", "left"), ("y0", "top"), ("x1", "right"), ("y1", "bottom")))
-    return F.when(x1.isNotNull() & y1.isNotNull() & x2.isNotNull() & y2.isNotNull(), _quad_of(x1, y1, x2, y2))
+def _sql_all(numbers: list[str], body: str) -> str:
+    """SQL for ``body`` over the array ``a`` of numbers, if all of them are there."""
+    return _sql_named(f"array({', '.join(numbers)})", "a", f"CASE WHEN NOT exists(a, i -> i IS NULL) THEN {body} END")
 
 
-def _from_size(v: Column) -> Column:
-    x, y, w, h = (_number(v, keys) for keys in (("x",), ("y",), ("width", "w"), ("height", "h")))
-    return F.when(x.isNotNull() & y.isNotNull() & w.isNotNull() & h.isNotNull(), _quad_of(x, y, x + w, y + h))
+_CORNER_BOX = "array(array(a[0], a[1]), array(a[2], a[1]), array(a[2], a[3]), array(a[0], a[3]))"
+_SIZED_BOX = "array(array(a[0], a[1]), array(a[0] + a[2], a[1]), array(a[0] + a[2], a[1] + a[3]), array(a[0], a[1] + a[3]))"
 
 
-def _from_points(v: Column) -> Column:
-    points = []
-    for names in CORNERS:
-        point = _first_key(v, names)
-        x, y = _number(point, ("X", "x")), _number(point, ("Y", "y"))
-        points.append(F.when(x.isNotNull() & y.isNotNull(), F.array(x, y)))
-    quad = F.array(*points)
-    return F.when(~F.exists(quad, lambda p: p.isNull()), quad)
+def _sql_corners(v: str) -> str:
+    return _sql_all([_sql_number(v, k) for k in (("x0", "left"), ("y0", "top"), ("x1", "right"), ("y1", "bottom"))], _CORNER_BOX)
 
 
-def _from_list(v: Column) -> Column:
-    flat = F.when(kind(v).rlike(r"^ARRAY<(BIGINT|DOUBLE|FLOAT|DECIMAL.*)>$"), F.try_variant_get(v, "$", "array<double>"))
-    nested = F.when(kind(v).startswith("ARRAY<ARRAY<"), F.try_variant_get(v, "$", "array<array<double>>"))
-    eight = F.array(*(F.array(F.get(flat, F.lit(2 * i)), F.get(flat, F.lit(2 * i + 1))) for i in range(4)))
-    four = _quad_of(*(F.get(flat, F.lit(i)) for i in range(4)))
-    pairs = F.transform(nested, lambda p: F.slice(p, 1, 2))
-    good = (F.size(nested) == 4) & ~F.exists(nested, lambda p: F.size(p) < 2)
-    return F.when(F.size(flat) == 8, eight).when(F.size(flat) == 4, four).when(good, pairs)
+def _sql_list(v: str) -> str:
+    """SQL for a list of eight or four numbers, or of four points."""
+    eight = "array(" + ", ".join(f"array(a[{2 * i}], a[{2 * i + 1}])" for i in range(4)) + ")"
+    flat = _sql_named(f"try_variant_get({v}, '$', 'array<double>')", "a", f"CASE WHEN size(a) = 8 THEN {eight} WHEN size(a) = 4 THEN {_CORNER_BOX} END")
+    good = "CASE WHEN size(a) = 4 AND NOT exists(a, i -> size(i) < 2) THEN transform(a, i -> slice(i, 1, 2)) END"
+    nested = _sql_named(f"try_variant_get({v}, '$', 'array<array<double>>')", "a", good)
+    return f"CASE WHEN {_sql_kind(v)} RLIKE '^ARRAY<(BIGINT|DOUBLE|FLOAT|DECIMAL.*)>$' THEN {flat} WHEN {_sql_kind(v)} LIKE 'ARRAY<ARRAY<%' THEN {nested} END"
 
 
-def _quad_value(v: Column, depth: int) -> Column:
-    def build(x: Column) -> Column:
-        shapes = [_from_points(x), _from_corners(x), _from_size(x)]
-        if depth:
-            shapes.append(_quad_value(_first_key(x, NESTED_QUAD_KEYS), depth - 1))
-        return F.when(is_object(x), F.coalesce(*shapes)).when(is_array(x), _from_list(x))
+def _sql_place(v: str, depth: int) -> str:
+    """SQL for the points of a place: named corners, edges, size, nested one, or a list."""
+    x = f"x{depth}"
+    points = [_sql_named(_sql_first(x, names), "c", _sql_all([_sql_number("c", ("X", "x")), _sql_number("c", ("Y", "y"))], "a")) for names in CORNERS]
+    shapes = [
+        _sql_named(f"array({', '.join(points)})", "q", "CASE WHEN NOT exists(q, i -> i IS NULL) THEN q END"), _sql_corners(x),
+        _sql_all([_sql_number(x, k) for k in (("x",), ("y",), ("width", "w"), ("height", "h"))], _SIZED_BOX),
+    ]
+    if depth:
+        shapes.append(_sql_place(_sql_first(x, NESTED_QUAD_KEYS), depth - 1))
+    body = f"CASE WHEN {_sql_kind(x)} LIKE 'OBJECT%' THEN coalesce({', '.join(shapes)}) ELSE {_sql_list(x)} END"
+    return _sql_named(v, x, body)
 
-    return _named(v, build)
 
+def quad(item: str) -> Column:
+    """Four points of the item in the named variant column, from any of the known shapes; null if there are none.
 
-def quad(item: Column) -> Column:
-    """Four points of an item, from any of the known shapes; null if there are none."""
-    place = _first_key(item, QUAD_KEYS)
-    nothing = place.isNull() | F.is_variant_null(place)
-    return F.when(nothing, _from_corners(item)).otherwise(_quad_value(place, 2))
+    The expression is written as SQL text, since it has some thousand parts.
+    """
+    place = f"CASE WHEN spot IS NULL OR is_variant_null(spot) THEN {_sql_corners(item)} ELSE {_sql_place('spot', 2)} END"
+    return F.expr(_sql_named(_sql_first(item, QUAD_KEYS), "spot", place))
 
 
 def quad_text(points: Column) -> Column:
@@ -167,25 +179,27 @@ def _as_items(v: Column) -> Column:
 
 def open_envelopes(responses: DataFrame, column: str = "resp") -> DataFrame:
     """Add ``status`` (ok, business_error, invalid), ``code``, ``request_id`` and the ``payload`` as JSON text."""
-    v = F.try_parse_json(F.col(column))
-    out = responses.withColumn("_v", v)
-    root = F.col("_v")
-    code, result, data, listed = (member(root, k) for k in ("code", "Result", "data", "result"))
-    code_text = F.try_variant_get(code, "$", "string")
-    failed = F.coalesce(code_text, F.lit("10000")) != "10000"
-    fields = F.from_json(F.to_json(data), "map<string,variant>")
-
-    def opened(key: Column, value: Column) -> Column:
-        return F.when(key == "detail", F.coalesce(F.try_parse_json(text_of(value)), value)).otherwise(value)
-
-    payload = (
-        F.when(is_object(result), _as_items(unwrap(member(result, "Output"))))
-        .when(is_object(data), F.to_json(F.transform_values(fields, opened)))
-        .when(is_array(listed) | is_object(listed), _as_items(listed))
-    )
-    status = F.when(failed, "business_error").when(payload.isNull(), "invalid").otherwise("ok")
-    out = out.withColumns({"status": status, "code": code_text, "request_id": request_id(root)})
-    return out.withColumn("payload", F.when(F.col("status") == "ok", payload)).drop("_v")
+    def opened(root: Column) -> Column:
+        code, result, data, listed = (member(root, k) for k in ("code", "Result", "data", "result"))
+        fields = F.from_json(F.to_json(data), "map<string,variant>")
+
+        def decoded(key: Column, value: Column) -> Column:
+            return F.when(key == "detail", F.coalesce(F.try_parse_json(text_of(value)), value)).otherwise(value)
+
+        payload = (
+            F.when(is_object(result), _named(unwrap(member(result, "Output")), _as_items))
+            .when(is_object(data), F.to_json(F.transform_values(fields, decoded)))
+            .when(is_array(listed) | is_object(listed), _as_items(listed))
+        )
+        return F.struct(F.try_variant_get(code, "$", "string").alias("code"), request_id(root).alias("request_id"), payload.alias("payload"))
+
+    def judged(read: Column) -> Column:
+        failed = F.coalesce(read["code"], F.lit("10000")) != "10000"
+        status = F.when(failed, "business_error").when(read["payload"].isNull(), "invalid").otherwise("ok")
+        return F.struct(status.alias("status"), read["code"].alias("code"), read["request_id"].alias("request_id"), F.when(status == "ok", read["payload"]).alias("payload"))
+
+    read = _named(_named(F.try_parse_json(F.col(column)), opened), judged)
+    return responses.withColumn("_read", read).select(*responses.columns, "_read.*")
 
 
 def keep_language(payload: Column, lang: str | None) -> Column:
@@ -238,11 +252,11 @@ def read_nodes(payloads: DataFrame, keys, column: str = "payload") -> DataFrame:
     """Every object of each answer with its text, confidence, points and field name, worked out once."""
     nodes = cut_lineage(json_nodes(payloads.select(*keys, column), column).drop(column))
     item = F.col("_v")
-    named = F.coalesce(*(non_blank(text_of(member(item, k))) for k in FIELD_NAMES))
-    placed = F.coalesce(*(member(item, k) for k in FIELD_QUAD_KEYS)).isNotNull()
+    named = _first(F.transform(_members(item, FIELD_NAMES), lambda v: non_blank(text_of(v))))
+    placed = F.exists(_members(item, FIELD_QUAD_KEYS), lambda v: v.isNotNull())
     return cut_lineage(nodes.withColumn("_v", F.try_parse_json("node")).select(
         *keys, "no", "parent", "key", "is_item", "lists", "node", text_field(item).alias("text"), confidence(item).alias("confidence"),
-        quad(item).alias("quad"), named.alias("name"), placed.alias("placed"),
+        quad("_v").alias("quad"), named.alias("name"), placed.alias("placed"),
     ))
 
 
@@ -310,8 +324,7 @@ def object_key(uri: Column) -> Column:
 def first_uri(resp: Column) -> Column:
     """First address in an upload answer: its ``Result``, then itself; single names before lists."""
     def of(root: Column) -> list[Column]:
-        singles = [non_blank(text_of(member(root, k))) for k in URI_KEYS]
-        return singles + [_first_listed(member(root, k)) for k in URI_LIST_KEYS]
+        return [_first(F.transform(_members(root, URI_KEYS), lambda v: non_blank(text_of(v)))), _first(F.transform(_members(root, URI_LIST_KEYS), _first_listed))]
 
     return F.coalesce(*of(member(resp, "Result")), *of(resp))
 
@@ -319,9 +332,9 @@ def first_uri(resp: Column) -> Column:
 def _first_listed(v: Column) -> Column:
     items = F.transform(
         F.when(is_array(v), F.try_variant_get(v, "$", "array<variant>")),
-        lambda i: F.coalesce(non_blank(text_of(i)), *(non_blank(text_of(member(i, k))) for k in URI_KEYS)),
+        lambda i: F.coalesce(non_blank(text_of(i)), _first(F.transform(_members(i, URI_KEYS), lambda v: non_blank(text_of(v))))),
     )
-    return F.get(F.filter(items, lambda i: i.isNotNull()), F.lit(0))
+    return _first(items)
 
 
 def json_from_text(text: Column) -> Column:

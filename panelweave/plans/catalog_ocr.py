@@ -46,7 +46,7 @@ def _(t):
        FROM (SELECT event_id, CAST(CAST(event_id%50 AS DOUBLE) AS VARCHAR) AS n, CAST(CAST(event_id%50+2 AS DOUBLE) AS VARCHAR) AS m FROM ocr_items) s""",
 )
 def _(t):
-    return items(t).select("event_id", O.quad_text(O.quad(F.col("v"))).alias("quad"))
+    return items(t).select("event_id", O.quad_text(O.quad("v")).alias("quad"))
 
 
 @query(
