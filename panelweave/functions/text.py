@@ -14,15 +14,19 @@ def normalize_text(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"(?U)\s", ""))
 
 
-def edit_similarity(a: Column, b: Column, at_least: float = 0.0) -> Column:
+def edit_similarity(a: Column, b: Column, at_least: Column | None = None) -> Column:
     """1 - edit distance / longer length of the normalised texts.
 
     Pairs that cannot reach ``at_least`` give 0, without the full distance.
     """
     na, nb = normalize_text(a), normalize_text(b)
     longest = F.greatest(F.length(na), F.length(nb))
-    allowed = F.floor(longest * F.lit(1.0 - at_least)).cast("int")
-    distance = F.call_function("levenshtein", na, nb, allowed) if at_least > 0 else F.levenshtein(na, nb)
+    least = F.lit(0.0) if at_least is None else at_least
+    allowed = F.ceil(longest * (F.lit(1.0) - least)).cast("int")
+    # A narrow band around the diagonal settles close texts at a fraction of the cost; -1 says it was too narrow.
+    tries = [F.ceil(longest * share).cast("int") for share in (0.02, 0.15)] + [allowed]
+    limited = [F.call_function("levenshtein", na, nb, F.least(k, allowed)) for k in tries]
+    distance = F.coalesce(*(F.nullif(d, F.lit(-1)) for d in limited[:-1]), limited[-1])
     # The one-element array lets the distance be named, so that it is worked out once.
     share = F.transform(F.array(distance), lambda d: F.when(d < 0, F.lit(0.0)).otherwise(F.lit(1.0) - d / longest))
     return (
@@ -36,7 +40,7 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def block_similarity(a: Column, b: Column, at_least: float = 0.0) -> Column:
+def block_similarity(a: Column, b: Column, at_least: Column | None = None) -> Column:
     """Matching-block ratio of the normalised texts; Arrow batches, for pairs already narrowed."""
     return _block_ratio(normalize_text(a), normalize_text(b))
 

@@ -110,7 +110,9 @@ def reading_order(items: DataFrame, keys: Sequence[str]) -> DataFrame:
 def match_edges(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[str], similarity: str = "blocks", cell: int = 128) -> DataFrame:
     """Pairs of a layer text and an OCR text that may be one: near, and alike.
 
-    Geometry narrows the pairs first; texts are compared only then.
+    Geometry narrows the pairs first; texts are compared only then.  Comparing
+    is the costly part, so that the pairs, of one crowded page perhaps, are
+    dealt out evenly before it.
     """
     pick = [*keys, "text_id", "text", "x1", "y1", "x2", "y2"]
     box, other = Box.named(), Box.named("o_")
@@ -118,9 +120,10 @@ def match_edges(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[str
     overlap, distance = G.iou(box, other, floor_union=False), G.center_distance(box, other)
     near = pairs.withColumns({"iou": overlap, "distance": distance}).where("iou >= 0.35 OR distance <= 0.25")
     near = near.withColumn("geom_score", F.greatest(F.col("iou"), F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance"))))
-    alike = near.withColumn("text_score", SIMILARITIES[similarity](F.col("text"), F.col("o_text"), 0.65))
-    strong = F.col("text_score") >= F.when(F.col("geom_score") >= 0.70, F.lit(0.65)).otherwise(F.lit(0.999))
-    return alike.where(strong).select(
+    near = near.withColumn("_need", F.when(F.col("geom_score") >= 0.70, F.lit(0.65)).otherwise(F.lit(0.999)))
+    near = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    alike = near.withColumn("text_score", SIMILARITIES[similarity](F.col("text"), F.col("o_text"), F.col("_need")))
+    return alike.where(F.col("text_score") >= F.col("_need")).select(
         *keys, F.col("text_id").alias("layer_text_id"), F.col("o_text_id").alias("ocr_text_id"), "geom_score", "text_score",
         (0.7 * F.col("geom_score") + 0.3 * F.col("text_score")).alias("weight"),
     )

@@ -245,7 +245,7 @@ def detected(t):
 
 
 SPLIT = f"""WITH RECURSIVE {FEATS}, {GUTTERS}, {BARS}, found AS (SELECT *, y AS ord FROM gutters UNION ALL SELECT *, 1000000+y FROM bars), {_merged('found')}, {_rescaled('merged', 'scaled')},
- tall AS (SELECT image_id, max(y)+1 AS height FROM row_profile GROUP BY image_id), {_built('scaled', 'tall')} SELECT {BAND_OUT} FROM built"""
+ tall AS (SELECT image_id, max(y)+1 AS height FROM row_profile GROUP BY image_id), {_built('scaled', 'tall')} SELECT image_id, CAST(y1 AS INT) AS y1, CAST(y2 AS INT) AS y2, round(score,9) AS score, reason FROM built"""
 
 
 def profile_bands(t):
@@ -256,7 +256,7 @@ def profile_bands(t):
 
 @query("profile_bands", SPLIT)
 def _(t):
-    return _band_out(profile_bands(t)[1])
+    return profile_bands(t)[1].select("image_id", "y1", "y2", F.round("score", 9).alias("score"), "reason")
 
 
 @query("refine_bands")
