@@ -249,8 +249,12 @@ def json_nodes(payloads: DataFrame, column: str = "payload") -> DataFrame:
 
 
 def read_nodes(payloads: DataFrame, keys, column: str = "payload") -> DataFrame:
-    """Every object of each answer with its text, confidence, points and field name, worked out once."""
-    nodes = cut_lineage(json_nodes(payloads.select(*keys, column), column).drop(column))
+    """Every object of each answer with its text, confidence, points and field name, worked out once.
+
+    Reading answers costs far more than moving them, so that they are dealt out evenly first.
+    """
+    spread = payloads.select(*keys, column).repartition(int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    nodes = json_nodes(spread, column).drop(column)
     item = F.col("_v")
     named = _first(F.transform(_members(item, FIELD_NAMES), lambda v: non_blank(text_of(v))))
     placed = F.exists(_members(item, FIELD_QUAD_KEYS), lambda v: v.isNotNull())

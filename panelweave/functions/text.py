@@ -23,10 +23,7 @@ def edit_similarity(a: Column, b: Column, at_least: Column | None = None) -> Col
     longest = F.greatest(F.length(na), F.length(nb))
     least = F.lit(0.0) if at_least is None else at_least
     allowed = F.ceil(longest * (F.lit(1.0) - least)).cast("int")
-    # A narrow band around the diagonal settles close texts at a fraction of the cost; -1 says it was too narrow.
-    tries = [F.ceil(longest * share).cast("int") for share in (0.02, 0.15)] + [allowed]
-    limited = [F.call_function("levenshtein", na, nb, F.least(k, allowed)) for k in tries]
-    distance = F.coalesce(*(F.nullif(d, F.lit(-1)) for d in limited[:-1]), limited[-1])
+    distance = F.levenshtein(na, nb) if at_least is None else F.call_function("levenshtein", na, nb, allowed)
     # The one-element array lets the distance be named, so that it is worked out once.
     share = F.transform(F.array(distance), lambda d: F.when(d < 0, F.lit(0.0)).otherwise(F.lit(1.0) - d / longest))
     return (

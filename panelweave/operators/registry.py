@@ -137,14 +137,15 @@ def normalize_script_binding(scripts: DataFrame) -> DataFrame:
 
 
 def asset_detail(panels: DataFrame, items: DataFrame, scripts: DataFrame, ui_bindings: DataFrame, notes: DataFrame) -> DataFrame:
-    """Panel cards: texts, script, binding (the script file's before the user state's) and note."""
-    texts = items.groupBy(F.col("primary_panel_id").alias("panel_id")).agg(
-        F.count(F.lit(1)).alias("text_count"), F.array_join(F.array_sort(F.collect_list("text_id")).cast("array<string>"), ",").alias("text_ids")
-    )
+    """Panel cards: text count, script, binding (the script file's before the user state's) and note.
+
+    The texts themselves, unassigned ones included, are the rows of ``texts_by_panel``.
+    """
+    texts = items.groupBy(F.col("primary_panel_id").alias("panel_id")).agg(F.count(F.lit(1)).alias("text_count"))
     out = panels.join(texts, "panel_id", "left").join(scripts.select("panel_id", "script", "binding"), "panel_id", "left")
     out = out.join(ui_bindings.select("panel_id", F.col("binding").alias("_ui")), "panel_id", "left").join(notes.select("panel_id", "note"), "panel_id", "left")
     return out.withColumns({
-        "text_count": F.coalesce("text_count", F.lit(0)), "text_ids": F.coalesce("text_ids", F.lit("")),
+        "text_count": F.coalesce("text_count", F.lit(0)),
         "script_binding": F.coalesce("binding", "_ui"), "note": F.coalesce("note", F.lit("")),
     }).drop("binding", "_ui")
 

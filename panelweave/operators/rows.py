@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.geometry import clip
 from panelweave.operators.spread import BUCKET, last_mark, true_runs, with_halo
+from panelweave.session import cut_lineage
 
 CUT_COLUMNS = ("y", "strength", "kind", "span_y1", "span_y2", "meta_e")
 
@@ -127,10 +128,11 @@ def detect_hard_lines(segments: DataFrame, keys: Sequence[str], width: int, heig
                       min_run: int = 10, half_span: int = 9) -> DataFrame:
     """Cuts at runs of rows crossed by many ruled lines, in images whose lines agree."""
     lines = long_segments(segments, width)
-    stats = orientation_stats(lines, keys, width, height).where("passes")
+    stats = cut_lineage(orientation_stats(lines, keys, width, height).where("passes"))
     lines = lines.join(stats.select(*keys), [*keys], "left_semi")
-    density = line_density(lines, keys, width, height)
+    density = cut_lineage(line_density(lines, keys, width, height))
     runs = true_runs(density, keys, "y", F.col("density") >= density_thr).where(F.col("y2") - F.col("y1") >= min_run)
+    runs = cut_lineage(runs)
     near = weighted_median(segments_in_runs(lines, runs, stats, keys), [*keys, "y1", "y2"])
     overall = weighted_median(lines, keys).withColumnRenamed("median", "_overall")
     centred = runs.join(near, [*keys, "y1", "y2"], "left").join(overall, [*keys], "left")

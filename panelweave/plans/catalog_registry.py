@@ -167,8 +167,8 @@ def _(t):
 
 @query(
     "asset_detail",
-    f"""WITH {SCRIPTS}, {BOUND}, items AS (SELECT text_id, page_id*3 AS primary_panel_id FROM texts) SELECT p.panel_id, p.page_id, CAST(coalesce(i.n,0) AS BIGINT) AS text_count, coalesce(i.ids,'') AS text_ids, b.script, coalesce(b.binding, c.c_name) AS script_binding, coalesce(s.s_name,'') AS note
-        FROM panels p LEFT JOIN (SELECT primary_panel_id AS panel_id, count(*) AS n, string_agg(CAST(text_id AS VARCHAR), ',' ORDER BY text_id) AS ids FROM items GROUP BY 1) i ON i.panel_id=p.panel_id LEFT JOIN bound b ON b.panel_id=p.panel_id
+    f"""WITH {SCRIPTS}, {BOUND}, items AS (SELECT text_id, page_id*3 AS primary_panel_id FROM texts) SELECT p.panel_id, p.page_id, CAST(coalesce(i.n,0) AS BIGINT) AS text_count, b.script, coalesce(b.binding, c.c_name) AS script_binding, coalesce(s.s_name,'') AS note
+        FROM panels p LEFT JOIN (SELECT primary_panel_id AS panel_id, count(*) AS n FROM items GROUP BY 1) i ON i.panel_id=p.panel_id LEFT JOIN bound b ON b.panel_id=p.panel_id
         LEFT JOIN customer c ON c.c_custkey=p.panel_id LEFT JOIN supplier s ON s.s_suppkey=p.panel_id""",
 )
 def _(t):

@@ -126,7 +126,7 @@ def _(t):
 
 @query(
     "texts_by_panel",
-    f"""WITH {ITEMS} SELECT page_id, coalesce(CAST(primary_panel_id AS VARCHAR),'unassigned') AS panel, CAST(count(*) AS BIGINT) AS text_count, string_agg(CAST(text_id AS VARCHAR), ',' ORDER BY text_id) AS text_ids FROM items GROUP BY 1,2""",
+    f"""WITH {ITEMS} SELECT page_id, panel, text_id, CAST(row_number() OVER (PARTITION BY page_id, panel ORDER BY text_id) AS INT) AS place FROM (SELECT page_id, coalesce(CAST(primary_panel_id AS VARCHAR),'unassigned') AS panel, text_id FROM items) s""",
 )
 def _(t):
     from panelweave.operators.packaging import texts_by_panel
