@@ -238,7 +238,10 @@ def _grown(graph: _Graph, seed: int, taken: set[int], limits: GrowLimits) -> lis
             return region
 
 
-def _regions_of(graph: _Graph, limits: GrowLimits) -> list[list[int]]:
+STAGES = ("grow", "orphans", "merge", "absorb")
+
+
+def _regions_of(graph: _Graph, limits: GrowLimits, stage: str) -> list[list[int]]:
     total = float(graph.area.sum())
     taken: dict[int, int] = {}
     regions: list[list[int]] = []
@@ -249,6 +252,9 @@ def _regions_of(graph: _Graph, limits: GrowLimits) -> list[list[int]]:
                 taken.update(dict.fromkeys(region, len(regions)))
                 regions.append(region)
 
+    if stage == "grow":
+        return regions
+
     # Left-over nodes join the region behind their lowest border, or start one.
     for n in range(len(graph.ids)):
         if n not in taken:
@@ -261,6 +267,9 @@ def _regions_of(graph: _Graph, limits: GrowLimits) -> list[list[int]]:
                 taken[n] = len(regions)
                 regions.append([n])
 
+    if stage == "orphans":
+        return regions
+
     # Alike regions without a strong border merge; a vector stays as it was when its turn began.
     changed = True
     while changed and len(regions) > 1:
@@ -275,6 +284,9 @@ def _regions_of(graph: _Graph, limits: GrowLimits) -> list[list[int]]:
                     changed = True
         regions = [r for r in regions if r]
 
+    if stage == "merge":
+        return regions
+
     # Tiny regions join the neighbour behind the lowest border, one at a time.
     least = max(1.0, total * limits.min_node_share)
     changed = True
@@ -293,11 +305,15 @@ def _regions_of(graph: _Graph, limits: GrowLimits) -> list[list[int]]:
     return regions
 
 
-def grow_regions(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], limits: GrowLimits = GrowLimits()) -> DataFrame:
+def grow_regions(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], limits: GrowLimits = GrowLimits(), stage: str = "absorb") -> DataFrame:
     """Partition each band's patches into regions: (keys, region_id, node_id).
 
-    Bands are independent and small by construction of the patch graph; each is one pandas call.
+    ``stage`` stops after growing from seeds, attaching left-over nodes, merging alike
+    regions, or, the default, absorbing tiny ones.  Bands are independent and small by
+    construction of the patch graph; each is one pandas call.
     """
+    if stage not in STAGES:
+        raise ValueError(f"stage must be one of {STAGES}")
     seeds = seed_rank(nodes, keys, limits.seeds).select(*keys, "node_id", "seed_no")
     picked = nodes.join(seeds, [*keys, "node_id"], "left").select(
         *keys, "node_id", "area", "mean_b", "mean_g", "mean_r", "embedding", F.col("seed_no").cast("double").alias("seed_no")
@@ -308,7 +324,7 @@ def grow_regions(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], limits
         if group_nodes.empty:
             return pd.DataFrame(columns=schema.names)
         graph = _Graph(group_nodes, group_edges)
-        rows = [(rid, graph.ids[n]) for rid, region in enumerate(_regions_of(graph, limits)) for n in region]
+        rows = [(rid, graph.ids[n]) for rid, region in enumerate(_regions_of(graph, limits, stage)) for n in region]
         out = pd.DataFrame(rows, columns=["region_id", "node_id"])
         for key in keys:
             out[key] = group_nodes[key].iloc[0]

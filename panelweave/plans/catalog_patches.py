@@ -152,3 +152,13 @@ def _(t):
 @query("grow_regions")
 def _(t):
     return P.grow_regions(nodes(t), t("patch_edges"), BAND)
+
+
+def _stage(key, stage):
+    query(key)(lambda t: P.grow_regions(nodes(t), t("patch_edges"), BAND, stage=stage))
+
+
+_stage("seed_regions", "grow")
+_stage("attach_orphans", "orphans")
+_stage("merge_regions", "merge")
+_stage("absorb_tiny", "absorb")

@@ -2,7 +2,10 @@
 
 import json
 import struct
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import pytest
 
@@ -11,6 +14,17 @@ from panelweave.operators import scripts
 from panelweave.sources import readers
 
 
+def test_tasks_need_no_copy_of_the_package(tmp_path):
+    root = str(Path(__file__).resolve().parents[1])
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from panelweave.session import local_session\nfrom panelweave.functions.ocr_json import json_nodes\n"
+        "spark = local_session(1)\nprint('nodes', json_nodes(spark.createDataFrame([('{\"a\":{}}',)], 'payload string')).count())\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    assert "nodes 2" in done.stdout
+
+
 def _png(path, pixels):
     height, width = len(pixels), len(pixels[0])
     raw = b"".join(b"\x00" + bytes(c for p in row for c in p) for row in pixels)

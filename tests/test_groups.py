@@ -148,3 +148,97 @@ def test_equal_boxes_leave_one(spark):
     df = spark.createDataFrame(rows, "page int, region_id int, x1 int, y1 int, x2 int, y2 int, score double, area_ratio double")
     assert sorted(r.region_id for r in regions.dedup_regions(df, ["page"]).collect()) == [0, 99]
     assert sorted(r.region_id for r in regions.select_primary(df, ["page"]).collect()) == [0, 99]
+
+
+def _grow_model(nodes, links):
+    """The rules of region growth over dicts and sets: areas, vectors and colours by node, costs by pair."""
+    area, vec = ({n[1]: n[k] for n in nodes} for k in (2, 8))
+    cost = {}
+    for _, a, b, c in links:
+        cost[a, b] = cost[b, a] = c
+    near = {n: {b for a, b in cost if a == n} for n in area}
+    total = sum(area.values())
+    salience = {n[1]: 0.45 * n[3] + 0.45 * n[4] + 0.1 * min(n[2] / total * 10, 1) for n in nodes}
+    color = {n[1]: n[5:8] for n in nodes}
+
+    def unit(group):
+        mean = [sum(vec[n][k] for n in group) / len(group) for k in range(3)]
+        size = sum(x * x for x in mean) ** 0.5
+        return [x / size for x in mean]
+
+    def cos(u, v):
+        return sum(x * y for x, y in zip(u, v)) / (sum(x * x for x in u) ** 0.5 * sum(x * x for x in v) ** 0.5)
+
+    def alike(a, b):
+        return max(0.0, 1 - sum((x - y) ** 2 for x, y in zip(color[a], color[b])) ** 0.5 / (255 * 3**0.5))
+
+    def border(g, h):
+        found = [cost[a, b] for a in g for b in h if (a, b) in cost]
+        return min(1.0, min(found)) if found else None
+
+    regions, used = [], set()
+    for seed in sorted(salience, key=lambda n: (-salience[n], n))[:8]:
+        if seed in used:
+            continue
+        group = {seed}
+        while True:
+            offers = []
+            for n in {m for g in group for m in near[g]} - group - used:
+                c, v, s = border({n}, group), max(alike(n, g) for g in group if g in near[n]), cos(vec[n], unit(group))
+                if c <= 0.46 and (s >= 0.5 or v >= 0.58):
+                    offers.append((0.55 * s + 0.3 * v - 0.35 * c, n))
+            grown = False
+            for _score, n in sorted(offers, reverse=True)[:24]:
+                if sum(area[g] for g in group) + area[n] <= 0.72 * total:
+                    group.add(n)
+                    grown = True
+            if not grown:
+                break
+        if sum(area[g] for g in group) >= 0.03 * total:
+            regions.append(group)
+            used |= group
+    for n in sorted(set(area) - used):
+        best = min(((border({n}, g), i) for i, g in enumerate(regions) if border({n}, g) is not None), default=(2, None))
+        if best[0] <= 0.46:
+            regions[best[1]].add(n)
+        else:
+            regions.append({n})
+    again = True
+    while again:
+        again = False
+        for i, g in enumerate(regions):
+            middle = unit(g) if g else None
+            for h in regions[i + 1:] if g else []:
+                if h and border(g, h) is not None and border(g, h) <= 0.3 and cos(middle, unit(h)) >= 0.78:
+                    g |= h
+                    h.clear()
+                    again = True
+        regions = [g for g in regions if g]
+    again = True
+    while again:
+        again = False
+        for i, g in enumerate(regions):
+            if len(g) >= 3 and sum(area[n] for n in g) >= 0.015 * total:
+                continue
+            best = min(((border(g, h), j) for j, h in enumerate(regions) if j != i and border(g, h) is not None), default=(2, None))
+            if best[0] < 1.0:
+                regions[best[1]] |= g
+                del regions[i]
+                again = True
+                break
+    return [sorted(g) for g in regions]
+
+
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_grow_equals_model(spark, seed):
+    nodes, edges, links = _grid(spark, seed)
+    got = {}
+    for r in patches.grow_regions(nodes, edges, ["band"]).collect():
+        got.setdefault(r.region_id, []).append(r.node_id)
+    assert [sorted(got[i]) for i in sorted(got)] == _grow_model([tuple(r) for r in nodes.collect()], links)
+
+
+def test_stages_only_ever_join_regions(spark):
+    nodes, edges, _links = _grid(spark, 6)
+    counts = [patches.grow_regions(nodes, edges, ["band"], stage=s).select("region_id").distinct().count() for s in ("orphans", "merge", "absorb")]
+    assert counts == sorted(counts, reverse=True)
