@@ -258,10 +258,15 @@ def read_nodes(payloads: DataFrame, keys, column: str = "payload") -> DataFrame:
     item = F.col("_v")
     named = _first(F.transform(_members(item, FIELD_NAMES), lambda v: non_blank(text_of(v))))
     placed = F.exists(_members(item, FIELD_QUAD_KEYS), lambda v: v.isNotNull())
-    return cut_lineage(nodes.withColumn("_v", F.try_parse_json("node")).select(
-        *keys, "no", "parent", "key", "is_item", "lists", "node", text_field(item).alias("text"), confidence(item).alias("confidence"),
-        quad("_v").alias("quad"), named.alias("name"), placed.alias("placed"),
-    ))
+    def fields(text: Column) -> Column:
+        there = text.isNotNull()
+        return F.struct(text.alias("text"), F.when(there, confidence(item)).alias("confidence"), F.when(there, quad("_v")).alias("quad"))
+
+    # Most objects hold no text; their points are never looked for.
+    read = nodes.withColumn("_v", F.try_parse_json("node")).select(
+        *keys, "no", "parent", "key", "is_item", "lists", "node", _named(text_field(item), fields).alias("_f"), named.alias("name"), placed.alias("placed")
+    )
+    return cut_lineage(read).select("*", "_f.*").drop("_f")
 
 
 def general_boxes(payloads: DataFrame, keys, column: str = "payload") -> DataFrame:
