@@ -21,9 +21,9 @@ def dialogue(t):
     )
 
 
-@query("select_texts", f"WITH {ROWS} SELECT panel_id, text_id, text FROM rows_ WHERE text_id IN (100,302,501) OR contains(trim(text),'en') OR contains(trim(text),'zu ')")
+@query("select_texts", f"WITH {ROWS} SELECT panel_id, text_id, text FROM rows_ WHERE text_id IN (100,302,501) OR contains(trim(text),'eauou') OR contains(trim(text),'zu')")
 def _(t):
-    return S.select_texts(dialogue(t), ["100", " 302 ", "501", ""], ["en", " zu . "[:0], "zu "[:3]]).select("panel_id", "text_id", "text")
+    return S.select_texts(dialogue(t), ["100", " 302 ", "501", ""], ["eauou", " ", " zu "]).select("panel_id", "text_id", "text")
 
 
 @query("bound_texts", f"WITH {ROWS}, bound AS (SELECT o_custkey AS panel_id, o_custkey*100+o_orderkey%4 AS text_id FROM orders WHERE o_orderstatus='P') SELECT panel_id, text_id FROM rows_ r WHERE (panel_id, text_id) IN (SELECT panel_id, text_id FROM bound) OR panel_id NOT IN (SELECT panel_id FROM bound)")
