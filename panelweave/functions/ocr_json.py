@@ -346,6 +346,17 @@ def _first_listed(v: Column) -> Column:
     return _first(items)
 
 
+def find_uris(responses: DataFrame, keys, column: str = "resp") -> DataFrame:
+    """Address in each upload answer: under the known names, else under the first name anywhere that holds ``uri``."""
+    known = responses.select(*keys, column, first_uri(F.try_parse_json(F.col(column))).alias("_known"))
+    nodes = json_nodes(known.where("_known IS NULL").select(*keys, column), column)
+    entries = nodes.select(*keys, "no", F.posexplode(F.map_entries(F.from_json("node", "map<string,variant>"))).alias("pos", "e"))
+    value = F.coalesce(non_blank(text_of(F.col("e.value"))), _first_listed(F.col("e.value")))
+    found = entries.where(F.contains(F.lower("e.key"), F.lit("uri"))).select(*keys, "no", "pos", value.alias("_uri")).where("_uri IS NOT NULL")
+    first = found.groupBy(*keys).agg(F.min_by("_uri", F.struct("no", "pos")).alias("_uri"))
+    return known.join(first, [*keys], "left").select(*keys, F.coalesce("_known", "_uri").alias("uri"))
+
+
 def json_from_text(text: Column) -> Column:
     """The object in a model's answer: fenced, bare, or between the outermost braces."""
     raw = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -131,14 +131,15 @@ def _(t):
     return uris(t).select("page_id", O.object_key(F.col("uri")).alias("object_key"))
 
 
-@query("first_uri", "SELECT page_id, CASE page_id%4 WHEN 3 THEN NULL ELSE concat('u', CAST(page_id AS VARCHAR)) END AS uri FROM pages")
+@query("first_uri", "SELECT page_id, CASE WHEN page_id%8=7 THEN NULL ELSE concat('u', CAST(page_id AS VARCHAR)) END AS uri FROM pages")
 def _(t):
     u = F.concat(F.lit('"u'), F.col("page_id"), F.lit('"'))
     resp = (
         F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('{"Result":{"UriList":[" ",'), u, F.lit("]}}"))).when(F.col("page_id") % 4 == 1, F.concat(F.lit('{"Uri":" ","Results":[{"StoreUri":'), u, F.lit("}]}")))
-        .when(F.col("page_id") % 4 == 2, F.concat(F.lit('{"Result":{"ImageUri":'), u, F.lit('},"Uri":"other"}'))).otherwise(F.lit('{"Result":{}}'))
+        .when(F.col("page_id") % 4 == 2, F.concat(F.lit('{"Result":{"ImageUri":'), u, F.lit('},"Uri":"other"}')))
+        .when(F.col("page_id") % 8 == 3, F.concat(F.lit('{"Result":{"z":{"myUris":[" ",'), u, F.lit(']}},"a":{"uri2":"late"}}'))).otherwise(F.lit('{"Result":{}}'))
     )
-    return t("pages").select("page_id", O.first_uri(F.try_parse_json(resp)).alias("uri"))
+    return O.find_uris(t("pages").select("page_id", resp.alias("resp")), ["page_id"])
 
 
 @query("source_route", f"""WITH {URIS}, asks AS (SELECT page_id, CASE page_id%5 WHEN 0 THEN 'file' WHEN 1 THEN 'url' ELSE 'uri' END AS dt, trim(uri) AS s, page_id%4=1 AS known FROM uris),
