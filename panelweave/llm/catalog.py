@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelweave.llm.byte_bpe import digests
+from panelweave.llm.chat_format import BRACKETS, format_chats, loss_text, read_chat
 from panelweave.llm.common import documents
+from panelweave.llm.mixture import mix_sources
+from panelweave.llm.quality_votes import judge
 from panelweave.llm.substring_dedup import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,3 +28,61 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(documents(spark, sf_dir))
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(documents(spark, sf_dir))
+
+
+@query
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op4_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judge(documents(spark, sf_dir)).select("doc_id", *counts, "base_failed", "kept", "posterior")
+
+
+@query
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(added)
+    chats = format_chats(rows).withColumn("turns", read_chat(F.col("formatted"))).withColumn("loss", loss_text(F.col("segments")))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return chats.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"), "valid",
+    )
+
+
+def _chat_sql() -> str:
+    def length(text: str) -> str:
+        parts = [f"(length({text}) - length(replace({text}, '{c}', ''))) // {len(c)}" for c in ["\\", *BRACKETS.controls()]]
+        return f"length({text}) + " + " + ".join(parts)
+
+    marks = " ".join(f"WHEN '{role}' THEN {len(t.before) + len(t.after)}" for role, t in BRACKETS.roles.items())
+    other = len(BRACKETS.other.before + BRACKETS.other.after + BRACKETS.text_mark)
+    follows = " OR ".join(f"(state = '{s}' AND role = '{r}')" for s, r in [("", "system"), ("", "user"), ("system", "user"), ("user", "assistant"), ("assistant", "user")])
+    said = "</s>[INST] ok [/INST]"
+    return f"""
+    WITH given AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL VALUES (-1, 0, 'user', '{said}'), (-1, 1, 'assistant', '{said}')),
+    rows_ AS (
+        SELECT *, coalesce(lag(role) OVER w, '') AS state, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, role DESC, text DESC) AS back
+        FROM given WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        sum({length("text")} + CASE role {marks} ELSE {other} + {length("role")} END)::BIGINT AS formatted_chars,
+        bool_and(({follows}) AND (back > 1 OR role = 'assistant')) AS valid
+    FROM rows_ GROUP BY conv_id"""
+
+
+SQL["op7_chat_format"] = _chat_sql()
