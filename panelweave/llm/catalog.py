@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelweave.llm.byte_bpe import digests
 from panelweave.llm.chat_format import BRACKETS, format_chats, loss_text, read_chat
 from panelweave.llm.common import documents
+from panelweave.llm.language_id import held_out, learn, predict
 from panelweave.llm.mixture import mix_sources
 from panelweave.llm.quality_votes import judge
 from panelweave.llm.substring_dedup import remove_repeats
@@ -86,3 +87,10 @@ def _chat_sql() -> str:
 
 
 SQL["op7_chat_format"] = _chat_sql()
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = predict(docs, learn(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

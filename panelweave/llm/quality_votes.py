@@ -81,8 +81,8 @@ def rules() -> dict[str, Column]:
     return {
         "length": vote(c("n_words") < 20, c("n_words") >= 50),
         "symbols": vote(10 * c("n_symbols") > c("n_words"), 100 * c("n_symbols") <= c("n_words")),
-        "repeats": vote(10 * c("n_repeat_words") > 2 * c("n_words"), 20 * c("n_repeat_words") <= c("n_words")),
-        "lines": vote(10 * c("n_dup_lines") > 3 * c("n_lines"), (c("n_lines") > 1) & (20 * c("n_dup_lines") <= c("n_lines"))),
+        "repeats": vote(4 * c("n_repeat_words") > c("n_words"), 20 * c("n_repeat_words") <= c("n_words")),
+        "lines": vote(2 * c("n_dup_lines") > c("n_lines"), (c("n_lines") > 1) & (20 * c("n_dup_lines") <= c("n_lines"))),
         "word_size": vote((c("word_chars") < 2 * c("n_words")) | (c("word_chars") > 15 * c("n_words")), c("word_chars").between(3 * c("n_words"), 10 * c("n_words"))),
         "capitals": vote(10 * c("n_upper") > 3 * c("n_letters"), (c("n_letters") > 0) & (10 * c("n_upper") <= c("n_letters"))),
         "marks": vote(5 * c("n_marks") > c("n_words"), 20 * c("n_marks") <= c("n_words")),
