@@ -13,6 +13,8 @@ from panelweave.llm.chat_format import BRACKETS, format_chats, loss_text, read_c
 from panelweave.llm.common import documents
 from panelweave.llm.language_id import held_out, learn, predict
 from panelweave.llm.mixture import mix_sources
+from panelweave.llm.personal_data import KINDS, spans_of
+from panelweave.llm.personal_data import learn as field_of
 from panelweave.llm.quality_votes import judge
 from panelweave.llm.substring_dedup import remove_repeats
 
@@ -94,3 +96,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     found = predict(docs, learn(docs))
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = spans_of(docs, field_of(docs))
+    told = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+    kinds = F.transform("base", lambda s: s.kind)
+    counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
+    return found.select("doc_id", *counts, F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
