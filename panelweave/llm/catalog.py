@@ -13,10 +13,12 @@ from panelweave.llm.chat_format import BRACKETS, format_chats, loss_text, read_c
 from panelweave.llm.common import documents
 from panelweave.llm.language_id import held_out, learn, predict
 from panelweave.llm.mixture import mix_sources
+from panelweave.llm.order_minhash import near_duplicates
 from panelweave.llm.personal_data import KINDS, spans_of
 from panelweave.llm.personal_data import learn as field_of
 from panelweave.llm.quality_votes import judge
 from panelweave.llm.substring_dedup import remove_repeats
+from panelweave.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,3 +108,13 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = F.transform("base", lambda s: s.kind)
     counts = [(F.size("base") - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(told(F.col("base")).cast("binary"), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
