@@ -133,7 +133,9 @@ def codec(rank_file: str, pattern: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids): token ids of each whole text, strings of special tokens being ordinary text.
+    """(doc_id, n_tokens, ids, exact): token ids of each whole text, strings of special tokens being ordinary text.
+
+    ``exact`` says whether the ids decode to the text's bytes again.
 
     ``rank_file`` must be readable at that path on every executor. A null text is encoded as an empty one and gives no
     ids. Repeated rows are each returned, other columns are ignored, an empty table gives an empty result.
@@ -142,13 +144,16 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = codec(rank_file, pattern)
         for piece in slices(batches):
-            ids = [encoder.encode(t) for t in strings(piece.column("text"))]
+            texts = strings(piece.column("text"))
+            ids = [encoder.encode(t) for t in texts]
+            exact = [encoder.decode(i) == t.encode() for i, t in zip(ids, texts)]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "ids"]
+                [piece.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())],
+                ["doc_id", "n_tokens", "ids", "exact"],
             )
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return chosen.mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>")
+    return chosen.mapInArrow(encode, "doc_id long, n_tokens long, ids array<int>, exact boolean")
 
 
 def decode_documents(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:

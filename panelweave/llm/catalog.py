@@ -17,6 +17,7 @@ from panelweave.llm.order_minhash import near_duplicates
 from panelweave.llm.personal_data import KINDS, spans_of
 from panelweave.llm.personal_data import learn as field_of
 from panelweave.llm.quality_votes import judge
+from panelweave.llm.ranked_search import search
 from panelweave.llm.substring_dedup import remove_repeats
 from panelweave.llm.token_counts import count_tokens
 
@@ -118,3 +119,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
+
+
+@query
+def op5_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    asked = docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search(asked, docs)
