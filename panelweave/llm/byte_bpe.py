@@ -33,7 +33,7 @@ class Codec:
     from which a match is not remembered.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 800_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 300_000, longest: int = 64):
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.names = {i: str(i) for i in self.tokens}

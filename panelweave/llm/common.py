@@ -37,7 +37,7 @@ def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that the texts of a piece hold about ``limit`` bytes; a longer text is a piece of its own."""
     for batch in batches:
         if not batch.num_rows:
