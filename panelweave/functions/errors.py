@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 # Words that tell passing errors from lasting ones.
 RETRY_WORDS = ("bad gateway", "gateway timeout", "timeout", "timed out", "connection reset", "connection aborted", "temporarily unavailable",
                "service unavailable", "201007", "502", "503", "504", "5xx")
-LASTING_WORDS = ("invalid parameter", "missing required", "bad request", "unauthorized", "forbidden", "not found", "invalid scene", "invalid datatype")
 PAYLOAD_WORDS = ("payload exceeds limit after urlencode", "image size exceeds maximum limit", "http status=413", "413 request entity too large")
-LASTING_TYPES = ("ValueError", "FileNotFoundError", "PermissionError", "NotImplementedError")
-NETWORK_TYPES = ("TimeoutError", "ConnectionError", "Timeout", "ReadTimeout", "ConnectTimeout")
+# Error classes and those derived from them, since an error arrives by the name of its own class.
+VALUE_TYPES = ("ValueError", "JSONDecodeError", "UnicodeError", "UnicodeDecodeError", "UnicodeEncodeError", "UnicodeTranslateError",
+               "InvalidURL", "InvalidHeader", "InvalidJSONError", "InvalidProxyURL", "InvalidSchema", "MissingSchema")
+LASTING_TYPES = (*VALUE_TYPES, "FileNotFoundError", "PermissionError", "NotImplementedError")
+NETWORK_TYPES = ("TimeoutError", "ConnectionError", "ConnectionResetError", "ConnectionAbortedError", "ConnectionRefusedError", "BrokenPipeError",
+                 "Timeout", "ReadTimeout", "ConnectTimeout", "ProxyError", "SSLError")
 ALLOWED = {"scene": ("general", "license"), "data_type": ("uri", "url", "file"), "endpoint": ("pdf", "multilang"), "language": ("zh", "ko")}
 
 
@@ -25,7 +28,7 @@ def any_word(text: Column, words) -> Column:
 def retryable(error_type: Column, status: Column, message: Column) -> Column:
     text = F.lower(message)
     return (
-        F.when(error_type == "ValueError", False).when(status.between(500, 599), True).when(status.between(400, 499), False)
+        F.when(error_type.isin(*VALUE_TYPES), False).when(status.between(500, 599), True).when(status.between(400, 499), False)
         .when(error_type.isin(*NETWORK_TYPES), True).when(any_word(text, RETRY_WORDS), True).otherwise(False)
     )
 
@@ -57,8 +60,10 @@ def model_allowed(name: Column) -> Column:
 
 
 def validate(value: Column, field: str) -> Column:
-    """``ok``, ``blank`` (a language may be) or the reason why a request's value is refused."""
+    """``ok``, ``blank`` (a language may be) or the reason why a request's value is refused; a ``url`` must begin with http(s)://."""
     v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    if field == "url":
+        return F.when(v.rlike("^https?://"), "ok").otherwise("bad url")
     blank = F.lit("blank") if field == "language" else F.lit(f"bad {field}")
     return F.when(v == "", blank).when(v.isin(*ALLOWED[field]), "ok").otherwise(f"bad {field}")
 

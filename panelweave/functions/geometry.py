@@ -196,10 +196,10 @@ def band_content_score(white_mean: Column, edge_mean: Column, edge_ref: float =
 
 
 def fit_within(width: Column, height: Column, long_edge: int, short_edge: int) -> tuple[Column, Column, Column]:
-    """(scale, width, height) so that neither edge exceeds its limit; never enlarges."""
-    scale = F.least(
+    """(scale, width, height) so that neither edge exceeds its limit; never enlarges, and leaves an image without area as it is."""
+    scale = F.when(F.least(width, height) > 0, F.least(
         F.lit(1.0), F.lit(float(long_edge)) / F.greatest(width, height), F.lit(float(short_edge)) / F.least(width, height)
-    )
+    )).otherwise(1.0)
 
     def sized(edge: Column) -> Column:
         scaled = F.greatest(F.bround(edge * scale, 0).cast("int"), F.lit(1))

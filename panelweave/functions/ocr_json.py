@@ -222,11 +222,14 @@ NODE = "no int, parent int, key string, node string, is_item boolean, lists arra
 
 
 def _walk(text: str) -> list[tuple]:
-    """Every object of a JSON tree, depth first, with its parent and the lists it holds."""
+    """Every object of a JSON tree, depth first, with its parent and the lists it holds; none if the text is no JSON."""
     if text is None:
         return []
+    try:
+        stack = [(json.loads(text), -1, "", False)]
+    except ValueError:
+        return []
     nodes: list[tuple] = []
-    stack = [(json.loads(text), -1, "", False)]
     while stack:
         value, parent, key, is_item = stack.pop()
         if isinstance(value, dict):
@@ -253,7 +256,7 @@ def read_nodes(payloads: DataFrame, keys, column: str = "payload") -> DataFrame:
 
     Reading answers costs far more than moving them, so that they are dealt out evenly first.
     """
-    spread = payloads.select(*keys, column).repartition(int(payloads.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spread = payloads.select(*keys, column).hint("rebalance")
     nodes = json_nodes(spread, column).drop(column)
     item = F.col("_v")
     named = _first(F.transform(_members(item, FIELD_NAMES), lambda v: non_blank(text_of(v))))
@@ -280,7 +283,8 @@ def general_boxes(payloads: DataFrame, keys, column: str = "payload") -> DataFra
     named = read.where(F.size(by_name) > 0).groupBy(*keys).agg(F.min(F.struct("no", F.element_at(by_name, 1)["key"].alias("key"))).alias("m"))
     # Without a list of a known name, the first list under a box name whose items hold a text.
     rank = F.array_position(F.array(*(F.lit(k) for k in QUAD_KEYS)), F.col("key"))
-    boxed = read.where(F.col("is_item") & (rank > 0)).groupBy(*keys, "parent", rank.alias("_rank"), "key").agg(F.count("text").alias("_texts"))
+    lists = read.select(*keys, F.col("no").alias("parent"), F.explode(F.transform(pure, lambda pair: pair["key"])).alias("key"))
+    boxed = read.where(F.col("is_item") & (rank > 0)).join(lists, [*keys, "parent", "key"], "left_semi").groupBy(*keys, "parent", rank.alias("_rank"), "key").agg(F.count("text").alias("_texts"))
     boxed = boxed.where("_texts > 0").groupBy(*keys).agg(F.min(F.struct("parent", "_rank", "key")).alias("q"))
     main = named.join(boxed, [*keys], "full_outer").select(
         *keys, F.coalesce("m.no", "q.parent").alias("_p"), F.coalesce("m.key", "q.key").alias("_k")

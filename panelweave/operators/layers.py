@@ -30,15 +30,16 @@ def layer_texts(layers: DataFrame, keys: Sequence[str], width: int, height: int)
 def layer_paths(tree: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Path ``name#id/...`` from the root and running number of every layer.
 
-    Each round doubles how far up a path reaches, so that a tree of depth d takes log2(d) joins.
+    Each round doubles how far up a path reaches, so that a tree of depth d takes log2(d) joins.  A round that finishes
+    no path means that the rest lie in or below a circle, which is an error.
     """
     numbered = row_numbers(tree, keys, [F.col("pos")], F.col("pos"), name="number")
     paths = cut_lineage(numbered.select(*keys, "layer_id", "number", F.col("above").alias("_up"), F.concat("name", F.lit("#"), "layer_id").alias("path")))
-    rounds = 0
-    while not paths.where("_up IS NOT NULL").isEmpty():
-        rounds += 1
-        if rounds > 10:
-            raise ValueError("layers are nested over a thousand deep, or in a circle")
+    before = None
+    while open_ := paths.where("_up IS NOT NULL").count():
+        if open_ == before:
+            raise ValueError("layers are nested in a circle")
+        before = open_
         upper = paths.select(*keys, F.col("layer_id").alias("_up"), F.col("path").alias("_head"), F.col("_up").alias("_next"))
         joined = paths.join(upper, [*keys, "_up"], "left")
         paths = cut_lineage(joined.select(*keys, "layer_id", "number", F.col("_next").alias("_up"), F.concat_ws("/", "_head", "path").alias("path")))

@@ -1,7 +1,7 @@
 """Choosing panel regions: dropping children, merging fragments, de-duplicating.
 
 Region tables hold keys, ``region_id``, a box, ``score`` and ``area_ratio``.
-Ids are unique across pages; ties follow ``region_id``, or box order and id.
+Ids are of any ordered type and unique within their keys; ties follow ``region_id``, or box order and id.
 """
 
 from __future__ import annotations
@@ -30,13 +30,14 @@ def _drop_conflicts(regions: DataFrame, keys: Sequence[str], rank: Sequence[Colu
     hollow = ranked.where(G.area(Box.named()) <= 0)
     solid = ranked.where(G.area(Box.named()) > 0)
     firsts = solid.groupBy(*keys, *boxes).agg(F.min(F.struct("_rank", "region_id", "score")).alias("f"))
-    firsts = firsts.select(*keys, *boxes, F.col("f._rank").alias("rank"), F.col("f.region_id").alias("id"), F.col("f.score").alias("s"))
+    own = F.struct(*keys, F.col("f.region_id").alias("region_id"))
+    firsts = firsts.select(*keys, *boxes, F.col("f._rank").alias("rank"), own.alias("id"), F.col("f.score").alias("s"))
     other = firsts.select(*keys, *(F.col(c).alias(f"o_{c}") for c in [*boxes, "rank", "id", "s"]))
     pairs = touching_pairs(firsts, other, keys, Box.named(), Box.named("o_"), cell, also=F.col("rank") < F.col("o_rank"))
     conflicts = pairs.where(drops(Box.named("o_"), F.col("o_s"), Box.named(), F.col("s"))).select(F.col("id").alias("hi"), F.col("o_id").alias("lo"))
     lost = suppressed(conflicts)
-    kept = firsts.join(lost, "id", "left_anti").select(F.col("id").alias("region_id"))
-    return solid.join(kept, "region_id", "left_semi").unionByName(hollow).drop("_rank")
+    kept = firsts.join(lost, "id", "left_anti").select(F.col("id").alias("_id"))
+    return solid.withColumn("_id", F.struct(*keys, "region_id")).join(kept, "_id", "left_semi").drop("_id").unionByName(hollow).drop("_rank")
 
 
 def select_primary(regions: DataFrame, keys: Sequence[str], min_area_ratio: float = 0.04, containment: float = 0.88, iou: float = 0.75) -> DataFrame:

@@ -1,5 +1,7 @@
 """Greedy choices and components, reached in rounds of joins instead of one long loop.
 
+Ids may be of any ordered type; where they are unique within a group only, a
+struct of the group's keys and the id serves as id.
 Every round is a Spark job over what is still undecided; its result goes to
 the checkpoint folder, so that a lost executor costs no more than one round.
 """
@@ -37,12 +39,12 @@ def matched(edges: DataFrame, left: str, right: str, weight: str) -> DataFrame:
     """
     open_ = cut_lineage(edges.select(left, right, weight))
     chosen = open_.limit(0)
-    best = F.max(F.struct(F.col(weight).alias("w"), (-F.col(left)).alias("l"), (-F.col(right)).alias("r")))
+    best = F.min(F.struct((-F.col(weight)).alias("w"), F.col(left).alias("l"), F.col(right).alias("r")))
     while not open_.isEmpty():
         by_left = open_.groupBy(left).agg(best.alias("top")).select(F.col("top.l").alias("l"), F.col("top.r").alias("r"), F.col("top.w").alias("w"))
         by_right = open_.groupBy(right).agg(best.alias("top")).select(F.col("top.l").alias("l"), F.col("top.r").alias("r"))
         mutual = cut_lineage(
-            by_left.join(by_right, ["l", "r"]).select((-F.col("l")).alias(left), (-F.col("r")).alias(right), F.col("w").alias(weight))
+            by_left.join(by_right, ["l", "r"]).select(F.col("l").alias(left), F.col("r").alias(right), (-F.col("w")).alias(weight))
         )
         chosen = chosen.unionByName(mutual)
         rest = open_.join(mutual.select(left), left, "left_anti").join(mutual.select(right), right, "left_anti")

@@ -16,8 +16,17 @@ BUCKET = "_bucket"
 
 
 def bucketed(df: DataFrame, keys: Sequence[str], position: Column, size: int) -> DataFrame:
-    """Add the bucket and lay rows out by it, so that all later steps share one shuffle."""
-    return df.withColumn(BUCKET, F.floor(position / F.lit(size))).repartition(*keys, BUCKET)
+    """Add the bucket and lay rows out by it, so that all later steps share one shuffle.
+
+    A bucket is one value of keys and number, which is equal to itself where a key or the position is null.
+    """
+    return df.withColumn(BUCKET, F.struct(*keys, F.floor(position / F.lit(size)).alias("_number"))).repartition(BUCKET)
+
+
+def _before(keys: Sequence[str]):
+    """All earlier buckets of a group."""
+    group = [F.col(BUCKET).getField(k) for k in keys]
+    return Window.partitionBy(*group).orderBy(F.col(BUCKET)["_number"]).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def row_numbers(
@@ -25,11 +34,10 @@ def row_numbers(
 ) -> DataFrame:
     """``row_number`` per group; ``position`` is the leading order column, ascending."""
     rows = bucketed(df, keys, position, size)
-    counts = rows.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*keys, BUCKET, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    numbered = rows.join(offsets, [*keys, BUCKET]).withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("int"))
+    counts = rows.groupBy(BUCKET).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select(BUCKET, F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(BUCKET).orderBy(*order)
+    numbered = rows.join(offsets, BUCKET).withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("int"))
     return numbered.drop(BUCKET, "_before")
 
 
@@ -49,25 +57,22 @@ def running_max(
     position must share a bucket, which any function of ``position`` gives.
     """
     rows = bucketed(df.withColumn("_value", value), keys, position, size)
-    peaks = rows.groupBy(*keys, BUCKET).agg(F.max("_value").alias("_peak"))
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    carried = peaks.select(*keys, BUCKET, F.max("_peak").over(before).alias("_carried"))
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+    peaks = rows.groupBy(BUCKET).agg(F.max("_value").alias("_peak"))
+    carried = peaks.select(BUCKET, F.max("_peak").over(_before(keys)).alias("_carried"))
+    inside = Window.partitionBy(BUCKET).orderBy(*order)
     inside = inside.rowsBetween(Window.unboundedPreceding, 0 if include_current else -1)
-    joined = rows.join(carried, [*keys, BUCKET])
+    joined = rows.join(carried, BUCKET)
     return joined.withColumn(name, F.greatest(F.max("_value").over(inside), F.col("_carried"))).drop(BUCKET, "_value", "_carried")
 
 
 def with_halo(df: DataFrame, keys: Sequence[str], position: str, before: int, after: int, size: int = 4096) -> DataFrame:
-    """Copy rows near a bucket's border into the neighbour bucket (``_own`` is false there).
+    """Copy rows near a bucket's border into all neighbour buckets within reach (``_own`` is false there).
 
     A frame of ``before`` rows back and ``after`` ahead then never leaves its bucket.
     """
-    if max(before, after) >= size:
-        raise ValueError("a frame must be shorter than a bucket")
     pos = F.col(position)
     home = F.floor(pos / F.lit(size))
-    buckets = F.array_distinct(F.array(home, F.floor((pos + before) / F.lit(size)), F.floor((pos - after) / F.lit(size))))
+    buckets = F.sequence(F.floor((pos - after) / F.lit(size)), F.floor((pos + before) / F.lit(size)))
     spread = df.withColumn("_home", home).withColumn(BUCKET, F.explode(buckets))
     return spread.withColumn("_own", F.col("_home") == F.col(BUCKET)).drop("_home")
 
@@ -80,10 +85,10 @@ def true_runs(df: DataFrame, keys: Sequence[str], position: str, flag: Column, s
     """
     pos = F.col(position)
     hits = bucketed(df.where(flag).select(*keys, position), keys, pos, size)
-    inside = Window.partitionBy(*keys, BUCKET).orderBy(position)
+    inside = Window.partitionBy(BUCKET).orderBy(position)
     pieces = (
         hits.withColumn("_island", pos - F.row_number().over(inside))
-        .groupBy(*keys, BUCKET, "_island")
+        .groupBy(BUCKET, *keys, "_island")
         .agg(F.min(position).alias("y1"), (F.max(position) + 1).alias("y2"))
     )
     at_border = (F.col("y1") % size == 0) | (F.col("y2") % size == 0)

@@ -107,7 +107,7 @@ def reading_order(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     return row_numbers(assigned, [*keys, "primary_panel_id"], [F.col("rel_y1"), F.col("rel_x1"), F.col("text_id")], F.col("rel_y1"), name="reading_no")
 
 
-def match_edges(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[str], similarity: str = "blocks", cell: int = 128) -> DataFrame:
+def match_edges(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[str], similarity: str = "edit", cell: int = 128) -> DataFrame:
     """Pairs of a layer text and an OCR text that may be one: near, and alike.
 
     Geometry narrows the pairs first; texts are compared only then.  Comparing
@@ -121,7 +121,7 @@ def match_edges(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[str
     near = pairs.withColumns({"iou": overlap, "distance": distance}).where("iou >= 0.35 OR distance <= 0.25")
     near = near.withColumn("geom_score", F.greatest(F.col("iou"), F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance"))))
     near = near.withColumn("_need", F.when(F.col("geom_score") >= 0.70, F.lit(0.65)).otherwise(F.lit(0.999)))
-    near = near.repartition(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    near = near.hint("rebalance")
     alike = near.withColumn("text_score", SIMILARITIES[similarity](F.col("text"), F.col("o_text"), F.col("_need")))
     return alike.where(F.col("text_score") >= F.col("_need")).select(
         *keys, F.col("text_id").alias("layer_text_id"), F.col("o_text_id").alias("ocr_text_id"), "geom_score", "text_score",
@@ -129,15 +129,17 @@ def match_edges(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[str
     )
 
 
-def merge_sources(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[str], similarity: str = "blocks") -> DataFrame:
+def merge_sources(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[str], similarity: str = "edit") -> DataFrame:
     """Match both sources one to one, keep what is unmatched, and renumber per page.
 
-    A match takes its text from the layer and its place from OCR.
+    A match takes its text from the layer and its place from OCR.  Ids are of any ordered type, unique within ``keys``.
     """
-    edges = cut_lineage(match_edges(layer_texts, ocr_texts, keys, similarity).select("layer_text_id", "ocr_text_id", "weight"))
+    ends = [F.struct(*keys, c).alias(c) for c in ("layer_text_id", "ocr_text_id")]
+    edges = cut_lineage(match_edges(layer_texts, ocr_texts, keys, similarity).select(*ends, "weight"))
     pairs = cut_lineage(matched(edges, "layer_text_id", "ocr_text_id", "weight"))
+    pairs = pairs.select("layer_text_id.*", F.col("ocr_text_id.ocr_text_id").alias("ocr_text_id"), "weight")
     layer = layer_texts.select(*keys, F.col("text_id").alias("layer_text_id"), F.col("text").alias("l_text"), *Box.named().aliased("l_"))
-    ocr = ocr_texts.select("text_id", F.col("text").alias("o_text"), *Box.named().aliased("o_"), "conf").withColumnRenamed("text_id", "ocr_text_id")
+    ocr = ocr_texts.select(*keys, "text_id", F.col("text").alias("o_text"), *Box.named().aliased("o_"), "conf").withColumnRenamed("text_id", "ocr_text_id")
 
     def out(df: DataFrame, status: str, text: str, box: str, conf: Column, rank: int) -> DataFrame:
         place = 0.0 if rank else -F.col("weight")
@@ -148,11 +150,11 @@ def merge_sources(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[s
             F.coalesce(*(F.col(c) for c in ("layer_text_id", "ocr_text_id") if c in df.columns)).alias("_id"),
         )
 
-    both = layer.join(pairs, "layer_text_id").join(ocr, "ocr_text_id")
+    both = layer.join(pairs, [*keys, "layer_text_id"]).join(ocr, [*keys, "ocr_text_id"])
     merged = out(both, "matched", "l_text", "o_", F.greatest(F.lit(1.0), F.col("conf")), 0)
-    alone_layer = layer.join(pairs.select("layer_text_id"), "layer_text_id", "left_anti")
+    alone_layer = layer.join(pairs.select(*keys, "layer_text_id"), [*keys, "layer_text_id"], "left_anti")
     alone_ocr = ocr_texts.select(*keys, F.col("text_id").alias("ocr_text_id"), F.col("text").alias("o_text"), *Box.named().aliased("o_"), "conf")
-    alone_ocr = alone_ocr.join(pairs.select("ocr_text_id"), "ocr_text_id", "left_anti")
+    alone_ocr = alone_ocr.join(pairs.select(*keys, "ocr_text_id"), [*keys, "ocr_text_id"], "left_anti")
     rows = merged.unionByName(out(alone_ocr, "unmatched_ocr", "o_text", "o_", F.col("conf"), 1))
     rows = rows.unionByName(out(alone_layer, "unmatched_psd", "l_text", "l_", F.lit(1.0), 2))
     return renumber(rows, keys, [F.col("_rank"), F.col("_place"), F.col("_id")]).drop("_rank", "_place", "_id")
@@ -199,8 +201,10 @@ def box_groups(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
     box = Box.named()
     wide = Box(box.x1 - F.col("gap_x"), box.y1 - F.col("gap_y"), box.x2 + F.col("gap_x"), box.y2 + F.col("gap_y"))
     links = touching_pairs(grown, _renamed(places, keys, "o_"), keys, wide, Box.named("o_"), also=F.col("text_id") < F.col("o_text_id"))
-    named = components(links.select(F.col("text_id").alias("a"), F.col("o_text_id").alias("b"))).withColumnRenamed("id", "text_id")
-    placed = places.join(named, "text_id", "left").select(*keys, "x1", "y1", "x2", "y2", F.coalesce("component", "text_id").alias("component"))
+    ends = [F.struct(*keys, F.col(c).alias("text_id")).alias(name) for c, name in (("text_id", "a"), ("o_text_id", "b"))]
+    named = components(links.select(*ends)).withColumnRenamed("id", "_id")
+    placed = places.withColumn("_id", F.struct(*keys, "text_id")).join(named, "_id", "left")
+    placed = placed.select(*keys, "x1", "y1", "x2", "y2", F.coalesce("component.text_id", "text_id").alias("component"))
     return boxes.join(placed, [*keys, "x1", "y1", "x2", "y2"])
 
 

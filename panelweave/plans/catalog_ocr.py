@@ -117,18 +117,21 @@ def _(t):
     return numbered.where(F.trim("line") != "").select("doc_id", "line_no", F.format_string("ocr_%03d", "no").alias("text_id"))
 
 
-URIS = "uris AS (SELECT page_id, CASE page_id%3 WHEN 0 THEN url WHEN 1 THEN concat(' /tos-cn-i-abc/img', CAST(page_id AS VARCHAR), '.png?x=1#y ') ELSE concat('https://h.example/tos-a-i-b', CAST(page_id AS VARCHAR), '/k/', CAST(page_id AS VARCHAR), '.pdf') END AS uri FROM pages)"
+# All given addresses, and further ones of two more shapes.
+URIS = "uris AS (SELECT page_id, 0 AS made, url AS uri FROM pages UNION ALL SELECT page_id, 1+CAST(page_id%2 AS INT), CASE page_id%2 WHEN 0 THEN concat(' /tos-cn-i-abc/img', CAST(page_id AS VARCHAR), '.png?x=1#y ') ELSE concat('https://h.example/tos-a-i-b', CAST(page_id AS VARCHAR), '/k/', CAST(page_id AS VARCHAR), '.pdf') END AS uri FROM pages)"
 
 
 def uris(t):
     page = F.col("page_id")
-    made = F.when(page % 3 == 0, F.col("url")).when(page % 3 == 1, F.concat(F.lit(" /tos-cn-i-abc/img"), page, F.lit(".png?x=1#y ")))
-    return t("pages").select("page_id", made.otherwise(F.concat(F.lit("https://h.example/tos-a-i-b"), page, F.lit("/k/"), page, F.lit(".pdf"))).alias("uri"))
+    shaped = F.when(page % 2 == 0, F.concat(F.lit(" /tos-cn-i-abc/img"), page, F.lit(".png?x=1#y ")))
+    shaped = shaped.otherwise(F.concat(F.lit("https://h.example/tos-a-i-b"), page, F.lit("/k/"), page, F.lit(".pdf")))
+    given = t("pages").select("page_id", F.lit(0).alias("made"), F.col("url").alias("uri"))
+    return given.unionByName(t("pages").select("page_id", (1 + page % 2).cast("int").alias("made"), shaped.alias("uri")))
 
 
-@query("object_key", rf"""WITH {URIS} SELECT page_id, CASE page_id%3 WHEN 0 THEN nullif(ltrim(regexp_extract(uri, '^https?://[^/?#]*([^?#]*)', 1), '/'), '') WHEN 1 THEN concat('img', CAST(page_id AS VARCHAR), '.png') ELSE concat('k/', CAST(page_id AS VARCHAR), '.pdf') END AS object_key FROM uris""")
+@query("object_key", rf"""WITH {URIS} SELECT page_id, made, CASE made WHEN 0 THEN nullif(ltrim(regexp_extract(uri, '^https?://[^/?#]*([^?#]*)', 1), '/'), '') WHEN 1 THEN concat('img', CAST(page_id AS VARCHAR), '.png') ELSE concat('k/', CAST(page_id AS VARCHAR), '.pdf') END AS object_key FROM uris""")
 def _(t):
-    return uris(t).select("page_id", O.object_key(F.col("uri")).alias("object_key"))
+    return uris(t).select("page_id", "made", O.object_key(F.col("uri")).alias("object_key"))
 
 
 @query("first_uri", "SELECT page_id, CASE WHEN page_id%8=7 THEN NULL ELSE concat('u', CAST(page_id AS VARCHAR)) END AS uri FROM pages")

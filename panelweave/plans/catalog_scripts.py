@@ -11,24 +11,28 @@ from panelweave.operators import scripts as S
 from panelweave.plans.registry import query
 
 PANEL = ["panel_id"]
-ROWS = "rows_ AS (SELECT conv_id AS panel_id, turn AS reading_no, conv_id*100+turn AS text_id, CASE WHEN (conv_id+turn)%5=0 THEN '  ' ELSE text END AS text FROM conversations)"
+# All texts of all conversations, and further blank ones.
+ROWS = "rows_ AS (SELECT conv_id AS panel_id, turn*2 AS reading_no, conv_id*1000000+turn*2 AS text_id, text FROM conversations UNION ALL SELECT conv_id, turn*2+1, conv_id*1000000+turn*2+1, '  ' FROM conversations WHERE (conv_id+turn)%5=0)"
 
 
 def dialogue(t):
-    blank = (F.col("conv_id") + F.col("turn")) % 5 == 0
-    return t("conversations").select(
-        F.col("conv_id").alias("panel_id"), F.col("turn").alias("reading_no"), (F.col("conv_id") * 100 + F.col("turn")).alias("text_id"), F.when(blank, "  ").otherwise(F.col("text")).alias("text")
-    )
+    given = t("conversations")
+
+    def rows(df, late, text):
+        place = F.col("turn") * 2 + late
+        return df.select(F.col("conv_id").alias("panel_id"), place.alias("reading_no"), (F.col("conv_id") * 1000000 + place).alias("text_id"), text.alias("text"))
+
+    return rows(given, 0, F.col("text")).unionByName(rows(given.where("(conv_id + turn) % 5 = 0"), 1, F.lit("  ")))
 
 
-@query("select_texts", f"WITH {ROWS} SELECT panel_id, text_id, text FROM rows_ WHERE text_id IN (100,302,501) OR contains(trim(text),'eauou') OR contains(trim(text),'zu')")
+@query("select_texts", f"WITH {ROWS} SELECT panel_id, text_id, text FROM rows_ WHERE text_id IN (1000000,3000004,5000002) OR contains(trim(text),'eauou') OR contains(trim(text),'zu')")
 def _(t):
-    return S.select_texts(dialogue(t), ["100", " 302 ", "501", ""], ["eauou", " ", " zu "]).select("panel_id", "text_id", "text")
+    return S.select_texts(dialogue(t), ["1000000", " 3000004 ", "5000002", ""], ["eauou", " ", " zu "]).select("panel_id", "text_id", "text")
 
 
-@query("bound_texts", f"WITH {ROWS}, bound AS (SELECT o_custkey AS panel_id, o_custkey*100+o_orderkey%4 AS text_id FROM orders WHERE o_orderstatus='P') SELECT panel_id, text_id FROM rows_ r WHERE (panel_id, text_id) IN (SELECT panel_id, text_id FROM bound) OR panel_id NOT IN (SELECT panel_id FROM bound)")
+@query("bound_texts", f"WITH {ROWS}, bound AS (SELECT o_custkey AS panel_id, o_custkey*1000000+o_orderkey%4*2 AS text_id FROM orders WHERE o_orderstatus='P') SELECT panel_id, text_id FROM rows_ r WHERE (panel_id, text_id) IN (SELECT panel_id, text_id FROM bound) OR panel_id NOT IN (SELECT panel_id FROM bound)")
 def _(t):
-    bindings = t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("panel_id"), (F.col("o_custkey") * 100 + F.col("o_orderkey") % 4).alias("text_id"))
+    bindings = t("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("panel_id"), (F.col("o_custkey") * 1000000 + F.col("o_orderkey") % 4 * 2).alias("text_id"))
     return S.bound_texts(dialogue(t), bindings, PANEL).select("panel_id", "text_id")
 
 

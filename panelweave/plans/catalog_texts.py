@@ -176,7 +176,7 @@ def _(t):
 @query(
     "text_similarity_lev",
     rf"""SELECT page_id, text_id, round(CASE WHEN na='' AND nb='' THEN 1e0 WHEN na='' OR nb='' THEN 0e0 WHEN na=nb THEN 1e0 ELSE 1e0-levenshtein({ACCENTS.format('na')}, {ACCENTS.format('nb')})/CAST(greatest(length(na),length(nb)) AS DOUBLE) END,6) AS similarity
-        FROM (SELECT page_id, text_id, lower(regexp_replace(text, '\s', '', 'g')) AS na, lower(regexp_replace(other, '\s', '', 'g')) AS nb FROM (SELECT a.doc_id AS page_id, a.doc_id*100000+a.line_no AS text_id, a.line AS text, b.line AS other FROM lines a JOIN lines b ON b.doc_id=a.doc_id AND b.line_no=a.line_no+1) s) n""",
+        FROM (SELECT page_id, text_id, lower(regexp_replace(text, '\s', '', 'g')) AS na, lower(regexp_replace(other, '\s', '', 'g')) AS nb FROM (SELECT a.doc_id AS page_id, a.doc_id*10000000+a.line_no AS text_id, a.line AS text, b.line AS other FROM lines a JOIN lines b ON b.doc_id=a.doc_id AND b.line_no=a.line_no+1) s) n""",
 )
 def _(t):
     texts = t("texts")

@@ -7,6 +7,18 @@ cuts texts: a page of dialogue is a whole document, line by line.
 
 from __future__ import annotations
 
+OCR_TEXTS = """
+SELECT doc_id AS page_id, doc_id*10000000 + line_no + 5000000*dup AS text_id,
+       CASE WHEN k % 7 = 3 THEN reverse(line) WHEN k % 3 = 0 THEN concat(' ', line, ' ')
+            WHEN k % 3 = 1 THEN line ELSE replace(line, 'e', '3') END AS text,
+       CAST(k*37 % 700 + k%7 + 3*dup + dx AS INT) AS x1, CAST(k*91 % 1900 + k%5 + 2*dup AS INT) AS y1,
+       CAST(k*37 % 700 + 40 + k*13 % 160 + k%7 + 3*dup + dx AS INT) AS x2,
+       CAST(k*91 % 1900 + 20 + k*7 % 60 + k%5 + 2*dup AS INT) AS y2,
+       0.5e0 + (k%50)/100e0 AS conf
+FROM (SELECT doc_id, line_no, line, dup, doc_id*31 + line_no*17 AS k,
+             CASE WHEN (doc_id*31 + line_no*17) % 11 = 5 THEN 300 ELSE 0 END AS dx
+      FROM {twice}) s"""
+
 RECIPES: dict[str, str | tuple[str, str]] = {
     "lines": (
         "SELECT doc_id, lang, CAST(p AS BIGINT) AS line_no, line FROM documents LATERAL VIEW posexplode(split(text, chr(10))) s AS p, line",
@@ -14,21 +26,14 @@ RECIPES: dict[str, str | tuple[str, str]] = {
         "FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS parts FROM documents)",
     ),
     "texts": """
-SELECT doc_id AS page_id, doc_id*100000 + line_no AS text_id, line AS text, line_no,
+SELECT doc_id AS page_id, doc_id*10000000 + line_no AS text_id, line AS text, line_no,
        CAST(k*37 % 700 AS INT) AS x1, CAST(k*91 % 1900 AS INT) AS y1,
        CAST(k*37 % 700 + 40 + k*13 % 160 AS INT) AS x2, CAST(k*91 % 1900 + 20 + k*7 % 60 AS INT) AS y2
 FROM (SELECT doc_id, line_no, line, doc_id*31 + line_no*17 AS k FROM lines) s""",
-    "ocr_texts": """
-SELECT doc_id AS page_id, doc_id*100000 + line_no + 50000*dup AS text_id,
-       CASE WHEN k % 7 = 3 THEN reverse(line) WHEN k % 3 = 0 THEN concat(' ', line, ' ')
-            WHEN k % 3 = 1 THEN line ELSE replace(line, 'e', '3') END AS text,
-       CAST(k*37 % 700 + k%7 + 3*dup + dx AS INT) AS x1, CAST(k*91 % 1900 + k%5 + 2*dup AS INT) AS y1,
-       CAST(k*37 % 700 + 40 + k*13 % 160 + k%7 + 3*dup + dx AS INT) AS x2,
-       CAST(k*91 % 1900 + 20 + k*7 % 60 + k%5 + 2*dup AS INT) AS y2,
-       0.5e0 + (k%50)/100e0 AS conf
-FROM (SELECT doc_id, line_no, line, dup, doc_id*31 + line_no*17 AS k,
-             CASE WHEN (doc_id*31 + line_no*17) % 11 = 5 THEN 300 ELSE 0 END AS dx
-      FROM lines CROSS JOIN (SELECT 0 AS dup UNION ALL SELECT 1 AS dup) d) s""",
+    "ocr_texts": (
+        OCR_TEXTS.format(twice="lines LATERAL VIEW explode(array(0, 1)) d AS dup"),
+        OCR_TEXTS.format(twice="(SELECT *, unnest([0, 1]) AS dup FROM lines) d"),
+    ),
     "panels": """
 SELECT CAST(floor(p_partkey/3) AS BIGINT) AS page_id, p_partkey AS panel_id,
        CAST(p_partkey*53 % 60 AS INT) AS x1, CAST((p_partkey%3)*640 AS INT) AS y1,
