@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelweave.session import shared_folder
 
@@ -49,6 +50,14 @@ def slices(batches: Iterator[pa.RecordBatch], limit: int = 2 << 20) -> Iterator[
             yield batch.slice(a, b - a)
 
 
+def thinned(rows: DataFrame, draw: str, known: int, most: int) -> DataFrame:
+    """About ``most`` of ``known`` rows, by their hash ``draw``: what a bounded sample is then ordered from.
+
+    Without it every partition would send its own ``limit`` rows to the driver.
+    """
+    return rows.where(F.pmod(F.col(draw), F.lit(max(1, known // most))) == 0)
+
+
 class WordHashes(dict):
     """Two 64-bit hashes of a word, remembered; forgets all beyond ``limit`` words."""
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import slices, strings
+from panelweave.llm.common import slices, strings, thinned
 
 SEGMENT = 128
 UNDECIDED = "und"
@@ -148,15 +148,16 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 
 
 def learn(docs: DataFrame, most_rows: int = 2000, most_languages: int = 64, pieces: int = 4, length: int = 64) -> Network:
-    """Train on at most ``most_rows`` labelled rows outside the held-out part, chosen by a hash of text, with ``pieces`` slices of each.
+    """Train on at most ``most_rows`` labelled rows outside the held-out part, chosen by a hash of id and text, with ``pieces`` slices of each.
 
     Languages beyond ``most_languages`` in the sample are left out, the rarest first.
     """
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") > 0))
-    draw = F.xxhash64("text")
+    draw = F.xxhash64("doc_id", "text")
     size = F.greatest(F.lit(1), F.octet_length("text") - length)
     cuts = [F.substring(F.col("text").cast("binary"), (1 + F.pmod(F.xxhash64(draw, F.lit(k)), size)).cast("int"), F.lit(length)) for k in range(pieces)]
-    rows = labelled.select("lang", draw.alias("draw"), *[c.alias(f"cut{k}") for k, c in enumerate(cuts)]).orderBy("draw", "lang").limit(most_rows).collect()
+    table = labelled.select("lang", draw.alias("draw"), *[c.alias(f"cut{k}") for k, c in enumerate(cuts)])
+    rows = thinned(table, "draw", docs.where(F.col("lang").isNotNull()).count(), 8 * most_rows).orderBy("draw", "lang").limit(most_rows).collect()
     counts: dict[str, int] = {}
     for r in rows:
         counts[r.lang] = counts.get(r.lang, 0) + 1

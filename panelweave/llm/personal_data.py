@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import slices, strings
+from panelweave.llm.common import slices, strings, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 4
@@ -253,10 +253,11 @@ def label_words(text: str, spans: list[list[tuple[int, int]]]) -> tuple[list[str
 
 def learn(docs: DataFrame, most_rows: int = 400, length: int = 400) -> Field:
     """A field trained on a small labelled table: at most ``most_rows`` pieces of ``length`` characters around the first
-    digit of a text, chosen by a hash of the text, labelled by the patterns."""
+    digit of a text, chosen by a hash of id and text, labelled by the patterns."""
     at = F.regexp_instr("text", F.lit(r"[0-9]"))
     piece = F.substring(F.col("text"), F.greatest(F.lit(1), at - length // 2), F.lit(length))
-    rows = docs.where(F.col("text").rlike("[0-9]")).select(F.xxhash64("text").alias("draw"), piece.alias("piece")).orderBy("draw", "piece").limit(most_rows).collect()
+    table = docs.where(F.col("text").rlike("[0-9]")).select(F.xxhash64("doc_id", "text").alias("draw"), piece.alias("piece"))
+    rows = thinned(table, "draw", docs.count(), 100 * most_rows).orderBy("draw", "piece").limit(most_rows).collect()
     labelled = [label_words(r.piece, base_spans(r.piece)) for r in rows]
     names = sorted({s for words, _ in labelled for w in words if (s := shape(w))})
     field = Field({s: k + 3 for k, s in enumerate(names)})
