@@ -26,6 +26,11 @@ from panelweave.operators.rounds import components
 
 BLOCK = 1024
 GROUP = 256
+#: Bytes of texts in one alignment group, shingles in one block of bounds, and values of one step of a sketch: long texts
+#: make groups, blocks and steps smaller, whatever their number.
+GROUP_BYTES = 4 << 20
+BLOCK_SHINGLES = 1 << 19
+STEP = 1 << 20
 FEW = 50_000
 FACTOR = 0x9E3779B97F4A7C15
 
@@ -50,6 +55,8 @@ def labelled(seq: np.ndarray) -> np.ndarray:
 def sketch_keys(marked: np.ndarray, minima: int, salts: np.ndarray) -> np.ndarray:
     """One key per salt: the ``minima`` smallest shingles under it, hashed in text order."""
     take = min(minima, len(marked))
+    if (some := max(1, STEP // len(marked))) < len(salts):
+        return np.concatenate([sketch_keys(marked, minima, salts[at : at + some]) for at in range(0, len(salts), some)])
     x = mixed(marked[None, :] ^ salts[:, None])
     least = np.sort(np.argpartition(x, take - 1, axis=1)[:, :take], axis=1) if take < len(marked) else np.broadcast_to(np.arange(take), (len(salts), take))
     keys = salts.copy()
@@ -102,23 +109,24 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, min
             for text in utf8(piece.column("text")):
                 seq = labelled(shingles(text, width, hashes))
                 keys = sketch_keys(seq, minima, salts).view(np.int64).tolist() if len(seq) else []
-                rows.append((hashlib.md5(text).digest(), keys, len(seq), np.sort((seq >> np.uint64(48)).astype("<u2")).tobytes()))
-            node, keys, n, bins = zip(*rows)
+                rows.append((hashlib.md5(text).digest(), keys, len(seq), len(text), np.sort((seq >> np.uint64(48)).astype("<u2")).tobytes()))
+            node, keys, n, size, bins = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(bins, pa.binary())],
-                ["doc_id", "node", "keys", "n", "bins"],
+                [piece.column("doc_id"), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(size, pa.int64()), pa.array(bins, pa.binary())],
+                ["doc_id", "node", "keys", "n", "bytes", "bins"],
             )
 
-    marks = kept_table(chosen.mapInArrow(mark, "doc_id long, node binary, keys array<long>, n int, bins binary"), "marks")
+    marks = kept_table(chosen.mapInArrow(mark, "doc_id long, node binary, keys array<long>, n int, bytes long, bins binary"), "marks")
     texts = chosen.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
-    held = marks.select(F.explode("keys").alias("key"), "node").distinct()
+    held = marks.select(F.explode("keys").alias("key"), "node", "n").distinct()
+    sizes = marks.select("node", "bytes").distinct()
     shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     groups = kept_table(held.join(shared, "key"), "groups")
     first = _with_lead(groups)
-    links = kept_table(_verified(first, texts, width, threshold), "links")
+    links = kept_table(_verified(first, texts, sizes, width, threshold), "links")
     parts = components(links)
     second = kept_table(_left_over(groups, parts, marks, threshold), "pairs")
-    links = links.unionByName(_verified(second, texts, width, threshold))
+    links = links.unionByName(_verified(second, texts, sizes, width, threshold))
     parts = components(links).select(F.col("id").alias("node"), "component")
     named = marks.select("doc_id", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
@@ -132,15 +140,16 @@ def _with_lead(groups: DataFrame) -> DataFrame:
     return groups.join(leads.select("key", F.col("lead.node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches the threshold; texts meet at ``a``, at most some hundred to a task group."""
+def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose alignment reaches the threshold; texts meet at ``a``, some hundred or some megabytes to a task group."""
     pairs = kept_table(pairs, "tested")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     if wanted.count() <= FEW:  # 16 bytes each: below 1 MB
         own = texts.join(F.broadcast(wanted), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
     else:
         own = texts.groupBy("node").agg(F.first("text").alias("text"))
-    sides = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts"))
+    often = F.greatest(F.count(F.lit(1)) / GROUP, F.sum("bytes") / GROUP_BYTES)
+    sides = pairs.join(sizes.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.ceil(often).alias("parts"))
     seconds = pairs.join(sides, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("node"))
     firsts = sides.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
 
@@ -173,11 +182,14 @@ def _left_over(groups: DataFrame, parts: DataFrame, marks: DataFrame, threshold:
     The bound counts 16 bits of each labelled shingle with their multiplicity, so it is never too low.
     """
     placed = groups.join(parts.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"))
-    open_ = sizes.groupBy("key").agg(F.sum("_n").alias("size"), F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_n", "component")).alias("main")).where("_parts > 1")
-    blocks = lambda n: F.ceil(n / BLOCK)
-    open_ = open_.select("key", F.col("main.component").alias("main"), blocks(F.col("size")).alias("n_all"), blocks(F.col("size") - F.col("main._n")).alias("n_left"))
-    bins = marks.groupBy("node").agg(F.first("n").alias("n"), F.first("bins").alias("bins"))
+    sizes = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_long"))
+    open_ = sizes.groupBy("key").agg(
+        F.sum("_n").alias("size"), F.sum("_long").alias("long"), F.count(F.lit(1)).alias("_parts"), F.max(F.struct("_n", "component", "_long")).alias("main")
+    ).where("_parts > 1")
+    blocks = lambda n, shingles: F.ceil(F.greatest(n / BLOCK, shingles / BLOCK_SHINGLES))
+    left = blocks(F.col("size") - F.col("main._n"), F.col("long") - F.col("main._long"))
+    open_ = open_.select("key", F.col("main.component").alias("main"), blocks(F.col("size"), F.col("long")).alias("n_all"), left.alias("n_left"))
+    bins = marks.groupBy("node").agg(F.first("bins").alias("bins"))
     rows = placed.drop("size").join(open_, "key").join(bins, "node").withColumn("aside", F.col("component") != F.col("main"))
     spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), n)
@@ -191,6 +203,8 @@ def _left_over(groups: DataFrame, parts: DataFrame, marks: DataFrame, threshold:
         aside, n = table.column("aside").to_numpy(), table.column("n").to_numpy().astype(np.int64)
         codes = [_codes(x) for x in table.column("bins").to_pylist()]
         them = np.flatnonzero(~asks)
+        if not len(them):
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
         number = {p: k for k, p in enumerate(dict.fromkeys(part))}
         of = np.array([number[p] for p in part])
         every = np.concatenate([codes[k] for k in them])

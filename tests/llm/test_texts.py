@@ -12,11 +12,11 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from panelweave.llm import catalog
+from panelweave.llm import catalog, order_minhash
 from panelweave.llm.byte_bpe import codec, decode_documents, digests, encode_documents
 from panelweave.llm.chat_format import format_chats, loss_text, read_chat
 from panelweave.llm.language_id import _backward, _forward, held_out, learn, predict, train
-from panelweave.llm.order_minhash import aligned, near_duplicates
+from panelweave.llm.order_minhash import aligned, near_duplicates, sketch_keys
 from panelweave.llm.personal_data import Field, base_spans, luhn, redact, spans_of
 from panelweave.llm.personal_data import learn as learn_field
 from panelweave.llm.ranked_search import search
@@ -188,7 +188,7 @@ def classes(rows):
     return Tally((rows[i][0], name[top(i)]) for i in range(len(rows)))
 
 
-def test_near_duplicates_are_the_components(spark):
+def test_near_duplicates_are_the_components(spark, monkeypatch):
     rng = random.Random(8)
     word = lambda: "w" + str(rng.randint(0, 900))
     rows, number = [], iter(range(10_000))
@@ -206,6 +206,16 @@ def test_near_duplicates_are_the_components(spark):
     got = near_duplicates(table(spark, rows))
     assert Tally(map(tuple, got.collect())) == classes(rows)
     assert near_duplicates(table(spark, [])).collect() == []
+    monkeypatch.setattr(order_minhash, "GROUP_BYTES", 3000)
+    monkeypatch.setattr(order_minhash, "BLOCK_SHINGLES", 700)
+    assert Tally(map(tuple, near_duplicates(table(spark, rows)).collect())) == classes(rows)
+
+
+def test_sketches_are_alike_in_steps(monkeypatch):
+    marked, salts = np.random.default_rng(4).integers(0, 1 << 62, 500).astype(np.uint64), np.arange(1, 25, dtype=np.uint64)
+    whole = sketch_keys(marked, 5, salts)
+    monkeypatch.setattr(order_minhash, "STEP", 1700)
+    assert (sketch_keys(marked, 5, salts) == whole).all()
 
 
 def test_alignment_equals_the_table():
