@@ -118,30 +118,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, min
 
     marks = kept_table(chosen.mapInArrow(mark, "doc_id long, node binary, keys array<long>, n int, bytes long, bins binary"), "marks")
     texts = chosen.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
-    held = marks.select(F.explode("keys").alias("key"), "node", "n").distinct()
-    sizes = marks.select("node", "bytes").distinct()
+    held = marks.select(F.explode("keys").alias("key"), "node", "n", "bytes").distinct()
     shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     groups = kept_table(held.join(shared, "key"), "groups")
-    first = _with_lead(groups)
-    links = kept_table(_verified(first, texts, sizes, width, threshold), "links")
-    parts = components(links)
+    parts = components(kept_table(_verified(_with_lead(groups), texts, width, threshold), "links"))
     second = kept_table(_left_over(groups, parts, marks, threshold), "pairs")
-    links = links.unionByName(_verified(second, texts, sizes, width, threshold))
-    parts = components(links).select(F.col("id").alias("node"), "component")
-    named = marks.select("doc_id", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lowest = named.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    return named.join(lowest, "component").select("doc_id", "class_id")
+    if not second.isEmpty():
+        found = _verified(second, texts, width, threshold)
+        parts = components(found.unionByName(parts.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    lowest = marks.groupBy("node").agg(F.min("doc_id").alias("lowest")).join(parts.withColumnRenamed("id", "node"), "node", "left")
+    lowest = lowest.withColumn("component", F.coalesce("component", "node"))
+    named = lowest.join(lowest.groupBy("component").agg(F.min("lowest").alias("class_id")), "component")
+    return marks.select("doc_id", "node").join(named.select("node", "class_id"), "node").select("doc_id", "class_id")
 
 
 def _with_lead(groups: DataFrame) -> DataFrame:
-    """(a, b): every member of a group with the member that has most company in all its groups."""
+    """(a, b, bytes): every member of a group, and its length, with the member that has most company in all its groups."""
     company = groups.groupBy("node").agg(F.sum("size").alias("company"))
     leads = groups.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("lead"))
-    return groups.join(leads.select("key", F.col("lead.node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
+    return groups.join(leads.select("key", F.col("lead.node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b"), "bytes").distinct()
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, width: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose alignment reaches the threshold; texts meet at ``a``, some hundred or some megabytes to a task group."""
+def _verified(pairs: DataFrame, texts: DataFrame, width: int, threshold: float) -> DataFrame:
+    """The pairs (a, b) of (a, b, bytes) whose alignment reaches the threshold; texts meet at ``a``, some hundred or some megabytes to a task group."""
     pairs = kept_table(pairs, "tested")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     if wanted.count() <= FEW:  # 16 bytes each: below 1 MB
@@ -149,7 +148,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, width: int,
     else:
         own = texts.groupBy("node").agg(F.first("text").alias("text"))
     often = F.greatest(F.count(F.lit(1)) / GROUP, F.sum("bytes") / GROUP_BYTES)
-    sides = pairs.join(sizes.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.ceil(often).alias("parts"))
+    sides = pairs.groupBy("a").agg(F.ceil(often).alias("parts"))
     seconds = pairs.join(sides, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("node"))
     firsts = sides.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("a").alias("node"))
 
@@ -177,7 +176,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, sizes: DataFrame, width: int,
 
 
 def _left_over(groups: DataFrame, parts: DataFrame, marks: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): pairs of one group but different components that could reach the threshold by an upper bound on matches.
+    """(a, b, bytes of b): pairs of one group but different components that could reach the threshold by an upper bound on matches.
 
     The bound counts 16 bits of each labelled shingle with their multiplicity, so it is never too low.
     """
@@ -191,27 +190,29 @@ def _left_over(groups: DataFrame, parts: DataFrame, marks: DataFrame, threshold:
     open_ = open_.select("key", F.col("main.component").alias("main"), blocks(F.col("size"), F.col("long")).alias("n_all"), left.alias("n_left"))
     bins = marks.groupBy("node").agg(F.first("bins").alias("bins"))
     rows = placed.drop("size").join(open_, "key").join(bins, "node").withColumn("aside", F.col("component") != F.col("main"))
-    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), n)
-    shape = ["key", "node", "component", "n", "bins", "aside"]
-    asked = rows.where("aside").select(*shape, F.lit(True).alias("asks"), own(F.col("n_left")).alias("i"), spread(F.col("n_all")).alias("j"))
-    held = rows.select(*shape, F.lit(False).alias("asks"), spread(F.col("n_left")).alias("i"), own(F.col("n_all")).alias("j"))
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    place = lambda asks, i, j: F.struct(F.lit(asks).alias("asks"), i.alias("i"), j.alias("j"))
+    asked = F.when(F.col("aside"), F.transform(every(F.col("n_all")), lambda j: place(True, own(F.col("n_left")), j)))
+    held = F.transform(every(F.col("n_left")), lambda i: place(False, i, own(F.col("n_all"))))
+    places = F.concat(held, F.coalesce(asked, F.slice(held, 1, 0)))
+    dealt = rows.select("key", "node", "component", "n", "bytes", "bins", "aside", F.explode(places).alias("place"))
 
     def bound(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy()
-        node, part = table.column("node").to_pylist(), table.column("component").to_pylist()
+        node, part, long = (table.column(c).to_pylist() for c in ("node", "component", "bytes"))
         aside, n = table.column("aside").to_numpy(), table.column("n").to_numpy().astype(np.int64)
         codes = [_codes(x) for x in table.column("bins").to_pylist()]
         them = np.flatnonzero(~asks)
         if not len(them):
-            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary()), "bytes": pa.array([], pa.int64())})
         number = {p: k for k, p in enumerate(dict.fromkeys(part))}
         of = np.array([number[p] for p in part])
         every = np.concatenate([codes[k] for k in them])
         whose = np.repeat(np.arange(len(them)), [len(codes[k]) for k in them])
         order = np.argsort(every, kind="stable")
         every, whose = every[order], whose[order]
-        left, right = [], []
+        left, right, size_of = [], [], []
         for q in np.flatnonzero(asks):
             a, b = np.searchsorted(every, codes[q], "left"), np.searchsorted(every, codes[q], "right")
             size = b - a
@@ -222,9 +223,11 @@ def _left_over(groups: DataFrame, parts: DataFrame, marks: DataFrame, threshold:
                 if not aside[k] or node[q] < node[k]:
                     left.append(node[q])
                     right.append(node[k])
-        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
+                    size_of.append(long[k])
+        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary()), "bytes": pa.array(size_of, pa.int64())})
 
-    return asked.unionByName(held).groupBy("key", "i", "j").applyInArrow(_hintless(bound), "a binary, b binary").distinct()
+    found = dealt.select("*", "place.*").drop("place").groupBy("key", "i", "j")
+    return found.applyInArrow(_hintless(bound), "a binary, b binary, bytes long").distinct()
 
 
 def _hintless(fn):
