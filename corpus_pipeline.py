@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 from panelweave.llm.byte_bpe import encode_documents
 from panelweave.llm.common import documents, kept_table
 from panelweave.llm.language_id import UNDECIDED, learn, predict
-from panelweave.llm.mixture import mix_sources
+from panelweave.llm.mixture import mix_sources, word_count
 from panelweave.llm.order_minhash import near_duplicates
 from panelweave.llm.personal_data import learn as learn_field
 from panelweave.llm.personal_data import redact, spans_of
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.35
+MIX_SEED = 23
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +46,19 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them: words taken over size, rounded; rows of one id share alike."""
+    """Documents as often as the mix takes them: words taken over size, whole copies and one more by chance for what is left.
+
+    The chance is a seeded hash of the row, so a source of long documents, each taken at the same ratio, keeps its share
+    of words. Rows equal in all columns are one row with a number.
+    """
     docs = docs.select(*COLUMNS)
-    taken = mix_sources(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times"))
-    often = docs.join(taken.where("_times > 0"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    keys = {"doc_id": "_id", "source": "_source", "size": "_words"}
+    taken = mix_sources(docs).where("taken > 0").groupBy(*[F.col(k).alias(v) for k, v in keys.items()]).agg((F.sum("taken") / F.sum("size")).alias("_ratio"))
+    rows = docs.groupBy(*COLUMNS).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_size", word_count("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_words"))
+    due = F.col("_rows") * F.col("_ratio")
+    chance = F.pmod(F.xxhash64(F.lit(MIX_SEED), *COLUMNS), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    often = rows.join(taken, same).withColumn("_times", (F.floor(due) + (chance < due - F.floor(due)).cast("long")).cast("int")).where("_times > 0")
     return often.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*COLUMNS)
 
 

@@ -17,6 +17,11 @@ from panelweave.llm.common import WORD, kept_table
 BLOCKS_PER_SHARD = 512
 
 
+def word_count(text: str) -> Column:
+    """Words of a text column; null has none."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def highest_quotients(votes: DataFrame, keys: list[str], vote: str, seats: str, order: list[Column]) -> DataFrame:
     """Add ``quota``: seats by Sainte-Laguë within ``keys``, ties by ``order``.
 
@@ -69,8 +74,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
     their own; rows equal in id and size are interchangeable, so a rerun gives the same result. Other columns are
     ignored; an empty table gives an empty result. ``weights`` must be positive.
     """
-    words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = kept_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size")), "sizes")
+    sizes = kept_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size")), "sizes")
     sources = source_targets(sizes, weights, most)
     shards_of = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs))
     n_shards, whole = sources.agg(F.sum(shards_of), F.sum("target")).first()

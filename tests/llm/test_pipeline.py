@@ -38,3 +38,20 @@ class _Row:
 
 def test_run_reads_documents(spark):
     assert corpus_pipeline.run(spark, FOLDER).columns == ["doc_id", "n_tokens", "ids", "exact"]
+
+
+def test_mix_keeps_the_share_of_sources_of_long_documents(spark):
+    text = lambda d, n: " ".join(f"w{d}x{k}" for k in range(n))
+    rows = [(d, text(d, 380 + d % 40), "en", source, 0) for d, source in enumerate(["a", "b", "c"] * 150)]
+    rows += [(None, text(d, 400), "en", "b", 0) for d in range(1000, 1150)]
+    rows += [(None, "same words " * 200, "en", "c", 0)] * 100
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.mix(spark, docs, FOLDER).collect()
+    assert {(r.doc_id, r.text) for r in kept} <= {(r[0], r[1]) for r in rows}
+    words = Tally()
+    for r in kept:
+        words[r.source] += len(r.text.split())
+    target = {r.source: r.target for r in mix_sources(docs).select("source", "target").distinct().collect()}
+    assert set(target) == {"a", "b", "c"} and all(abs(words[s] / t - 1) < 0.2 for s, t in target.items())
+    without = [r for r in kept if r.doc_id is None and r.source == "b"]
+    assert 0 < len({r.text for r in without}) and corpus_pipeline.mix(spark, docs.repartition(3), FOLDER).count() == len(kept)
