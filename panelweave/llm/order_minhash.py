@@ -2,7 +2,8 @@
 
 A text is its sequence of word shingles, each labelled with its occurrence. A sketch takes the few labelled shingles
 that a seeded hash makes smallest and keeps them in text order, so it is shared only by texts that hold them in the same
-order. Texts that share a sketch are candidates. Two texts are linked if a banded alignment of their shingle sequences
+order. Texts that share a sketch are candidates. Of few shingles the smallest are no sample, so short texts are found by
+exact keys: their sequences with as many shingles left out as a partner of them may lack. Two texts are linked if a banded alignment of their shingle sequences
 matches at least ``threshold`` of both together (matched / (both - matched), the order-keeping form of Jaccard).
 
 Equal texts count as one. In each group of one sketch all members are first compared with the member that shares most
@@ -15,6 +16,9 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,8 @@ GROUP_BYTES = 4 << 20
 BLOCK_SHINGLES = 1 << 19
 STEP = 1 << 20
 FEW = 50_000
+#: Exact keys of one text at most: for threshold 0.8 texts of up to 13 shingles have them.
+EXACT = 128
 FACTOR = 0x9E3779B97F4A7C15
 
 
@@ -65,6 +71,47 @@ def sketch_keys(marked: np.ndarray, minima: int, salts: np.ndarray) -> np.ndarra
     return keys
 
 
+@lru_cache
+def exact_plan(n: int, threshold: float) -> tuple[tuple[int, int], ...]:
+    """(left out, fewest left out) of the exact keys of ``n`` shingles.
+
+    Two texts that share m shingles in order and leave out d and e of theirs are linked if d + e is at most
+    m (1 - threshold) / threshold. They meet in the key of the m shingles and of the smaller of d and e; who leaves out
+    just that many is a centre there, and is linked to everybody else of that key.
+    """
+    plan = []
+    for out in range(int(n * (1 - threshold) + 1e-9) + 1):
+        both = int((n - out) * (1 - threshold) / threshold + 1e-9)
+        plan += [(out, least) for least in range(out + 1) if out + least <= both]
+    return tuple(plan)
+
+
+@lru_cache
+def exact_limit(threshold: float) -> int:
+    """Texts of so many shingles have exact keys: all up to the first number that would need more than ``EXACT``."""
+    n = 0
+    while n < 2 * EXACT and sum(comb(n + 1, out) for out, _ in exact_plan(n + 1, threshold)) <= EXACT:
+        n += 1
+    return n
+
+
+@lru_cache
+def _left_in(n: int, out: int) -> np.ndarray:
+    return np.array(list(combinations(range(n), n - out)), np.int64).reshape(-1, n - out)
+
+
+def exact_keys(seq: np.ndarray, threshold: float) -> tuple[list[int], list[int]]:
+    """Keys of a short text: those whose centre it is, and the others."""
+    centre, others = [], []
+    for out, least in exact_plan(len(seq), threshold):
+        chosen = seq[_left_in(len(seq), out)]
+        keys = np.full(len(chosen), least + 1, np.uint64)
+        for k in range(chosen.shape[1]):
+            keys = mixed(keys * np.uint64(FACTOR) + chosen[:, k])
+        (centre if out == least else others).extend(keys.view(np.int64).tolist())
+    return centre, others
+
+
 def needed(threshold: float, n1: int | np.ndarray, n2: int | np.ndarray) -> int | np.ndarray:
     """Matches that two sequences must reach; a hair below, against rounding."""
     return threshold / (1 + threshold) * (n1 + n2) - 1e-9
@@ -94,32 +141,41 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, minima: int = 5, sketches: int = 24, seed: int = 11) -> DataFrame:
     """(doc_id, class_id): one row per row of ``docs``; a class is named by its smallest doc_id.
 
-    Classes are the components of links, equal texts being linked always. A pair of similarity s shares a sketch with
-    probability about 1 - (1 - s^minima)^sketches, 0.9999 for 0.8 and the defaults. Null texts are empty; empty texts
+    Classes are the components of links, equal texts being linked always. Pairs of texts of up to 13 shingles are all
+    found by exact keys (for threshold 0.8, see ``exact_limit``). Of other pairs, one with m of u shingles in common
+    shares a sketch with probability 1 - (1 - C(m, minima) / C(u, minima))^sketches, which is about
+    1 - (1 - s^minima)^sketches for long texts of similarity s: 0.9999 for 0.8 and the defaults, and 0.9994 for the least
+    of them, 12 of 15. Null texts are empty; empty texts
     are equal to each other. A null id belongs to the class of its text and names it only if all its ids are null.
     Repeated rows are each returned, other columns are ignored, an empty table gives an empty result.
     """
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     salts = mixed(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(FACTOR) + np.uint64(seed))
+    short = exact_limit(threshold)
+    needs_sketch = threshold * (short + 1) - 1e-9  # below, no text without exact keys can be near enough
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for piece in slices(batches):
             rows = []
             for text in utf8(piece.column("text")):
-                seq = labelled(shingles(text, width, hashes))
-                keys = sketch_keys(seq, minima, salts).view(np.int64).tolist() if len(seq) else []
-                rows.append((hashlib.md5(text).digest(), keys, len(seq), len(text), np.sort((seq >> np.uint64(48)).astype("<u2")).tobytes()))
-            node, keys, n, size, bins = zip(*rows)
+                plain = shingles(text, width, hashes)
+                seq = labelled(plain)
+                keys, others = exact_keys(plain, threshold) if 0 < len(seq) <= short else ([], [])
+                if len(seq) and len(seq) >= needs_sketch:
+                    keys = keys + sketch_keys(seq, minima, salts).view(np.int64).tolist()
+                rows.append((hashlib.md5(text).digest(), keys, others, len(seq), len(text), np.sort((seq >> np.uint64(48)).astype("<u2")).tobytes()))
+            node, keys, others, n, size, bins = zip(*rows)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id"), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(size, pa.int64()), pa.array(bins, pa.binary())],
-                ["doc_id", "node", "keys", "n", "bytes", "bins"],
+                [piece.column("doc_id"), pa.array(node, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(others, pa.list_(pa.int64())), pa.array(n, pa.int32()), pa.array(size, pa.int64()), pa.array(bins, pa.binary())],
+                ["doc_id", "node", "keys", "others", "n", "bytes", "bins"],
             )
 
-    marks = kept_table(chosen.mapInArrow(mark, "doc_id long, node binary, keys array<long>, n int, bytes long, bins binary"), "marks")
+    marks = kept_table(chosen.mapInArrow(mark, "doc_id long, node binary, keys array<long>, others array<long>, n int, bytes long, bins binary"), "marks")
     texts = chosen.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
-    held = marks.select(F.explode("keys").alias("key"), "node", "n", "bytes").distinct()
-    shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    told = lambda keys, centre: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(centre).alias("centre")))
+    held = marks.select(F.explode(F.concat(told("keys", True), told("others", False))).alias("at"), "node", "n", "bytes").select("at.key", "at.centre", "node", "n", "bytes").distinct()
+    shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("centre").alias("_led")).where("size > 1 and _led").drop("_led")
     groups = kept_table(held.join(shared, "key"), "groups")
     parts = components(kept_table(_verified(_with_lead(groups), texts, width, threshold), "links"))
     second = kept_table(_left_over(groups, parts, marks, threshold), "pairs")
@@ -133,9 +189,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, min
 
 
 def _with_lead(groups: DataFrame) -> DataFrame:
-    """(a, b, bytes): every member of a group, and its length, with the member that has most company in all its groups."""
+    """(a, b, bytes): every member of a group, and its length, with the member, a centre, that has most company in all its groups."""
     company = groups.groupBy("node").agg(F.sum("size").alias("company"))
-    leads = groups.join(company, "node").groupBy("key").agg(F.max(F.struct("company", "node")).alias("lead"))
+    leads = groups.join(company, "node").groupBy("key").agg(F.max(F.struct("centre", "company", "node")).alias("lead"))
     return groups.join(leads.select("key", F.col("lead.node").alias("a")), "key").where("a <> node").select("a", F.col("node").alias("b"), "bytes").distinct()
 
 

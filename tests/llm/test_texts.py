@@ -16,7 +16,7 @@ from panelweave.llm import catalog, order_minhash
 from panelweave.llm.byte_bpe import codec, decode_documents, digests, encode_documents
 from panelweave.llm.chat_format import format_chats, loss_text, read_chat
 from panelweave.llm.language_id import _backward, _forward, held_out, learn, predict, train
-from panelweave.llm.order_minhash import aligned, near_duplicates, sketch_keys
+from panelweave.llm.order_minhash import aligned, exact_keys, exact_limit, near_duplicates, needed, sketch_keys
 from panelweave.llm.personal_data import Field, base_spans, luhn, redact, spans_of
 from panelweave.llm.personal_data import learn as learn_field
 from panelweave.llm.ranked_search import search
@@ -211,6 +211,41 @@ def test_near_duplicates_are_the_components(spark, monkeypatch):
     assert Tally(map(tuple, near_duplicates(table(spark, rows)).collect())) == classes(rows)
 
 
+def test_near_duplicates_of_short_texts(spark):
+    rng = random.Random(12)
+    words = lambda n: [f"u{rng.randint(0, 10**9)}" for _ in range(n)]
+    rows, number = [], iter(range(10_000))
+    for n in range(4, 19):
+        for _ in range(8):
+            base = words(n)
+            for near in (base, base + words(1), words(1) + base, base[:-1] + words(1), words(1) + base + words(1)):
+                rows.append((next(number), " ".join(near), "s"))
+    rows += [(next(number), " ".join(["t1 t2 t3 t4 t5 t6 t7 t8", *words(1)]), "s") for _ in range(50)]
+    assert Tally(map(tuple, near_duplicates(table(spark, rows)).collect())) == classes(rows)
+
+
+def test_exact_keys_are_shared_by_all_near_sequences():
+    rng = random.Random(13)
+    assert exact_limit(0.8) == 13 and exact_limit(0.5) >= 6 and exact_limit(1.0) > 13
+    for threshold, most in ((0.8, 13), (0.5, exact_limit(0.5))):
+        met = 0
+        for _ in range(3000):
+            a = [rng.randint(0, 6) for _ in range(rng.randint(1, most))]
+            b = list(a)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randint(0, len(b))
+                b[at : at + rng.randint(0, 1)] = [rng.randint(0, 6)] * rng.randint(0, 1)
+            if not 0 < len(b) <= most:
+                continue
+            a_, b_ = np.array(a, np.uint64), np.array(b, np.uint64)
+            near = aligned(a_, b_, 40) >= needed(threshold, len(a), len(b))
+            (own, others), (own_, others_) = exact_keys(a_, threshold), exact_keys(b_, threshold)
+            shared = set(own) & {*own_, *others_} or set(own_) & {*others}
+            assert bool(shared) == near
+            met += near
+        assert met > 500
+
+
 def test_sketches_are_alike_in_steps(monkeypatch):
     marked, salts = np.random.default_rng(4).integers(0, 1 << 62, 500).astype(np.uint64), np.arange(1, 25, dtype=np.uint64)
     whole = sketch_keys(marked, 5, salts)
