@@ -12,7 +12,7 @@ from panelweave.llm.byte_bpe import encode_documents
 from panelweave.llm.common import documents, kept_table
 from panelweave.llm.language_id import UNDECIDED, learn, predict
 from panelweave.llm.mixture import mix_sources, word_count
-from panelweave.llm.order_minhash import near_duplicates
+from panelweave.llm.order_minhash import digest, near_classes
 from panelweave.llm.personal_data import learn as learn_field
 from panelweave.llm.personal_data import redact, spans_of
 
@@ -29,13 +29,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each near-duplicate class; repeated rows of it count once.
+    """The document of smallest id, then smallest digest of its text, of each near-duplicate class; repeated rows of it count once.
 
     A null id stays only where its class has no other id.
     """
     docs = docs.select(*COLUMNS)
-    classes = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(classes, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("first")
+    kept = near_classes(docs).groupBy("component").agg(first).select(F.col("first.doc_id").alias("_kept"), F.col("first.node").alias("_node"))
+    told = docs.withColumn("_digest", digest("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("_node"))
+    return told.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

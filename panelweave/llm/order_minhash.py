@@ -22,7 +22,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelweave.llm.common import WordHashes, kept_table, mixed, slices, utf8, window_hashes
@@ -149,6 +149,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, min
     are equal to each other. A null id belongs to the class of its text and names it only if all its ids are null.
     Repeated rows are each returned, other columns are ignored, an empty table gives an empty result.
     """
+    return near_classes(docs, width, threshold, minima, sketches, seed).select("doc_id", "class_id")
+
+
+def digest(text: str) -> Column:
+    """What stands for the text of a column; null is empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
+
+
+def near_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, minima: int = 5, sketches: int = 24, seed: int = 11) -> DataFrame:
+    """(doc_id, node, component, class_id) as ``near_duplicates``: ``node`` is the ``digest`` of the text, ``component``
+    tells classes apart whose ``class_id`` is the same or null."""
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     salts = mixed(np.arange(1, sketches + 1, dtype=np.uint64) * np.uint64(FACTOR) + np.uint64(seed))
     short = exact_limit(threshold)
@@ -172,7 +183,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, min
             )
 
     marks = kept_table(chosen.mapInArrow(mark, "doc_id long, node binary, keys array<long>, others array<long>, n int, bytes long, bins binary"), "marks")
-    texts = chosen.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("node"), "text")
+    texts = chosen.select(digest("text").alias("node"), "text")
     told = lambda keys, centre: F.transform(keys, lambda k: F.struct(k.alias("key"), F.lit(centre).alias("centre")))
     held = marks.select(F.explode(F.concat(told("keys", True), told("others", False))).alias("at"), "node", "n", "bytes").select("at.key", "at.centre", "node", "n", "bytes").distinct()
     shared = held.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.max("centre").alias("_led")).where("size > 1 and _led").drop("_led")
@@ -185,7 +196,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, min
     lowest = marks.groupBy("node").agg(F.min("doc_id").alias("lowest")).join(parts.withColumnRenamed("id", "node"), "node", "left")
     lowest = lowest.withColumn("component", F.coalesce("component", "node"))
     named = lowest.join(lowest.groupBy("component").agg(F.min("lowest").alias("class_id")), "component")
-    return marks.select("doc_id", "node").join(named.select("node", "class_id"), "node").select("doc_id", "class_id")
+    return marks.select("doc_id", "node").join(named.select("node", "component", "class_id"), "node").select("doc_id", "node", "component", "class_id")
 
 
 def _with_lead(groups: DataFrame) -> DataFrame:

@@ -55,3 +55,14 @@ def test_mix_keeps_the_share_of_sources_of_long_documents(spark):
     assert set(target) == {"a", "b", "c"} and all(abs(words[s] / t - 1) < 0.2 for s, t in target.items())
     without = [r for r in kept if r.doc_id is None and r.source == "b"]
     assert 0 < len({r.text for r in without}) and corpus_pipeline.mix(spark, docs.repartition(3), FOLDER).count() == len(kept)
+
+
+def test_one_row_of_each_near_duplicate_class_stays(spark):
+    base = {k: [f"{k}{i}" for i in range(60)] for k in "abcd"}
+    text = lambda k, *more: " ".join([*base[k], *more])
+    rows = [(None, text("a")), (None, text("a", "x")), (None, text("a", "y")), (1, text("b")), (None, text("b", "x")), (None, text("b"))]
+    rows += [(2, text("c")), (2, text("c", "x")), (2, text("d")), (3, text("d", "x")), (2, text("d")), (4, text("b", "z"))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()
+    assert Tally((r.doc_id, r.text[0]) for r in kept) == Tally([(None, "a"), (1, "b"), (2, "c"), (2, "d")])
+    assert all((r.doc_id, r.text) in rows for r in kept)
