@@ -72,9 +72,9 @@ def base_spans(text: str) -> list[list[tuple[int, int]]]:
 
 def shape(word: str) -> str:
     """Letters as x or X, digits as 9 with runs up to four counted, other signs as they are; empty for a plain word."""
-    if not any(c.isdigit() or c in "@+" for c in word[:64]):
+    if not any(c.isdigit() or c in "@+" for c in word):
         return ""
-    kinds = ["9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word[:64]]
+    kinds = ["9" if c.isdigit() else "X" if c.isupper() else "x" if c.isalpha() else c for c in word]
     out: list[str] = []
     for c in kinds:
         if c in "xX" and out and out[-1] == c or c == "9" and out[-4:] == ["9"] * 4:

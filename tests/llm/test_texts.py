@@ -17,7 +17,7 @@ from panelweave.llm.byte_bpe import codec, decode_documents, digests, encode_doc
 from panelweave.llm.chat_format import format_chats, loss_text, read_chat
 from panelweave.llm.language_id import _backward, _forward, held_out, learn, predict, train
 from panelweave.llm.order_minhash import aligned, exact_keys, exact_limit, near_duplicates, needed, sketch_keys
-from panelweave.llm.personal_data import Field, base_spans, luhn, redact, spans_of
+from panelweave.llm.personal_data import Field, Shapes, active_runs, base_spans, luhn, redact, shape, spans_of
 from panelweave.llm.personal_data import learn as learn_field
 from panelweave.llm.ranked_search import search
 
@@ -129,6 +129,16 @@ def test_personal_data_is_found_and_redacted(spark):
     assert spans_of(table(spark, []), learn_field(table(spark, []))).collect() == []
 
 
+def test_shapes_are_of_whole_words():
+    assert shape("x" * 64) == "" and shape("x" * 64 + "7") == "x9" and shape("é" * 100 + "@B.c") == "x@X.x"
+    assert shape("-" * 70 + "+1") == "-" * 70 + "+9"
+    shapes = Shapes({"x9": 3})
+    words = ["near", "y" * 300 + "12", "near"]
+    assert shape(words[1]) == "x99" and [shapes[w] for w in (*words, "y" * 65 + "1")] == [0, 1, 0, 3]
+    ids = np.array([shapes[w] for w in words])
+    assert [x.tolist() for x in active_runs(ids, np.zeros(3, int))] == [[0], [3]]
+
+
 def test_gradients_equal_differences():
     rng = np.random.default_rng(1)
     from panelweave.llm.language_id import Direction
