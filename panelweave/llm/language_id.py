@@ -13,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import slices, strings, thinned
+from panelweave.llm.common import slices, strings
 
 SEGMENT = 128
 UNDECIDED = "und"
@@ -147,21 +147,38 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
+def shared_out(counts: list[int], most: int) -> int:
+    """The number at which to stop every one of ``counts`` so that at most ``most`` are left of all."""
+    left = most
+    for k, n in enumerate(sorted(counts)):
+        if n * (len(counts) - k) > left:
+            return left // (len(counts) - k)
+        left -= n
+    return max(counts, default=0)
+
+
 def learn(docs: DataFrame, most_rows: int = 2000, most_languages: int = 64, pieces: int = 4, length: int = 64) -> Network:
     """Train on at most ``most_rows`` labelled rows outside the held-out part, chosen by a hash of id and text, with ``pieces`` slices of each.
 
-    Languages beyond ``most_languages`` in the sample are left out, the rarest first.
+    Languages get alike many rows, what a rare one does not have going to the others. Languages beyond ``most_languages``
+    are left out, the rarest first.
     """
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") > 0))
     draw = F.xxhash64("doc_id", "text")
     size = F.greatest(F.lit(1), F.octet_length("text") - length)
     cuts = [F.substring(F.col("text").cast("binary"), (1 + F.pmod(F.xxhash64(draw, F.lit(k)), size)).cast("int"), F.lit(length)) for k in range(pieces)]
     table = labelled.select("lang", draw.alias("draw"), *[c.alias(f"cut{k}") for k, c in enumerate(cuts)])
-    rows = thinned(table, "draw", docs.where(F.col("lang").isNotNull()).count(), 8 * most_rows).orderBy("draw", "lang").limit(most_rows).collect()
-    counts: dict[str, int] = {}
-    for r in rows:
-        counts[r.lang] = counts.get(r.lang, 0) + 1
-    languages = sorted(sorted(counts, key=lambda x: (-counts[x], x))[:most_languages])
+    tallied = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()
+    counts = {r.lang: r.n for r in tallied}
+    quota = shared_out(list(counts.values()), most_rows)
+    rows = []
+    if counts:
+        thin = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // (8 * max(1, quota))))])[F.col("lang")]
+        few = table.where(F.col("lang").isin(*counts)).where(F.pmod(F.col("draw"), thin) == 0)
+        place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", *[f"cut{k}" for k in range(pieces)]))
+        drawn = few.withColumn("_place", place).where(F.col("_place") <= quota).drop("_place").collect()
+        rows = sorted(drawn, key=lambda r: (r.draw, r.lang, *map(bytes, r[2:])))
+    languages = sorted({r.lang for r in rows})
     number = {x: k for k, x in enumerate(languages)}
     found = [(number[r.lang], bytes(r[2 + k])) for r in rows if r.lang in number for k in range(pieces)]
     segments = np.frombuffer(b"".join((x * (length // max(1, len(x)) + 1))[:length] for _, x in found), np.uint8).reshape(-1, length)

@@ -12,10 +12,10 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from panelweave.llm import catalog, order_minhash
+from panelweave.llm import catalog, language_id, order_minhash
 from panelweave.llm.byte_bpe import codec, decode_documents, digests, encode_documents
 from panelweave.llm.chat_format import format_chats, loss_text, read_chat
-from panelweave.llm.language_id import _backward, _forward, held_out, learn, predict, train
+from panelweave.llm.language_id import _backward, _forward, held_out, learn, predict, shared_out, train
 from panelweave.llm.order_minhash import aligned, exact_keys, exact_limit, near_duplicates, needed, sketch_keys
 from panelweave.llm.personal_data import Field, Shapes, active_runs, base_spans, luhn, redact, shape, spans_of
 from panelweave.llm.personal_data import learn as learn_field
@@ -173,6 +173,19 @@ def test_language_of_held_out_rows(spark):
     assert train(["only"], np.zeros(1, int), np.zeros((1, 8), np.uint8)).documents([b"abc"]).tolist() == [[1.0]]
 
 
+def test_rare_languages_are_learned(spark, monkeypatch):
+    assert [shared_out(c, 10) for c in ([], [3], [30], [1, 30], [2, 3, 4], [5, 5, 5], [4, 1, 90, 90])] == [0, 3, 10, 9, 4, 3, 3]
+    seen = {}
+    monkeypatch.setattr(language_id, "train", lambda languages, label, segments: seen.update(languages=languages, rows=Tally(label.tolist())))
+    rows = [(d, f"text {d} of the first", "aa") for d in range(4000)] + [(d, f"some {d} other", lang) for d, lang in enumerate(["bb"] * 40 + ["cc"] * 12, 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learn(docs, most_rows=60, pieces=1)
+    free = Tally(r.lang for r in docs.where(~held_out(F.col("doc_id"))).collect())
+    assert seen["languages"] == ["aa", "bb", "cc"] and seen["rows"] == Tally({0: 24, 1: min(24, free["bb"]), 2: min(24, free["cc"])})
+    learn(docs, most_rows=60, most_languages=2, pieces=1)
+    assert seen["languages"] == ["aa", "bb"] and sum(seen["rows"].values()) <= 60
+
+
 def classes(rows):
     """Components of multiset Jaccard of five-word shingles of 0.8 or more, or equal texts."""
     sets = [Tally(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").encode().split()) else None for _, t, _ in rows]
