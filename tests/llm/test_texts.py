@@ -314,6 +314,14 @@ def test_search_equals_scoring_all(spark):
     assert search(queries, table(spark, [])).collect() == []
 
 
+def test_every_query_row_is_answered(spark):
+    docs = table(spark, [(d, f"a{d % 3} b{d % 5} c{d}", "s") for d in range(60)])
+    answers = lambda rows: [(r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in search(spark.createDataFrame(rows, "query_id long, text string"), docs, k=4).collect()]
+    alone = {t: [x[1:] for x in answers([(1, t)])] for t in ("a1 c7", "b2 b2", "a0")}
+    rows = [(1, "a1 c7"), (1, "b2 b2"), (1, "a1 c7"), (2, "a1 c7"), (None, "a0"), (None, "b2 b2")]
+    assert Tally(answers(rows)) == Tally((q, *x) for q, t in rows for x in alone[t])
+
+
 def test_queries_have_their_columns(spark):
     want = {"op1": "doc_id n_words n_removed kept_sha256", "op3": "doc_id size source_size target taken", "op4": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op8": "doc_id n_tokens ids_sha256 decoded_sha256"}
     for name, fn in catalog.QUERIES.items():
