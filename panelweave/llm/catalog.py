@@ -11,15 +11,19 @@ from pyspark.sql import functions as F
 from panelweave.llm.byte_bpe import digests
 from panelweave.llm.chat_format import BRACKETS, format_chats, loss_text, read_chat
 from panelweave.llm.common import documents
+from panelweave.llm.integer_vectors import embeddings
 from panelweave.llm.language_id import held_out, learn, predict
+from panelweave.llm.line_dedup import BLANKS, CAPITALS, LEAST_CHARS, LEAST_DOCS, drop_common_lines
 from panelweave.llm.mixture import mix_sources
 from panelweave.llm.order_minhash import near_duplicates
 from panelweave.llm.personal_data import KINDS, spans_of
 from panelweave.llm.personal_data import learn as field_of
 from panelweave.llm.quality_votes import judge
 from panelweave.llm.ranked_search import search
+from panelweave.llm.shallot import cluster
 from panelweave.llm.substring_dedup import remove_repeats
 from panelweave.llm.token_counts import count_tokens
+from panelweave.llm.vector_codes import compress
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -126,3 +130,39 @@ def op5_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     asked = docs.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), "text")
     return search(asked, docs)
+
+
+@query
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = drop_common_lines(documents(spark, sf_dir))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def _lines_sql() -> str:
+    blanks = " || ".join(f"chr({ord(c)})" for c in BLANKS)
+    return f"""
+    WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+    lines AS (
+        SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM docs),
+    keyed AS (SELECT *, translate(trim(line, {blanks}), '{CAPITALS}', '{CAPITALS.lower()}') AS key FROM lines),
+    common AS (
+        SELECT key, max(coalesce(doc_id, -9223372036854775808)) AS last FROM keyed WHERE length(key) >= {LEAST_CHARS}
+        GROUP BY key HAVING count(DISTINCT coalesce(doc_id, -9223372036854775808)) >= {LEAST_DOCS}),
+    told AS (
+        SELECT k.*, c.key IS NOT NULL AND coalesce(k.doc_id, -9223372036854775808) <> c.last AS gone FROM keyed k LEFT JOIN common c ON k.key = c.key)
+    SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM told GROUP BY r"""
+
+
+SQL["op11_line_dedup"] = _lines_sql()
+
+
+@query
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(embeddings(spark, sf_dir))
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(embeddings(spark, sf_dir))

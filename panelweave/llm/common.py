@@ -28,6 +28,12 @@ def kept_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that no later step reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
