@@ -1,10 +1,10 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment of equal-token blocks.
 
-Targets are shares of the whole size, stopped at a multiple of the source. The whole size is a number of equal blocks;
-sources get blocks by highest quotients, then each source's blocks go to its shards in the same way. A shard orders its
-documents by a seeded hash, which makes one stream of words, cuts it into equal blocks and takes whole passes first,
-then blocks by seeded rank, until its quota is filled. Sources are split into shards of some thousand documents, so no
-source is worked on by one task.
+Targets are shares of the whole size, stopped at a multiple of the source. The whole size is a number of equal blocks, of
+which even the smallest target holds many; sources get blocks by highest quotients, then each source's blocks go to its
+shards in the same way. A shard orders its documents by a seeded hash, which makes one stream of words, and cuts it into
+equal pieces. It takes whole passes first, then pieces by seeded rank, the last in part, until its quota is filled.
+Sources are split into shards of some thousand documents, so no source is worked on by one task.
 """
 
 from __future__ import annotations
@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from panelweave.llm.common import WORD, kept_table
 
-BLOCKS_PER_SHARD = 512
+PIECES_PER_SHARD = 512
+#: So many blocks the smallest target has, unless a block would be less than a word.
+BLOCKS_OF_LEAST = 64
 
 
 def word_count(text: str) -> Column:
@@ -66,19 +68,28 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], most: float) ->
         rate = following
 
 
+def _topped_up(taken: Column, spans: Column, whole: Column, left: Column) -> Column:
+    """``taken`` and what is ``left`` of the quota, from the next one or two pieces: only the last piece is shorter than others."""
+    first, second = F.get(spans, whole), F.get(spans, whole + 1)
+    some = F.least(left, first.b - first.a)
+    more = F.array(F.struct(first.a.alias("a"), (first.a + some).alias("b")), F.struct(second.a.alias("a"), (second.a + left - some).alias("b")))
+    return F.concat(taken, F.filter(more, lambda x: x.b > x.a))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: int = 3, seed: int = 17, shard_docs: int = 2048) -> DataFrame:
     """(doc_id, size, source_size, target, taken, ...): words of each document the mix takes, repeats counted.
 
     ``size`` counts the words of a text (null: 0). ``taken`` lies between 0 and ``most`` times ``size``; a document at
-    the border of a block may be taken in part. Null sources are one source, last in order. Repeated rows are rows of
+    the border of a piece may be taken in part. Null sources are one source, last in order. Repeated rows are rows of
     their own; rows equal in id and size are interchangeable, so a rerun gives the same result. Other columns are
     ignored; an empty table gives an empty result. ``weights`` must be positive.
     """
     sizes = kept_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count("text").alias("size")), "sizes")
     sources = source_targets(sizes, weights, most)
     shards_of = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / shard_docs))
-    n_shards, whole = sources.agg(F.sum(shards_of), F.sum("target")).first()
-    block = max(1.0, (whole or 0.0) / ((n_shards or 1) * BLOCKS_PER_SHARD))
+    n_shards, whole, least = sources.agg(F.sum(shards_of), F.sum("target"), F.min(F.when(F.col("target") > 0, F.col("target")))).first()
+    block = max(1, int((least or 0.0) / BLOCKS_OF_LEAST))
+    piece = max(1, int((whole or 0.0) / ((n_shards or 1) * PIECES_PER_SHARD)))
     seats = sources.withColumn("_blocks", F.lit(round((whole or 0.0) / block)).cast("long"))
     quotas = highest_quotients(seats, [], "target", "_blocks", [F.col("source").isNull(), F.col("source")])
     plan = kept_table(
@@ -90,21 +101,23 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: i
     dealt = sizes.join(plan, F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", F.pmod(draw, F.col("shards"))).drop("_source", "shards")
     cells = dealt.groupBy("source", "shard", "source_quota").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
     shared = highest_quotients(cells, ["source"], "words", "source_quota", [F.xxhash64(F.lit(seed), "shard")])
-    budget = F.least(F.col("quota") * F.lit(block), F.col("words") * F.lit(float(most)))
-    passes = F.floor(budget / F.col("words"))
-    pieces = F.greatest(F.lit(1), F.round(F.col("words") / F.lit(block))).cast("int")
+    budget = F.least(F.col("quota") * block, F.col("words") * most)
     filled = (
-        shared.withColumn("passes", passes).withColumn("pieces", pieces)
-        .withColumn("extra", F.round((budget - F.col("passes") * F.col("words")) / F.col("words") * F.col("pieces")).cast("int"))
-        .withColumn("extra", F.when(F.col("passes") < most, F.col("extra")).otherwise(0))
+        shared.withColumn("passes", F.floor(budget / F.col("words")))
+        .withColumn("left", budget - F.col("passes") * F.col("words"))
+        .withColumn("length", F.ceil(F.col("words") / F.greatest(F.lit(1), F.round(F.col("words") / F.lit(piece)))))
+        .withColumn("pieces", F.ceil(F.col("words") / F.col("length")).cast("int")).withColumn("whole", F.floor(F.col("left") / F.col("length")).cast("int"))
     )
-    drawn = F.array_sort(F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("shard"), j).alias("h"), j.alias("j"))))
-    chosen = filled.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "words", "passes", "pieces", F.array_sort(F.transform(F.slice(drawn, F.lit(1), F.col("extra")), lambda x: x.j)).alias("chosen"))
+    by_hash = F.transform(F.sequence(F.lit(0), F.col("pieces") - 1), lambda j: F.struct(F.xxhash64(F.lit(seed + 1), F.col("source"), F.col("shard"), j).alias("h"), j.cast("long").alias("j")))
+    spans = F.transform(F.array_sort(by_hash), lambda x: F.struct((x.j * F.col("length")).alias("a"), F.least((x.j + 1) * F.col("length"), "words").alias("b")))
+    drawn = filled.withColumn("spans", spans).withColumn("taken", F.slice("spans", F.lit(1), F.col("whole")))
+    drawn = drawn.withColumn("left", F.col("left") - F.aggregate("taken", F.lit(0).cast("long"), lambda n, x: n + x.b - x.a))
+    chosen = drawn.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "passes", _topped_up(F.col("taken"), F.col("spans"), F.col("whole"), F.col("left")).alias("chosen"))
     ahead = Window.partitionBy("source", "shard").orderBy(draw, "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("_to", F.sum("size").over(ahead)).withColumn("_from", F.col("_to") - F.col("size"))
     joined = placed.join(chosen, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")), "left")
-    edge = lambda j: F.floor(j * F.col("words") / F.col("pieces"))
-    part = lambda j: F.greatest(F.lit(0).cast("long"), F.least(F.col("_to"), edge(j + 1)) - F.greatest(F.col("_from"), edge(j)))
-    inside = F.aggregate(F.coalesce("chosen", F.array().cast("array<int>")), F.lit(0).cast("long"), lambda s, j: s + part(j))
+    part = lambda x: F.greatest(F.lit(0).cast("long"), F.least(F.col("_to"), x.b) - F.greatest(F.col("_from"), x.a))
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
+    inside = F.aggregate(F.coalesce("chosen", none), F.lit(0).cast("long"), lambda n, x: n + part(x))
     taken = F.when(F.col("size") == 0, 0).otherwise(F.coalesce("passes", F.lit(0)) * F.col("size") + inside).cast("long")
     return joined.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", "shard")
