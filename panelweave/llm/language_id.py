@@ -157,18 +157,18 @@ def shared_out(counts: list[int], most: int) -> int:
     return max(counts, default=0)
 
 
-def learn(docs: DataFrame, most_rows: int = 2000, most_languages: int = 64, pieces: int = 4, length: int = 64) -> Network:
+def learn(docs: DataFrame, most_rows: int = 2000, pieces: int = 4, length: int = 64) -> Network:
     """Train on at most ``most_rows`` labelled rows outside the held-out part, chosen by a hash of id and text, with ``pieces`` slices of each.
 
-    Languages get alike many rows, what a rare one does not have going to the others. Languages beyond ``most_languages``
-    are left out, the rarest first.
+    Languages get alike many rows, what a rare one does not have going to the others. Should there be more languages than
+    rows, the most frequent get one row each. Held-out rows have no part in any of this.
     """
     labelled = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") > 0))
     draw = F.xxhash64("doc_id", "text")
     size = F.greatest(F.lit(1), F.octet_length("text") - length)
     cuts = [F.substring(F.col("text").cast("binary"), (1 + F.pmod(F.xxhash64(draw, F.lit(k)), size)).cast("int"), F.lit(length)) for k in range(pieces)]
     table = labelled.select("lang", draw.alias("draw"), *[c.alias(f"cut{k}") for k, c in enumerate(cuts)])
-    tallied = docs.where(F.col("lang").isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()
+    tallied = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_rows).collect()
     counts = {r.lang: r.n for r in tallied}
     quota = shared_out(list(counts.values()), most_rows)
     rows = []

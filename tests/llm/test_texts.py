@@ -181,9 +181,24 @@ def test_rare_languages_are_learned(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     learn(docs, most_rows=60, pieces=1)
     free = Tally(r.lang for r in docs.where(~held_out(F.col("doc_id"))).collect())
-    assert seen["languages"] == ["aa", "bb", "cc"] and seen["rows"] == Tally({0: 24, 1: min(24, free["bb"]), 2: min(24, free["cc"])})
-    learn(docs, most_rows=60, most_languages=2, pieces=1)
-    assert seen["languages"] == ["aa", "bb"] and sum(seen["rows"].values()) <= 60
+    quota = shared_out(list(free.values()), 60)
+    assert seen["languages"] == ["aa", "bb", "cc"] and seen["rows"] == Tally({k: min(quota, free[x]) for k, x in enumerate(["aa", "bb", "cc"])})
+    many = spark.createDataFrame([(d, f"words of {d}", f"l{d % 90:02d}") for d in range(900)], docs.schema)
+    learn(many, most_rows=400, pieces=1)
+    assert len(seen["languages"]) == 90, "no language is left out while there are rows for it"
+    learn(many, most_rows=30, pieces=1)
+    assert len(seen["languages"]) == 30 and set(seen["rows"].values()) == {1}
+
+
+def test_labels_of_held_out_rows_change_nothing(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "train", lambda languages, label, segments: seen.append((languages, label.tolist(), segments.tobytes())))
+    rows = [(d, f"text {d} of these", ["aa", "bb", "cc"][d % 7 % 3]) for d in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit(1) for c in ("draw", "n", "cut0")})
+    told = docs.withColumn("lang", F.when(held_out(F.col("doc_id")), F.lit("zz")).otherwise(F.col("lang")))
+    learn(docs, most_rows=90)
+    learn(told, most_rows=90)
+    assert seen[0] == seen[1] and seen[0][0] == ["aa", "bb", "cc"]
 
 
 def classes(rows):
