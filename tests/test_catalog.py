@@ -1,5 +1,8 @@
 """A spread of registered queries against DuckDB; ``tools/check.py`` runs all of them."""
 
+import os
+import shutil
+import subprocess
 import sys
 from pathlib import Path
 
@@ -45,3 +48,19 @@ def test_every_check_has_a_query():
 
 def test_flagship(spark):
     assert entry.entry(spark).columns == ["page_id", "text_id", "panel_id", "score", "overlap_ratio", "center_distance_norm", "rank"]
+
+
+@pytest.mark.parametrize("left_out", [("panelweave/llm",), ("panelweave/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_queries_without_the_optional_part(tmp_path, left_out):
+    top = Path(__file__).resolve().parents[1]
+    for part in ("panelweave", "__spark_entry__.py", "corpus_pipeline.py"):
+        if (top / part).is_dir():
+            shutil.copytree(top / part, tmp_path / part, ignore=lambda d, names: [n for n in names if n == "__pycache__" or f"{Path(d).relative_to(top)}/{n}" in left_out])
+        elif (top / part).exists() and part not in left_out:
+            shutil.copy(top / part, tmp_path / part)
+    told = "import __spark_entry__ as e; q = e.queries(); e.oracle_sql(); print(len(q), 'pipeline' in q, any(k.startswith('op1_') for k in q))"
+    done = subprocess.run([sys.executable, "-c", told], cwd=tmp_path, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": ""})
+    assert done.returncode == 0, done.stderr
+    count, pipeline, first = done.stdout.split()
+    assert int(count) > 150 and pipeline == "False"
+    assert first == str("panelweave/llm" not in left_out and (top / "panelweave/llm").exists())
