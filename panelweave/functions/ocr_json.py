@@ -1,16 +1,20 @@
 """Reading OCR answers of many shapes: envelopes, item fields and the tree walk.
 
-Fields are read with variant functions; only the walk over a whole tree, whose
-key order matters, is a small Arrow batch helper.
+Single items and envelopes are read with variant functions. A whole tree, whose
+key order matters, is walked once in Arrow batches, which gives every object's
+fields as typed columns; choosing among them is left to joins and grouping.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from panelweave.session import cut_lineage
 
@@ -29,6 +33,8 @@ REQUEST_ID_PATHS = ("ResponseMetadata.RequestId", "ResponseMetadata.RequestID",
 URI_KEYS = ("Uri", "URI", "ImageUri", "ResourceUri", "StoreUri", "StoreKey")
 URI_LIST_KEYS = ("UriList", "ImageUriList", "ImageURLList", "StoreUriList", "StoreKeyList", "StoreKeys", "Results")
 
+#: Objects told at once by the walk.
+PIECE = 4096
 NUMBER = r"^(BIGINT|DOUBLE|FLOAT|INT|SMALLINT|TINYINT|DECIMAL.*)$"
 
 
@@ -90,70 +96,6 @@ def confidence(item: Column) -> Column:
     return _first(F.transform(_members(item, CONFIDENCE_KEYS), value))
 
 
-def _sql_first(v: str, keys) -> str:
-    """SQL for the member under the first name present, even if it is null there."""
-    paths = ", ".join(f"'$.{k}'" for k in keys)
-    return f"get(filter(transform(array({paths}), p -> try_variant_get({v}, p, 'variant')), m -> m IS NOT NULL), 0)"
-
-
-def _sql_named(value: str, name: str, body: str) -> str:
-    return f"get(transform(array({value}), {name} -> {body}), 0)"
-
-
-def _sql_kind(v: str) -> str:
-    return f"coalesce(schema_of_variant({v}), 'MISSING')"
-
-
-def _sql_number(v: str, keys) -> str:
-    number = f"CASE WHEN {_sql_kind('n')} RLIKE '{NUMBER}' THEN try_variant_get(n, '$', 'double') END"
-    return _sql_named(_sql_first(v, keys), "n", number)
-
-
-def _sql_all(numbers: list[str], body: str) -> str:
-    """SQL for ``body`` over the array ``a`` of numbers, if all of them are there."""
-    return _sql_named(f"array({', '.join(numbers)})", "a", f"CASE WHEN NOT exists(a, i -> i IS NULL) THEN {body} END")
-
-
-_CORNER_BOX = "array(array(a[0], a[1]), array(a[2], a[1]), array(a[2], a[3]), array(a[0], a[3]))"
-_SIZED_BOX = "array(array(a[0], a[1]), array(a[0] + a[2], a[1]), array(a[0] + a[2], a[1] + a[3]), array(a[0], a[1] + a[3]))"
-
-
-def _sql_corners(v: str) -> str:
-    return _sql_all([_sql_number(v, k) for k in (("x0", "left"), ("y0", "top"), ("x1", "right"), ("y1", "bottom"))], _CORNER_BOX)
-
-
-def _sql_list(v: str) -> str:
-    """SQL for a list of eight or four numbers, or of four points."""
-    eight = "array(" + ", ".join(f"array(a[{2 * i}], a[{2 * i + 1}])" for i in range(4)) + ")"
-    flat = _sql_named(f"try_variant_get({v}, '$', 'array<double>')", "a", f"CASE WHEN size(a) = 8 THEN {eight} WHEN size(a) = 4 THEN {_CORNER_BOX} END")
-    good = "CASE WHEN size(a) = 4 AND NOT exists(a, i -> size(i) < 2) THEN transform(a, i -> slice(i, 1, 2)) END"
-    nested = _sql_named(f"try_variant_get({v}, '$', 'array<array<double>>')", "a", good)
-    return f"CASE WHEN {_sql_kind(v)} RLIKE '^ARRAY<(BIGINT|DOUBLE|FLOAT|DECIMAL.*)>$' THEN {flat} WHEN {_sql_kind(v)} LIKE 'ARRAY<ARRAY<%' THEN {nested} END"
-
-
-def _sql_place(v: str, depth: int) -> str:
-    """SQL for the points of a place: named corners, edges, size, nested one, or a list."""
-    x = f"x{depth}"
-    points = [_sql_named(_sql_first(x, names), "c", _sql_all([_sql_number("c", ("X", "x")), _sql_number("c", ("Y", "y"))], "a")) for names in CORNERS]
-    shapes = [
-        _sql_named(f"array({', '.join(points)})", "q", "CASE WHEN NOT exists(q, i -> i IS NULL) THEN q END"), _sql_corners(x),
-        _sql_all([_sql_number(x, k) for k in (("x",), ("y",), ("width", "w"), ("height", "h"))], _SIZED_BOX),
-    ]
-    if depth:
-        shapes.append(_sql_place(_sql_first(x, NESTED_QUAD_KEYS), depth - 1))
-    body = f"CASE WHEN {_sql_kind(x)} LIKE 'OBJECT%' THEN coalesce({', '.join(shapes)}) ELSE {_sql_list(x)} END"
-    return _sql_named(v, x, body)
-
-
-def quad(item: str) -> Column:
-    """Four points of the item in the named variant column, from any of the known shapes; null if there are none.
-
-    The expression is written as SQL text, since it has some thousand parts.
-    """
-    place = f"CASE WHEN spot IS NULL OR is_variant_null(spot) THEN {_sql_corners(item)} ELSE {_sql_place('spot', 2)} END"
-    return F.expr(_sql_named(_sql_first(item, QUAD_KEYS), "spot", place))
-
-
 def quad_text(points: Column) -> Column:
     return F.array_join(F.transform(points, lambda p: F.array_join(p.cast("array<string>"), " ")), ",")
 
@@ -218,80 +160,198 @@ def keep_language(payload: Column, lang: str | None) -> Column:
     return F.when(infos.isNull(), payload).otherwise(F.to_json(swapped))
 
 
-NODE = "no int, parent int, key string, node string, is_item boolean, lists array<struct<key string, pure boolean>>"
+@dataclass(frozen=True)
+class Field:
+    """What to read of every object of a tree: a name, the column's Arrow type, and a function of the object."""
 
+    name: str
+    kind: pa.DataType
+    read: Callable[[dict], object]
 
-def _walk(text: str) -> list[tuple]:
-    """Every object of a JSON tree, depth first, with its parent and the lists it holds; none if the text is no JSON."""
-    if text is None:
-        return []
+
+def _stripped(value: object) -> str | None:
+    return value.strip() or None if isinstance(value, str) else None
+
+
+def _first_text(item: dict, names: Iterable[str]) -> str | None:
+    return next((text for name in names if (text := _stripped(item.get(name)))), None)
+
+
+def _numbers(values: list[object]) -> list[float] | None:
+    """All values as doubles, if all are numbers."""
     try:
-        stack = [(json.loads(text), -1, "", False)]
-    except ValueError:
-        return []
-    nodes: list[tuple] = []
-    while stack:
-        value, parent, key, is_item = stack.pop()
-        if isinstance(value, dict):
-            number = len(nodes)
-            lists = [(k, all(isinstance(i, dict) for i in v)) for k, v in value.items() if isinstance(v, list)]
-            nodes.append((number, parent, key, json.dumps(value, ensure_ascii=False), is_item, lists))
-            stack.extend((v, number, k, False) for k, v in reversed(value.items()))
-        elif isinstance(value, list):
-            stack.extend((v, parent, key, True) for v in reversed(value))
-    return nodes
+        return [float(v) for v in values] if all(isinstance(v, (int, float)) for v in values) else None
+    except OverflowError:
+        return None
 
 
-def json_nodes(payloads: DataFrame, column: str = "payload") -> DataFrame:
-    """One row per object of each JSON tree: ``no`` (depth-first), ``parent``, ``key`` and ``node``."""
-    @F.pandas_udf(f"array<struct<{', '.join(p.replace(' ', ':', 1) for p in ('no int', 'parent int', 'key string', 'node string', 'is_item boolean'))}, lists:array<struct<key:string,pure:boolean>>>>")
-    def walked(texts: pd.Series) -> pd.Series:
-        return texts.map(_walk)
+def _named_numbers(item: dict, *names: tuple[str, ...]) -> list[float] | None:
+    """A number under the first name present of each of the given alternatives."""
+    return _numbers([next((item[k] for k in some if k in item), None) for some in names])
 
-    return payloads.withColumn("_nodes", walked(F.col(column))).select(*payloads.columns, F.inline("_nodes"))
 
+def _corners(x1: float, y1: float, x2: float, y2: float) -> list[list[float]]:
+    return [[x1, y1], [x2, y1], [x2, y2], [x1, y2]]
 
-def read_nodes(payloads: DataFrame, keys, column: str = "payload") -> DataFrame:
-    """Every object of each answer with its text, confidence, points and field name, worked out once.
 
-    Reading answers costs far more than moving them, so that they are dealt out evenly first.
-    """
-    spread = payloads.select(*keys, column).hint("rebalance")
-    nodes = json_nodes(spread, column).drop(column)
-    item = F.col("_v")
-    named = _first(F.transform(_members(item, FIELD_NAMES), lambda v: non_blank(text_of(v))))
-    placed = F.exists(_members(item, FIELD_QUAD_KEYS), lambda v: v.isNotNull())
-    def fields(text: Column) -> Column:
-        there = text.isNotNull()
-        return F.struct(text.alias("text"), F.when(there, confidence(item)).alias("confidence"), F.when(there, quad("_v")).alias("quad"))
-
-    # Most objects hold no text; their points are never looked for.
-    read = nodes.withColumn("_v", F.try_parse_json("node")).select(
-        *keys, "no", "parent", "key", "is_item", "lists", "node", _named(text_field(item), fields).alias("_f"), named.alias("name"), placed.alias("placed")
-    )
-    return cut_lineage(read).select("*", "_f.*").drop("_f")
+def _edge_box(item: dict) -> list[list[float]] | None:
+    edges = _named_numbers(item, ("x0", "left"), ("y0", "top"), ("x1", "right"), ("y1", "bottom"))
+    return _corners(*edges) if edges else None
+
+
+def _listed_points(place: list) -> list[list[float]] | None:
+    flat = _numbers(place)
+    if flat and len(flat) == 8:
+        return [flat[k : k + 2] for k in range(0, 8, 2)]
+    if flat and len(flat) == 4:
+        return _corners(*flat)
+    if len(place) == 4 and all(isinstance(p, list) and len(p) > 1 for p in place):
+        try:
+            return [[float(p[0]), float(p[1])] for p in place]
+        except (TypeError, ValueError, OverflowError):
+            return None
+    return None
+
+
+def _place_points(place: object) -> list[list[float]] | None:
+    """Points of a place however deep it is nested: named corners, edges, size, a place within, or a list."""
+    while isinstance(place, dict):
+        named = [next((place[k] for k in some if k in place), None) for some in CORNERS]
+        points = [_named_numbers(c, ("X", "x"), ("Y", "y")) if isinstance(c, dict) else None for c in named]
+        if all(points):
+            return points
+        if edges := _edge_box(place):
+            return edges
+        if sized := _named_numbers(place, ("x",), ("y",), ("width", "w"), ("height", "h")):
+            x, y, w, h = sized
+            return _corners(x, y, x + w, y + h)
+        place = next((place[k] for k in NESTED_QUAD_KEYS if k in place), None)
+    return _listed_points(place) if isinstance(place, list) else None
+
+
+def _item_points(item: dict) -> list[list[float]] | None:
+    place = next((item[k] for k in QUAD_KEYS if k in item), None)
+    return _edge_box(item) if place is None else _place_points(place)
+
+
+def _item_confidence(item: dict) -> float | None:
+    for value in (item[k] for k in CONFIDENCE_KEYS if k in item):
+        try:
+            if isinstance(value, (int, float)) or _stripped(value):
+                return float(value)
+        except (ValueError, OverflowError):
+            pass
+    return None
+
+
+def _main_list(item: dict) -> str | None:
+    """Name of the object's first list of objects under a known name."""
+    return next((k for k, v in item.items() if k.lower() in LIST_KEYS and isinstance(v, list) and all(isinstance(i, dict) for i in v)), None)
+
+
+def _scalars(item: dict) -> list[tuple[str, str]]:
+    """Members that are neither objects, lists nor null: strings as they are, others as JSON."""
+    return [(k, v if isinstance(v, str) else json.dumps(v)) for k, v in item.items() if v is not None and not isinstance(v, (dict, list))]
 
 
-def general_boxes(payloads: DataFrame, keys, column: str = "payload") -> DataFrame:
+def _address(value: object) -> str | None:
+    """An address: a text, or the first text in a list or under a known name of its objects."""
+    if isinstance(value, list):
+        return next((u for v in value if (u := _first_text(v, URI_KEYS) if isinstance(v, dict) else _stripped(v))), None)
+    return _stripped(value)
+
+
+DOUBLES = pa.list_(pa.list_(pa.float64()))
+TEXT = Field("text", pa.string(), lambda o: _first_text(o, TEXT_KEYS))
+CONFIDENCE = Field("confidence", pa.float64(), lambda o: _item_confidence(o) if _first_text(o, TEXT_KEYS) else None)
+POINTS = Field("quad", DOUBLES, lambda o: _item_points(o) if _first_text(o, TEXT_KEYS) else None)
+#: Points whether or not there is a text.
+ITEM_POINTS = Field("quad", DOUBLES, _item_points)
+MAIN_LIST = Field("main_list", pa.string(), _main_list)
+NAME = Field("name", pa.string(), lambda o: _first_text(o, FIELD_NAMES))
+PLACED = Field("placed", pa.bool_(), lambda o: any(k in o for k in FIELD_QUAD_KEYS))
+SCALARS = Field("scalars", pa.map_(pa.string(), pa.string()), _scalars)
+STRINGS = Field("strings", pa.map_(pa.string(), pa.string()), lambda o: [(k, t) for k, v in o.items() if (t := _stripped(v))])
+URI = Field("uri", pa.string(), lambda o: next((u for k, v in o.items() if "uri" in k.lower() and (u := _address(v))), None))
+
+SHAPE = [("no", pa.int32()), ("parent", pa.int32()), ("key", pa.string()), ("is_item", pa.bool_()), ("pure", pa.bool_())]
+
+
+def _objects(text: str | None, lang: str | None) -> Iterator[tuple]:
+    """Objects of a JSON text, depth first: number, parent's, name, whether in a list, whether that holds objects only, itself."""
+    try:
+        root = json.loads(text) if text is not None else None
+    except (ValueError, RecursionError):
+        return
+    if lang and isinstance(root, dict) and isinstance(root.get("ocr_infos"), list):
+        root = root | {"ocr_infos": [i for i in root["ocr_infos"] if isinstance(i, dict) and str(i.get("lang", "")).strip().lower() in ("", lang, "not_lang", "en")]}
+    stack, number = [(root, -1, "", False, False)], 0
+    while stack:
+        value, parent, key, is_item, pure = stack.pop()
+        if isinstance(value, dict):
+            yield number, parent, key, is_item, pure, value
+            stack.extend((v, number, k, False, False) for k, v in reversed(value.items()) if isinstance(v, (dict, list)))
+            number += 1
+        elif isinstance(value, list):
+            whole = not is_item and all(isinstance(v, dict) for v in value)
+            stack.extend((v, parent, key, True, whole) for v in reversed(value) if isinstance(v, (dict, list)))
+
+
+def read_tree(payloads: DataFrame, keys, fields: Sequence[Field], column: str = "payload", lang: str | None = None) -> DataFrame:
+    """One row per object of each JSON text, walked once: ``no`` (depth first), ``parent``, ``key``, ``is_item``, ``pure``
+    and the fields asked for.
+
+    ``pure`` says that the object stands in a list of objects only. A text that is null, no JSON or nested beyond what the
+    parser takes gives no rows. With ``lang``, recognised lines of other languages are left out, see ``keep_language``.
+    Texts are dealt out by key first, since reading them costs far more than moving them.
+    """
+    shape = pa.schema([*SHAPE, *[(f.name, f.kind) for f in fields]])
+    kept = payloads.select(*keys, F.col(column).alias("_payload")).repartition(*keys)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner, rows = [], []
+            for at, text in enumerate(batch.column("_payload")):
+                for *place, item in _objects(text.as_py(), lang):
+                    owner.append(at)
+                    rows.append((*place, *[f.read(item) for f in fields]))
+                    if len(rows) >= PIECE:
+                        yield _told(batch, owner, rows)
+                        owner, rows = [], []
+            if rows:
+                yield _told(batch, owner, rows)
+
+    def _told(batch: pa.RecordBatch, owner: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        taken = pa.array(owner, pa.int32())
+        own = [batch.column(k).take(taken) for k in keys]
+        read = [pa.array(values, kind) for values, kind in zip(zip(*rows), shape.types)]
+        return pa.RecordBatch.from_arrays([*own, *read], names=[*keys, *shape.names])
+
+    kinds = dict(kept.dtypes)
+    made = [f"`{n}` {from_arrow_type(t).simpleString()}" for n, t in zip(shape.names, shape.types)]
+    return kept.mapInArrow(walk, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], *made]))
+
+
+def json_nodes(payloads: DataFrame, keys, column: str = "payload") -> DataFrame:
+    """One row per object of each JSON tree: its place, and its members that are plain values as ``scalars``."""
+    return read_tree(payloads, keys, [SCALARS], column).drop("pure")
+
+
+def general_boxes(payloads: DataFrame, keys, column: str = "payload", lang: str | None = None) -> DataFrame:
     """Text boxes of each answer in reading order of the answer: its main list first, then any other object.
 
-    A box is its text and points; of equal boxes the first counts.
+    The main list is the first list of objects under a known name; without one, the first under a box name whose objects
+    hold a text. A box is its text and points; of equal boxes the first counts. ``keys`` tell answers apart.
     """
-    read = read_nodes(payloads, keys, column)
-    pure = F.filter("lists", lambda pair: pair["pure"])
-    by_name = F.filter(pure, lambda pair: F.lower(pair["key"]).isin(*LIST_KEYS))
-    named = read.where(F.size(by_name) > 0).groupBy(*keys).agg(F.min(F.struct("no", F.element_at(by_name, 1)["key"].alias("key"))).alias("m"))
-    # Without a list of a known name, the first list under a box name whose items hold a text.
+    read = read_tree(payloads, keys, [TEXT, CONFIDENCE, POINTS, MAIN_LIST], column, lang)
+    answer = Window.partitionBy(*keys)
     rank = F.array_position(F.array(*(F.lit(k) for k in QUAD_KEYS)), F.col("key"))
-    lists = read.select(*keys, F.col("no").alias("parent"), F.explode(F.transform(pure, lambda pair: pair["key"])).alias("key"))
-    boxed = read.where(F.col("is_item") & (rank > 0)).join(lists, [*keys, "parent", "key"], "left_semi").groupBy(*keys, "parent", rank.alias("_rank"), "key").agg(F.count("text").alias("_texts"))
-    boxed = boxed.where("_texts > 0").groupBy(*keys).agg(F.min(F.struct("parent", "_rank", "key")).alias("q"))
-    main = named.join(boxed, [*keys], "full_outer").select(
-        *keys, F.coalesce("m.no", "q.parent").alias("_p"), F.coalesce("m.key", "q.key").alias("_k")
-    )
-    placed = read.where(F.col("text").isNotNull() & F.col("quad").isNotNull()).join(main, [*keys], "left")
-    first = F.coalesce((F.col("parent") == F.col("_p")) & (F.col("key") == F.col("_k")) & F.col("is_item"), F.lit(False))
-    found = placed.withColumn("_at", F.struct(F.when(first, 0).otherwise(1).alias("rank"), F.col("no").alias("no")))
+    named = F.min(F.when(F.col("main_list").isNotNull(), F.struct("no", F.col("main_list").alias("key")))).over(answer)
+    boxed = F.min(F.when(F.col("pure") & (rank > 0) & F.col("text").isNotNull(), F.struct("parent", rank.alias("rank"), "key"))).over(answer)
+    marked = read.withColumns({"_named": named, "_boxed": boxed}).where(F.col("text").isNotNull() & F.col("quad").isNotNull())
+    home, name = F.coalesce("_named.no", "_boxed.parent"), F.coalesce("_named.key", "_boxed.key")
+    first = F.coalesce(F.col("pure") & (F.col("parent") == home) & (F.col("key") == name), F.lit(False))
+    found = marked.withColumn("_at", F.struct(F.when(first, 0).otherwise(1).alias("rank"), F.col("no").alias("no")))
     return found.groupBy(*keys, "text", "quad").agg(F.min_by("confidence", "_at").alias("confidence"), F.min("_at").alias("_at")).select(
         *keys, "text", "quad", "confidence", F.col("_at.rank").alias("list_rank"), F.col("_at.no").alias("node_no")
     )
@@ -299,17 +359,16 @@ def general_boxes(payloads: DataFrame, keys, column: str = "payload") -> DataFra
 
 def license_fields(payloads: DataFrame, keys, column: str = "payload") -> DataFrame:
     """Named fields of each answer from the first place that yields any: known containers, else any object."""
-    read = read_nodes(payloads, keys, column)
+    read = cut_lineage(read_tree(payloads, keys, [TEXT, CONFIDENCE, POINTS, NAME, PLACED, STRINGS], column))
     points = F.when(F.col("placed"), F.col("quad")).alias("quad")
     # An object under a name is a field; without a text of its own it may hold one under ``Value``.
     deeper = read.where("key = 'Value' AND NOT is_item").select(*keys, F.col("parent").alias("no"), F.struct("text", "confidence", points).alias("_in"))
     objects = read.where("NOT is_item AND parent >= 0").join(deeper, [*keys, "no"], "left")
     own = F.when(F.col("text").isNotNull() | F.col("_in").isNull(), F.struct("text", "confidence", points)).otherwise(F.col("_in"))
     objects = objects.select(*keys, F.col("parent").alias("home"), F.col("key").alias("field"), own.alias("f"))
-    strings = read.select(*keys, F.col("no").alias("home"), F.explode(F.from_json("node", "map<string,variant>")).alias("field", "_value"))
     none = F.lit(None)
-    text = non_blank(text_of(F.col("_value")))
-    strings = strings.select(*keys, "home", "field", F.struct(text.alias("text"), none.cast("double").alias("confidence"), none.cast("array<array<double>>").alias("quad")).alias("f"))
+    strings = read.select(*keys, F.col("no").alias("home"), F.explode("strings").alias("field", "_value"))
+    strings = strings.select(*keys, "home", "field", F.struct(F.col("_value").alias("text"), none.cast("double").alias("confidence"), none.cast("array<array<double>>").alias("quad")).alias("f"))
     mapped = objects.unionByName(strings).where("f.text IS NOT NULL")
     # Containers of the root by rank; any object by its number after them.
     container = F.array_position(F.array(*(F.lit(k) for k in FIELD_CONTAINERS)), F.col("key")).cast("int")
@@ -353,11 +412,8 @@ def _first_listed(v: Column) -> Column:
 def find_uris(responses: DataFrame, keys, column: str = "resp") -> DataFrame:
     """Address in each upload answer: under the known names, else under the first name anywhere that holds ``uri``."""
     known = responses.select(*keys, column, first_uri(F.try_parse_json(F.col(column))).alias("_known"))
-    nodes = json_nodes(known.where("_known IS NULL").select(*keys, column), column)
-    entries = nodes.select(*keys, "no", F.posexplode(F.map_entries(F.from_json("node", "map<string,variant>"))).alias("pos", "e"))
-    value = F.coalesce(non_blank(text_of(F.col("e.value"))), _first_listed(F.col("e.value")))
-    found = entries.where(F.contains(F.lower("e.key"), F.lit("uri"))).select(*keys, "no", "pos", value.alias("_uri")).where("_uri IS NOT NULL")
-    first = found.groupBy(*keys).agg(F.min_by("_uri", F.struct("no", "pos")).alias("_uri"))
+    nodes = read_tree(known.where("_known IS NULL"), keys, [URI], column).where("uri IS NOT NULL")
+    first = nodes.groupBy(*keys).agg(F.min_by("uri", "no").alias("_uri"))
     return known.join(first, [*keys], "left").select(*keys, F.coalesce("_known", "_uri").alias("uri"))
 
 

@@ -46,7 +46,8 @@ def _(t):
        FROM (SELECT event_id, CAST(CAST(event_id%50 AS DOUBLE) AS VARCHAR) AS n, CAST(CAST(event_id%50+2 AS DOUBLE) AS VARCHAR) AS m FROM ocr_items) s""",
 )
 def _(t):
-    return items(t).select("event_id", O.quad_text(O.quad("v")).alias("quad"))
+    read = O.read_tree(t("ocr_items"), KEY, [O.ITEM_POINTS], "item").where("no = 0")
+    return read.select("event_id", O.quad_text(F.col("quad")).alias("quad"))
 
 
 @query(
@@ -89,8 +90,7 @@ def _(t):
 )
 def _(t):
     opened = O.open_envelopes(t("ocr_responses")).where("status = 'ok'")
-    kept = opened.withColumn("payload", O.keep_language(F.col("payload"), "zh"))
-    return O.general_boxes(kept, KEY).select("event_id", "text")
+    return O.general_boxes(opened, KEY, lang="zh").select("event_id", "text")
 
 
 @query("ocr_box_dedup", "SELECT event_id, text, quad, confidence FROM (SELECT *, row_number() OVER (PARTITION BY user_id, text, quad ORDER BY event_id) AS r FROM (SELECT user_id, event_id, event_type AS text, concat('q', CAST(event_id%3 AS VARCHAR)) AS quad, value AS confidence FROM events) s) d WHERE r=1")
@@ -100,12 +100,40 @@ def _(t):
     return first.select("f.event_id", "text", "quad", "f.confidence")
 
 
-@query("json_nodes")
+def _quoted(*pairs: tuple[str, str]) -> str:
+    """SQL for a JSON object of strings; a value is SQL."""
+    return "concat('{', " + ", ',', ".join(f"'\"{k}\":\"', {v}, '\"'" for k, v in pairs) + ", '}')"
+
+
+ET = "event_type"
+LEAVES = [
+    (0, 1, 0, "ocr_infos", _quoted(("lang", "'zh'"), ("prob", "CAST(event_id%100 AS VARCHAR)"), ("text", ET))),
+    (1, 1, 0, "ocr_infos", _quoted(("confidence", "'0.5'"), ("content", ET), ("lang", "'ko'"))),
+    (1, 2, 0, "ocr_infos", _quoted(("lang", "'en'"), ("text", "'x'"))),
+    (2, 1, 0, "texts", _quoted(("Content", ET))),
+    (3, 1, 0, "items", _quoted(("block_content", ET))),
+    (4, 1, 0, "detail", "'{}'"),
+    (4, 2, 1, "textblocks", _quoted(("score", "'0.9'"), ("text", ET), ("x0", "'1'"), ("x1", "'9'"), ("y0", "'2'"), ("y1", "'8'"))),
+]
+
+
+@query(
+    "json_nodes",
+    "SELECT event_id, CAST(0 AS INT) AS no, CAST(-1 AS INT) AS parent, '' AS key, false AS is_item, '{}' AS scalars FROM events WHERE event_id%6<5"
+    + "".join(f" UNION ALL SELECT event_id, CAST({no} AS INT), CAST({parent} AS INT), '{key}', true, {text} FROM events WHERE event_id%6={shape}" for shape, no, parent, key, text in LEAVES),
+)
 def _(t):
-    return O.json_nodes(O.open_envelopes(t("ocr_responses")).where("status = 'ok'").select("event_id", "payload")).select("event_id", "no", "parent", "key", "node")
+    opened = O.open_envelopes(t("ocr_responses")).where("status = 'ok'")
+    return O.json_nodes(opened, KEY).withColumn("scalars", F.to_json("scalars"))
+
+
+FIELDS = [(0, "lang", "'zh'"), (0, "text", ET), (1, "lang", "'ko'"), (1, "content", ET), (1, "confidence", "'0.5'"), (2, "Content", ET), (3, "block_content", ET), (4, "text", ET)]
 
 
-@query("ocr_license_fields")
+@query(
+    "ocr_license_fields",
+    " UNION ALL ".join(f"SELECT event_id, '{field}' AS field, {text} AS text, CAST(NULL AS DOUBLE) AS confidence FROM events WHERE event_id%6={shape}" for shape, field, text in FIELDS),
+)
 def _(t):
     opened = O.open_envelopes(t("ocr_responses")).where("status = 'ok'")
     return O.license_fields(opened, KEY).select("event_id", "field", "text", "confidence")

@@ -8,6 +8,7 @@ import zlib
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelweave.functions import ocr_json as O
 from panelweave.operators import scripts
@@ -19,7 +20,7 @@ def test_tasks_need_no_copy_of_the_package(tmp_path):
     code = (
         f"import sys; sys.path.insert(0, {root!r})\n"
         "from panelweave.session import local_session\nfrom panelweave.functions.ocr_json import json_nodes\n"
-        "spark = local_session(1)\nprint('nodes', json_nodes(spark.createDataFrame([('{\"a\":{}}',)], 'payload string')).count())\n"
+        "spark = local_session(1)\nprint('nodes', json_nodes(spark.createDataFrame([(1, '{\"a\":{}}')], 'id int, payload string'), ['id']).count())\n"
     )
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
     assert "nodes 2" in done.stdout
@@ -80,6 +81,45 @@ def test_general_boxes_prefer_the_main_list(spark):
     assert [(g[2], g[3]) for g in got] == [("b", None), ("hi", 0.9)]
 
 
+def test_places_are_read_at_any_depth(spark):
+    deep = lambda n, place: {"points": deep(n - 1, place)} if n else place
+    corners = {"LeftTop": {"X": 1, "Y": 2}, "rightTop": {"x": 3, "y": 2}, "RightBottom": {"X": 3, "y": 4.5}, "left_bottom": {"X": 1, "Y": 4}}
+    square = [[1.0, 2.0], [3.0, 2.0], [3.0, 4.0], [1.0, 4.0]]
+    places = {
+        "corners": (corners, [[1.0, 2.0], [3.0, 2.0], [3.0, 4.5], [1.0, 4.0]]), "edges": ({"left": 1, "y0": 2, "x1": 3, "bottom": 4}, square), "size": ({"x": 1, "y": 2, "w": 2, "height": 2}, square),
+        "eight": ([1, 2, 3, 2, 3, 4, 1, 4], square), "four": ([1, 2, 3, 4], square), "points": ([["1", 2, 9], [3, "2"], [3, 4], [1, 4]], square),
+        "mixed": ([1, "2", 3, 4], None), "three": ([[1, 2], [3, 2], [3, 4]], None), "words": ([["a", 2], [3, 2], [3, 4], [1, 4]], None), "none": ({}, None), "huge": ([10**400, 2, 3, 4], None),
+    }
+    rows = [(f"{name}{n}", json.dumps({"text": "t", "Quad": deep(n, place)})) for name, (place, _) in places.items() for n in (0, 1, 4, 60)]
+    rows += [("null", json.dumps({"text": "t", "bbox": None, "x0": 1, "top": 2, "right": 3, "y1": 4})), ("late", json.dumps({"text": "t", "Rect": [1, 2, 3, 4], "bbox": "no"}))]
+    got = {r.id: r.quad for r in O.general_boxes(spark.createDataFrame(rows, "id string, payload string"), ["id"]).collect()}
+    want = {f"{name}{n}": points for name, (_, points) in places.items() for n in (0, 1, 4, 60) if points}
+    # Corners nested in a place are objects of the tree too, but hold no text.
+    assert got == {**want, "null": square}
+
+
+def test_trees_of_odd_shape(spark):
+    rows = [
+        (1, '{"a": [[{"b": 1}], {"c": [{"d": null, "e": true}]}], "f": {}}'), (2, "[1, {}]"), (3, "7"), (4, '{"a": {"a": {"a": {"text": "deep", "rect": [0, 0, 1, 1]}}}}'),
+        (5, "[" * 200_000), (None, '{"text": "x"}'), (6, '{"texts": [], "boxes": {"box": [{"text": "in", "x0": 0, "y0": 0, "x1": 1, "y1": 1}]}}'),
+    ]
+    df = spark.createDataFrame(rows, "id int, payload string").withColumns({c: F.lit("x") for c in ("no", "key", "text", "_named", "owner")})
+    got = sorted(tuple(r) for r in O.json_nodes(df, ["id"]).where("id IS NOT NULL").select("id", "no", "parent", "key", "is_item", F.to_json("scalars")).collect())
+    assert got[:5] == [(1, 0, -1, "", False, "{}"), (1, 1, 0, "a", True, '{"b":"1"}'), (1, 2, 0, "a", True, "{}"), (1, 3, 2, "c", True, '{"e":"true"}'), (1, 4, 0, "f", False, "{}")]
+    assert [g[0] for g in got[5:]] == [2, 4, 4, 4, 4, 6, 6, 6]
+    boxes = {(r.id, r.text): r.list_rank for r in O.general_boxes(df, ["id"]).collect()}
+    assert boxes == {(4, "deep"): 1, (6, "in"): 1}, "an empty main list ends the search for one"
+    assert O.general_boxes(df.limit(0), ["id"]).count() == 0 == O.license_fields(df.limit(0), ["id"]).count()
+
+
+def test_lines_of_other_languages_are_left_out(spark):
+    line = lambda text, **more: {"text": text, "rect": [0, 0, 1, 1], **more}
+    answer = {"ocr_infos": [line("a", lang="ZH "), line("b", lang="ko"), line("c"), line("d", lang="en"), line("e", lang="not_lang"), 7], "other": line("f", lang="ko")}
+    df = spark.createDataFrame([(1, json.dumps(answer))], "id int, payload string")
+    assert {r.text for r in O.general_boxes(df, ["id"], lang="zh").collect()} == set("acdef")
+    assert {r.text for r in O.general_boxes(df, ["id"]).collect()} == set("abcdef")
+
+
 def test_license_fields_prefer_known_containers(spark):
     answer = {"x": {"text": "no"}, "Fields": {"name": {"Value": {"text": "Ann"}}, "no": " 7 ", "empty": ""}, "Data": [{"Name": "n", "text": "later"}]}
     listed = {"Data": [{"Name": "n", "text": "v"}, {"Name": "n", "text": "w"}, {"text": "nameless"}]}

@@ -59,7 +59,7 @@ def test_frames_longer_than_a_bucket(spark):
 def test_answers_that_are_no_json(spark):
     df = spark.createDataFrame([(1, "<html>busy</html>"), (2, '{"a":{"myUri":"u"}}'), (3, None), (4, "")], "id int, resp string")
     assert {r.id: r.uri for r in find_uris(df, ["id"]).collect()} == {1: None, 2: "u", 3: None, 4: None}
-    assert {r.id for r in json_nodes(df, "resp").collect()} == {2}
+    assert {r.id for r in json_nodes(df, ["id"], "resp").collect()} == {2}
 
 
 def test_a_mixed_list_is_not_the_main_list(spark):
