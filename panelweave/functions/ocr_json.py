@@ -114,34 +114,71 @@ def request_id(resp: Column) -> Column:
     return F.coalesce(*(F.when((f != "") & (f != "0") & (f != "false"), f) for f in found))
 
 
-def _as_items(v: Column) -> Column:
-    """JSON text of a payload; a bare list goes under ``items``."""
-    return F.when(is_array(v), F.concat(F.lit('{"items":'), F.to_json(v), F.lit("}"))).otherwise(F.to_json(v))
+def _parsed(text: str | None) -> object:
+    """What a JSON text says; None if it is none or nested beyond what the parser takes."""
+    try:
+        return None if text is None else json.loads(text)
+    except (ValueError, RecursionError):
+        return None
 
 
-def open_envelopes(responses: DataFrame, column: str = "resp") -> DataFrame:
-    """Add ``status`` (ok, business_error, invalid), ``code``, ``request_id`` and the ``payload`` as JSON text."""
-    def opened(root: Column) -> Column:
-        code, result, data, listed = (member(root, k) for k in ("code", "Result", "data", "result"))
-        fields = F.from_json(F.to_json(data), "map<string,variant>")
+def _as_object(value: object) -> dict | None:
+    """An object, a bare list going under ``items``; None for anything else."""
+    return {"items": value} if isinstance(value, list) else value if isinstance(value, dict) else None
+
+
+def _opened(root: dict) -> dict | None:
+    """The payload of an answer's envelope: ``Result.Output`` in up to two layers of JSON text, ``data``, or ``result``."""
+    result, data = root.get("Result"), root.get("data")
+    if isinstance(result, dict):
+        found = result.get("Output")
+        for _ in range(2):
+            found = _parsed(found) if isinstance(found, str) else found
+        return _as_object(found)
+    if isinstance(data, dict):
+        detail = _parsed(data["detail"]) if isinstance(data.get("detail"), str) else None
+        return data if detail is None else data | {"detail": detail}
+    return _as_object(root.get("result"))
+
+
+def _request_id(root: dict) -> str | None:
+    for path in REQUEST_ID_PATHS:
+        value: object = root
+        for name in path.split("."):
+            value = value.get(name) if isinstance(value, dict) else None
+        if value:
+            return value if isinstance(value, str) else json.dumps(value)
+    return None
 
-        def decoded(key: Column, value: Column) -> Column:
-            return F.when(key == "detail", F.coalesce(F.try_parse_json(text_of(value)), value)).otherwise(value)
 
-        payload = (
-            F.when(is_object(result), _named(unwrap(member(result, "Output")), _as_items))
-            .when(is_object(data), F.to_json(F.transform_values(fields, decoded)))
-            .when(is_array(listed) | is_object(listed), _as_items(listed))
-        )
-        return F.struct(F.try_variant_get(code, "$", "string").alias("code"), request_id(root).alias("request_id"), payload.alias("payload"))
+def open_envelopes(responses: DataFrame, column: str = "resp") -> DataFrame:
+    """Add ``status`` (ok, business_error, invalid), ``code``, ``request_id`` and the ``payload`` as JSON text.
 
-    def judged(read: Column) -> Column:
-        failed = F.coalesce(read["code"], F.lit("10000")) != "10000"
-        status = F.when(failed, "business_error").when(read["payload"].isNull(), "invalid").otherwise("ok")
-        return F.struct(status.alias("status"), read["code"].alias("code"), read["request_id"].alias("request_id"), F.when(status == "ok", read["payload"]).alias("payload"))
+    Members keep their order. An answer that is null or no JSON is invalid. Each is read once, where it lies: deal small
+    tables out over the cores before.
+    """
+    told = ["status", "code", "request_id", "payload"]
+
+    def read(text: str | None) -> tuple[str | None, ...]:
+        root = _parsed(text)
+        root = root if isinstance(root, dict) else {}
+        code = root.get("code")
+        code = code if code is None or isinstance(code, str) else json.dumps(code)
+        if code not in (None, "10000"):
+            return "business_error", code, _request_id(root), None
+        payload = _opened(root)
+        shown = None if payload is None else json.dumps(payload, ensure_ascii=False, separators=(",", ":"))
+        return "invalid" if payload is None else "ok", code, _request_id(root), shown
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, PIECE):
+                piece = batch.slice(start, PIECE)
+                found = zip(*[read(text) for text in piece.column(column).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*piece.columns, *[pa.array(v, pa.string()) for v in found]], names=[*piece.schema.names, *told])
 
-    read = _named(_named(F.try_parse_json(F.col(column)), opened), judged)
-    return responses.withColumn("_read", read).select(*responses.columns, "_read.*")
+    kept = responses.drop(*told)
+    return kept.mapInArrow(opened, ", ".join([*[f"`{n}` {kind}" for n, kind in kept.dtypes], *[f"{n} string" for n in told]]))
 
 
 def keep_language(payload: Column, lang: str | None) -> Column:
@@ -279,10 +316,7 @@ SHAPE = [("no", pa.int32()), ("parent", pa.int32()), ("key", pa.string()), ("is_
 
 def _objects(text: str | None, lang: str | None) -> Iterator[tuple]:
     """Objects of a JSON text, depth first: number, parent's, name, whether in a list, whether that holds objects only, itself."""
-    try:
-        root = json.loads(text) if text is not None else None
-    except (ValueError, RecursionError):
-        return
+    root = _parsed(text)
     if lang and isinstance(root, dict) and isinstance(root.get("ocr_infos"), list):
         root = root | {"ocr_infos": [i for i in root["ocr_infos"] if isinstance(i, dict) and str(i.get("lang", "")).strip().lower() in ("", lang, "not_lang", "en")]}
     stack, number = [(root, -1, "", False, False)], 0
@@ -303,10 +337,10 @@ def read_tree(payloads: DataFrame, keys, fields: Sequence[Field], column: str =
 
     ``pure`` says that the object stands in a list of objects only. A text that is null, no JSON or nested beyond what the
     parser takes gives no rows. With ``lang``, recognised lines of other languages are left out, see ``keep_language``.
-    Texts are dealt out by key first, since reading them costs far more than moving them.
+    Texts are read where they lie: small tables are best ``dealt`` out before.
     """
     shape = pa.schema([*SHAPE, *[(f.name, f.kind) for f in fields]])
-    kept = payloads.select(*keys, F.col(column).alias("_payload")).repartition(*keys)
+    kept = payloads.select(*keys, F.col(column).alias("_payload"))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -9,6 +9,7 @@ from panelweave.functions import ocr_json as O
 from panelweave.operators.spread import row_numbers
 from panelweave.plans.recipes import RECIPES
 from panelweave.plans.registry import query
+from panelweave.session import dealt
 
 KEY = ["event_id"]
 N = "CAST(event_id%50 AS VARCHAR(20))"
@@ -25,6 +26,10 @@ SELECT event_id, event_type, CASE event_id % 8
 FROM events"""
 
 
+def answers(t):
+    return dealt(t("ocr_responses"), "event_id")
+
+
 def items(t):
     return t("ocr_items").withColumn("v", F.try_parse_json("item"))
 
@@ -46,7 +51,7 @@ def _(t):
        FROM (SELECT event_id, CAST(CAST(event_id%50 AS DOUBLE) AS VARCHAR) AS n, CAST(CAST(event_id%50+2 AS DOUBLE) AS VARCHAR) AS m FROM ocr_items) s""",
 )
 def _(t):
-    read = O.read_tree(t("ocr_items"), KEY, [O.ITEM_POINTS], "item").where("no = 0")
+    read = O.read_tree(dealt(t("ocr_items"), "event_id"), KEY, [O.ITEM_POINTS], "item").where("no = 0")
     return read.select("event_id", O.quad_text(F.col("quad")).alias("quad"))
 
 
@@ -56,7 +61,7 @@ def _(t):
        CASE event_id%6 WHEN 0 THEN concat('r', CAST(event_id AS VARCHAR)) WHEN 2 THEN concat('m', CAST(event_id AS VARCHAR)) END AS request_id FROM ocr_responses""",
 )
 def _(t):
-    return O.open_envelopes(t("ocr_responses")).select("event_id", "status", "code", "request_id")
+    return O.open_envelopes(answers(t)).select("event_id", "status", "code", "request_id")
 
 
 @query("request_id", "SELECT event_id, CASE event_id%6 WHEN 0 THEN concat('r', CAST(event_id AS VARCHAR)) WHEN 2 THEN concat('m', CAST(event_id AS VARCHAR)) END AS request_id FROM ocr_responses")
@@ -80,7 +85,7 @@ def _(t):
        UNION ALL SELECT event_id, 'x', '1.0 1.0,2.0 1.0,2.0 2.0,1.0 2.0', NULL FROM events WHERE event_id%6=1""",
 )
 def _(t):
-    opened = O.open_envelopes(t("ocr_responses")).where("status = 'ok'")
+    opened = O.open_envelopes(answers(t)).where("status = 'ok'")
     return O.general_boxes(opened, KEY).select("event_id", "text", O.quad_text(F.col("quad")).alias("quad"), "confidence")
 
 
@@ -89,7 +94,7 @@ def _(t):
     """SELECT event_id, event_type AS text FROM events WHERE event_id%6 IN (0,2,3,4) UNION ALL SELECT event_id, 'x' FROM events WHERE event_id%6=1""",
 )
 def _(t):
-    opened = O.open_envelopes(t("ocr_responses")).where("status = 'ok'")
+    opened = O.open_envelopes(answers(t)).where("status = 'ok'")
     return O.general_boxes(opened, KEY, lang="zh").select("event_id", "text")
 
 
@@ -107,13 +112,13 @@ def _quoted(*pairs: tuple[str, str]) -> str:
 
 ET = "event_type"
 LEAVES = [
-    (0, 1, 0, "ocr_infos", _quoted(("lang", "'zh'"), ("prob", "CAST(event_id%100 AS VARCHAR)"), ("text", ET))),
-    (1, 1, 0, "ocr_infos", _quoted(("confidence", "'0.5'"), ("content", ET), ("lang", "'ko'"))),
+    (0, 1, 0, "ocr_infos", _quoted(("lang", "'zh'"), ("text", ET), ("prob", "CAST(event_id%100 AS VARCHAR)"))),
+    (1, 1, 0, "ocr_infos", _quoted(("lang", "'ko'"), ("content", ET), ("confidence", "'0.5'"))),
     (1, 2, 0, "ocr_infos", _quoted(("lang", "'en'"), ("text", "'x'"))),
     (2, 1, 0, "texts", _quoted(("Content", ET))),
     (3, 1, 0, "items", _quoted(("block_content", ET))),
     (4, 1, 0, "detail", "'{}'"),
-    (4, 2, 1, "textblocks", _quoted(("score", "'0.9'"), ("text", ET), ("x0", "'1'"), ("x1", "'9'"), ("y0", "'2'"), ("y1", "'8'"))),
+    (4, 2, 1, "textblocks", _quoted(("text", ET), ("x0", "'1'"), ("y0", "'2'"), ("x1", "'9'"), ("y1", "'8'"), ("score", "'0.9'"))),
 ]
 
 
@@ -123,7 +128,7 @@ LEAVES = [
     + "".join(f" UNION ALL SELECT event_id, CAST({no} AS INT), CAST({parent} AS INT), '{key}', true, {text} FROM events WHERE event_id%6={shape}" for shape, no, parent, key, text in LEAVES),
 )
 def _(t):
-    opened = O.open_envelopes(t("ocr_responses")).where("status = 'ok'")
+    opened = O.open_envelopes(answers(t)).where("status = 'ok'")
     return O.json_nodes(opened, KEY).withColumn("scalars", F.to_json("scalars"))
 
 
@@ -135,7 +140,7 @@ FIELDS = [(0, "lang", "'zh'"), (0, "text", ET), (1, "lang", "'ko'"), (1, "conten
     " UNION ALL ".join(f"SELECT event_id, '{field}' AS field, {text} AS text, CAST(NULL AS DOUBLE) AS confidence FROM events WHERE event_id%6={shape}" for shape, field, text in FIELDS),
 )
 def _(t):
-    opened = O.open_envelopes(t("ocr_responses")).where("status = 'ok'")
+    opened = O.open_envelopes(answers(t)).where("status = 'ok'")
     return O.license_fields(opened, KEY).select("event_id", "field", "text", "confidence")
 
 

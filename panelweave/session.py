@@ -58,6 +58,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over as many tasks as the session shuffles into, for rows that cost far more to work on than to move.
+
+    The number is given, so that adaptive execution does not merge small partitions into one slow task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path below the checkpoint folder, for tables that later steps read."""
     ensure_checkpoint_dir(spark)
