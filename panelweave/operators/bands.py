@@ -6,19 +6,21 @@ Cut tables hold keys, ``ord`` (list order), ``y``, ``strength``, ``kind``,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from panelweave.functions.geometry import band_content_score, clip
-from panelweave.operators.spread import BUCKET, last_mark, running_max, with_halo
+from panelweave.operators.spread import BUCKET, interval_sums, last_mark, neighbours, running_max, walked, with_halo
 from panelweave.session import cut_lineage
 
 # Which kind of cut names a group of cuts.
 PRIORITY = {"black_bar": 3, "gutter": 2, "hard_line": 1}
 
+CUT = ("y", "strength", "kind", "span_y1", "span_y2", "meta_e")
+
 AFTER_ALL_CUTS = 1 << 40
 
 
@@ -27,48 +29,86 @@ def priority(kind: Column) -> Column:
     return F.coalesce(F.element_at(ranks, kind), F.lit(0))
 
 
-def _folded(items: Column, start, joins, join) -> Column:
-    """Fold a sorted array into groups: an item either joins the open group or closes it."""
-    first = start(F.element_at(items, 1))
-    begin = F.struct(F.slice(F.array(first), 1, 0).alias("done"), first.alias("open"))
-
-    def step(state: Column, item: Column) -> Column:
-        closed = F.struct(F.concat(state["done"], F.array(state["open"])).alias("done"), start(item).alias("open"))
-        grown = F.struct(state["done"].alias("done"), join(state["open"], item).alias("open"))
-        return F.when(joins(state["open"], item), grown).otherwise(closed)
-
-    rest = F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
-    return F.aggregate(rest, begin, step, lambda state: F.concat(state["done"], F.array(state["open"])))
+def _exits(distance: int):
+    """Per position of a bucket whether a gap lies before it, and the first anchor beyond the bucket if it were one itself."""
+
+    def step(places: Iterable[tuple]) -> Iterator[tuple]:
+        ys, own = zip(*places)
+        n, out = len(ys), {}
+        ahead, led = n, [None] * n
+        for i in range(n - 1, -1, -1):
+            while ahead and ys[ahead - 1] > ys[i] + distance:
+                ahead -= 1
+            # All between a place and the first one beyond its reach lie close together, if that one follows closely.
+            near = ahead < n and ys[ahead] - ys[ahead - 1] <= distance
+            led[i] = (led[ahead] if own[ahead] else ys[ahead]) if near else None
+            if own[i]:
+                out[i] = ys[i], i == 0 or ys[i] - ys[i - 1] > distance, led[i]
+        yield from reversed(out.values())
+
+    return step
+
+
+def _walk_anchors(distance: int):
+    def step(places: Iterable[tuple]) -> Iterator[tuple]:
+        anchor = None
+        for y, door in places:
+            if door or (anchor is not None and y - anchor > distance):
+                anchor = y
+                yield (y,)
+
+    return step
+
+
+def _doors(places: DataFrame, keys: Sequence[str]) -> DataFrame | None:
+    """Positions by which chains enter a bucket from an earlier one, as ``_at``; None if no chain leaves its bucket."""
+    exits = places.where("out IS NOT NULL")
+    if exits.isEmpty():
+        return None
+    to = F.struct(*keys, F.col("out").alias("y"))
+    entered = exits.select(to.alias("at"), F.lit(True).alias("_entered")).distinct()
+    state = places.select(F.struct(*keys, "y").alias("at"), F.when(F.col("out").isNotNull(), to).alias("to"), F.col("door").alias("anchor"))
+    state = cut_lineage(state.join(entered, "at", "left").where("_entered OR (anchor AND to IS NOT NULL)").drop("_entered"))
+    while not (led := state.where("anchor AND to IS NOT NULL").select(F.col("to").alias("at"), F.lit(True).alias("_led"))).isEmpty():
+        ahead = state.select(F.col("at").alias("to"), F.col("to").alias("_next"))
+        stepped = state.join(led.distinct(), "at", "left").join(ahead, "to", "left")
+        state = cut_lineage(stepped.select("at", F.col("_next").alias("to"), (F.col("anchor") | F.col("_led").isNotNull()).alias("anchor")))
+    return state.where("anchor").select(F.col("at").alias("_at"), F.lit(True).alias("_door"))
+
+
+def _anchors(cuts: DataFrame, keys: Sequence[str], distance: int, size: int = 4096) -> DataFrame:
+    """Positions at which a group of cuts begins: the first after a gap, and from an anchor the first one beyond ``distance``.
+
+    A bucket tells for each of its positions where the chain from there leaves it.  Marks then go from bucket to bucket
+    along those exits while the steps double, so a stretch over b buckets takes log2(b) rounds of its few exits, and each
+    bucket is walked by itself from the doors found.
+    """
+    near = with_halo(cuts.select(*keys, "y").distinct(), keys, "y", distance, 2 * distance, size)
+    group = [*keys, BUCKET]
+    kinds = StructType([*near.select(*group, "y").schema.fields, StructField("door", BooleanType()), StructField("out", near.schema["y"].dataType)])
+    places = cut_lineage(walked(near.select(*group, "y", "_own"), group, ["y"], kinds, _exits(distance)))
+    doors = _doors(places, keys)
+    opened = places.select(*group, "y", "door")
+    if doors is not None:
+        far = opened.withColumn("_at", F.struct(*keys, "y")).join(doors, "_at", "left")
+        opened = far.select(*group, "y", (F.col("door") | F.col("_door").isNotNull()).alias("door"))
+    return walked(opened, group, ["y"], near.select(*group, "y").schema, _walk_anchors(distance)).drop(BUCKET)
 
 
 def merge_cuts(cuts: DataFrame, keys: Sequence[str], distance: int = 25) -> DataFrame:
-    """Merge cuts within ``distance`` of the first cut of their group.
+    """Merge cuts within ``distance`` of the first cut of their group; chains do not extend a group.
 
-    Chains do not extend a group.  A gap wider than ``distance`` always closes
-    one, so that each stretch between such gaps is folded by itself.
+    The kind is that of the first cut of highest priority, the edge note that of the first cut.
     """
-    order = [F.col("y"), F.col("ord")]
-    near = with_halo(cuts, keys, "y", distance, 0)
-    previous = F.lag("y").over(Window.partitionBy(*keys, BUCKET).orderBy(*order))
-    opened = near.withColumn("_prev", previous).where("_own")
-    opened = opened.withColumn("_start", F.when(F.coalesce(F.col("y") - F.col("_prev") > distance, F.lit(True)), F.col("y")))
-    stretches = running_max(opened.drop(BUCKET, "_own", "_prev"), keys, order, F.col("y"), F.col("_start"), "_stretch")
-    item = F.struct("y", "ord", "strength", "kind", "span_y1", "span_y2", "meta_e")
-    lists = stretches.groupBy(*keys, "_stretch").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    def start(c: Column) -> Column:
-        return F.struct(*(c[n].alias(n) for n in ("y", "strength", "kind", "span_y1", "span_y2", "meta_e")), F.lit(1).alias("merged"))
-
-    def join(g: Column, c: Column) -> Column:
-        return F.struct(
-            g["y"].alias("y"), F.greatest(g["strength"], c["strength"]).alias("strength"),
-            F.when(priority(c["kind"]) > priority(g["kind"]), c["kind"]).otherwise(g["kind"]).alias("kind"),
-            F.least(g["span_y1"], c["span_y1"]).alias("span_y1"), F.greatest(g["span_y2"], c["span_y2"]).alias("span_y2"),
-            g["meta_e"].alias("meta_e"), (g["merged"] + 1).alias("merged"),
-        )
-
-    groups = _folded(F.col("items"), start, lambda g, c: c["y"] - g["y"] <= distance, join)
-    return lists.select(*keys, F.inline(groups)).withColumn("ord", F.col("y").cast("long"))
+    cuts = cut_lineage(cuts.select(*keys, "ord", *CUT))
+    anchors = _anchors(cuts, keys, distance)
+    placed = last_mark(cuts, anchors, keys, F.col("y"), F.col("y"), [F.col("y")], "_anchor")
+    place = F.struct("y", "ord")
+    groups = placed.groupBy(*keys, F.col("_anchor.y").alias("_y")).agg(
+        F.max("strength").alias("strength"), F.min_by("kind", F.struct((-priority(F.col("kind"))).alias("rank"), "y", "ord")).alias("kind"),
+        F.min("span_y1").alias("span_y1"), F.max("span_y2").alias("span_y2"), F.min_by("meta_e", place).alias("meta_e"), F.count(F.lit(1)).cast("int").alias("merged"),
+    )
+    return groups.withColumnRenamed("_y", "y").withColumn("ord", F.col("y").cast("long"))
 
 
 def bar_spans(cuts: DataFrame, keys: Sequence[str], min_height: int = 24, distance: int = 8) -> DataFrame:
@@ -96,6 +136,28 @@ def split_intervals(intervals: DataFrame, cuts: DataFrame, keys: Sequence[str])
     return ahead.select(*keys, "iv_y1", "iv_y2", F.col("y").alias("y1"), F.coalesce(-F.col("_next"), F.col("iv_y2")).alias("y2"))
 
 
+def _walk_small(min_height: int):
+    """Walk a stretch: a band low enough waits for the next, or widens the last one done."""
+
+    def step(bands: Iterable[tuple]) -> Iterator[tuple]:
+        last = waiting = None
+        for y1, y2, above, below in bands:
+            y1 = y1 if waiting is None else waiting
+            first, final, waiting = above is None, below is None, None
+            if y2 - y1 >= min_height or (final and (first or last is None)):
+                if last:
+                    yield last
+                last = y1, y2
+            elif first or (not final and (last is None or below >= last[1] - last[0])):
+                waiting = y1
+            else:
+                last = last[0], y2
+        if last:
+            yield last
+
+    return step
+
+
 def merge_small(raw: DataFrame, keys: Sequence[str], min_height: int = 180) -> DataFrame:
     """Merge bands under ``min_height`` into a neighbour, left to right, per interval.
 
@@ -103,37 +165,14 @@ def merge_small(raw: DataFrame, keys: Sequence[str], min_height: int = 180) -> D
     Two tall bands side by side never exchange rows, so that the walk is split there.
     """
     keys = [*keys, "iv_y1", "iv_y2"]
+    linked = neighbours(raw.select(*keys, "y1", "y2"), keys, F.col("y1"), ["y1", "y2"])
     height = F.col("y2") - F.col("y1")
-    before = raw.select(*keys, F.col("y2").alias("y1"), height.alias("prev_h"))
-    after = raw.select(*keys, F.col("y1").alias("y2"), height.alias("next_h"))
-    linked = raw.join(before, [*keys, "y1"], "left").join(after, [*keys, "y2"], "left")
+    linked = cut_lineage(linked.select(*keys, "y1", "y2", *[(F.col(n)["y2"] - F.col(n)["y1"]).alias(f"{n}_h") for n in ("prev", "next")]))
     starts = F.col("prev_h").isNull() | ((F.col("prev_h") >= min_height) & (height >= min_height))
-    linked = running_max(linked, keys, [F.col("y1")], F.col("y1"), F.when(starts, F.col("y1")), "_part")
-    item = F.struct("y1", "y2", "prev_h", "next_h")
-    lists = linked.groupBy(*keys, "_part").agg(F.array_sort(F.collect_list(item)).alias("items"))
-
-    band = "struct<y1:int,y2:int>"
-    begin = F.struct(F.array().cast(f"array<{band}>").alias("done"), F.lit(None).cast("int").alias("pending"))
-
-    def step(state: Column, b: Column) -> Column:
-        done = state["done"]
-        left = F.element_at(F.when(F.size(done) > 0, done), -1)
-        y1 = F.coalesce(state["pending"], b["y1"])
-        first, last = b["prev_h"].isNull(), b["next_h"].isNull()
-        commit = (b["y2"] - y1 >= min_height) | (first & last) | (last & (F.size(done) == 0))
-        wait = first | (~last & ((F.size(done) == 0) | (b["next_h"] >= left["y2"] - left["y1"])))
-        appended = F.concat(done, F.array(F.struct(y1.alias("y1"), b["y2"].alias("y2"))))
-        others = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        widened = F.concat(others, F.array(F.struct(left["y1"].alias("y1"), b["y2"].alias("y2"))))
-        none = F.lit(None).cast("int")
-
-        def state_of(bands: Column, pending: Column) -> Column:
-            return F.struct(bands.alias("done"), pending.alias("pending"))
-
-        return F.when(commit, state_of(appended, none)).when(wait, state_of(done, y1)).otherwise(state_of(widened, none))
-
-    merged = F.aggregate(F.col("items"), begin, step, lambda state: state["done"])
-    return lists.select(*keys, F.inline(merged))
+    parts = running_max(linked, keys, [F.col("y1")], F.col("y1"), F.when(starts, F.col("y1")), "_part")
+    group = [*keys, "_part"]
+    schema = parts.select(*group, "y1", "y2").schema
+    return walked(parts.select(*group, "y1", "y2", "prev_h", "next_h"), group, ["y1"], schema, _walk_small(min_height)).drop("_part")
 
 
 def score_bands(bands: DataFrame, cuts: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -203,57 +242,57 @@ def build_bands(images: DataFrame, cuts: DataFrame, keys: Sequence[str], min_hei
     return between.unionByName(own).unionByName(bare)
 
 
-def band_feature_means(bands: DataFrame, rows: DataFrame, keys: Sequence[str], block: int = 1024) -> DataFrame:
+def band_feature_means(bands: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Sums and means of white and edge shares over each band's rows."""
-    last = F.greatest(F.col("y2") - 1, F.col("y1"))
-    blocks = F.explode(F.sequence(F.floor(F.col("y1") / F.lit(block)), F.floor(last / F.lit(block))))
-    spread = bands.select(*keys, "y1", "y2").distinct().withColumn("_block", blocks)
-    lined = rows.select(*keys, "y", "white_ratio", "edge_density", F.floor(F.col("y") / F.lit(block)).alias("_block"))
-    sums = spread.join(lined, [*keys, "_block"]).where("y >= y1 AND y < y2").groupBy(*keys, "y1", "y2").agg(
-        F.sum("white_ratio").alias("white_sum"), F.sum("edge_density").alias("edge_sum"), F.count(F.lit(1)).alias("row_count")
-    )
-    return bands.join(sums, [*keys, "y1", "y2"], "left").fillna(0, ["white_sum", "edge_sum", "row_count"]).withColumns({
+    named = {"white_ratio": "white_sum", "edge_density": "edge_sum", "n_rows": "row_count"}
+    found = interval_sums(bands.select(*keys, "y1", "y2").distinct(), rows, keys, ["white_ratio", "edge_density"]).withColumnsRenamed(named)
+    sums = found.select(F.struct(*keys, "y1", "y2").alias("_band"), *named.values())
+    return bands.withColumn("_band", F.struct(*keys, "y1", "y2")).join(sums, "_band").drop("_band").withColumns({
         "white_mean": F.coalesce(F.try_divide(F.col("white_sum"), F.col("row_count")), F.lit(0.0)),
         "edge_mean": F.coalesce(F.try_divide(F.col("edge_sum"), F.col("row_count")), F.lit(0.0)),
     })
 
 
-def _absorb(part: pd.DataFrame, min_height: int, small: int, small_at_end: int, threshold: float) -> pd.DataFrame:
-    """Walk one stretch of bands and let low-content ones join a neighbour."""
-    bands = part.sort_values("y1").to_dict("records")
-
-    def content(b) -> float:
-        rows = b["row_count"]
-        if not rows:
-            return 0.0
-        blank = min(max(1.0 - b["white_sum"] / rows, 0.0), 1.0)
-        edges = min(max(b["edge_sum"] / rows, 0.0), 1.0)
-        return min(max(0.6 * blank + 0.4 * min(edges / 0.02, 1.0), 0.0), 1.0)
-
-    def pull(b) -> float:
-        return content(b) + 0.15 * min(max(b["y2"] - b["y1"], 1) / max(min_height, 1), 1.0)
-
-    at = 0
-    while at < len(bands):
-        band = bands[at]
-        outer = band["is_first"] or band["is_last"]
-        tall = band["y2"] - band["y1"] >= (small_at_end if outer else small)
-        sides = [i for i in (at - 1, at + 1) if 0 <= i < len(bands)]
-        if tall or not sides or content(band) >= threshold * (1.25 if outer else 1.0):
-            at += 1
-            continue
-        target = max(sides, key=lambda i: pull(bands[i]))
-        into = bands[target]
-        bands[target] = {
-            **into,
-            "y1": min(into["y1"], band["y1"]), "y2": max(into["y2"], band["y2"]), "score": max(into["score"], band["score"]),
-            "white_sum": into["white_sum"] + band["white_sum"], "edge_sum": into["edge_sum"] + band["edge_sum"],
-            "row_count": into["row_count"] + band["row_count"],
-            "is_first": into["is_first"] or band["is_first"], "is_last": into["is_last"] or band["is_last"],
-        }
-        del bands[at]
-        at = max(at - 1, 0)
-    return pd.DataFrame(bands, columns=part.columns)
+def _content(white_sum: float, edge_sum: float, rows: int) -> float:
+    """The score of ``band_content_score`` from sums over a band's rows; 0 without rows."""
+    if not rows:
+        return 0.0
+    blank, edges = min(max(1.0 - white_sum / rows, 0.0), 1.0), min(max(edge_sum / rows, 0.0), 1.0)
+    return min(max(0.6 * blank + 0.4 * min(edges / 0.02, 1.0), 0.0), 1.0)
+
+
+def _walk_empty(min_height: int, small: int, small_at_end: int, threshold: float):
+    """Walk a stretch: a low band of little content joins the neighbour with more of it, and the walk steps back one.
+
+    What lies behind is a stack and what lies ahead is read on, so a step costs the same however long the stretch is.
+    """
+
+    def pull(band: list) -> float:
+        return band[-1] + 0.15 * min(max(band[1] - band[0], 1) / max(min_height, 1), 1.0)
+
+    def joined(into: list, band: list) -> list:
+        y1, y2, score, reason, *sums = min(into[0], band[0]), max(into[1], band[1]), max(into[2], band[2]), into[3], *[into[k] + band[k] for k in (4, 5, 6)]
+        return [y1, y2, score, reason, *sums, into[7] or band[7], into[8] or band[8], _content(*sums)]
+
+    def step(bands: Iterable[tuple]) -> Iterator[tuple]:
+        ahead = ([*b, _content(*b[4:7])] for b in bands)
+        behind, after = [], next(ahead, None)
+        while after is not None:
+            band, after = after, next(ahead, None)
+            while band is not None:
+                outer = band[7] or band[8]
+                stays = band[1] - band[0] >= (small_at_end if outer else small) or band[-1] >= threshold * (1.25 if outer else 1.0)
+                if stays or not (behind or after):
+                    behind.append(band)
+                    band = None
+                elif after is None or (behind and pull(behind[-1]) >= pull(after)):
+                    band = joined(behind.pop(), band)
+                else:
+                    after = joined(after, band)
+                    band = behind.pop() if behind else None
+        yield from (band[:4] for band in behind)
+
+    return step
 
 
 def refine_bands(bands: DataFrame, rows: DataFrame, keys: Sequence[str], min_height: int = 180, small_ratio: float = 0.85,
@@ -271,18 +310,16 @@ def refine_bands(bands: DataFrame, rows: DataFrame, keys: Sequence[str], min_hei
     tall = is_bar | (F.col("y2") - F.col("y1") >= small_at_end)
     marked = means.join(ends, [*keys]).withColumns({"is_first": F.col("y1") == F.col("_lo"), "is_last": F.col("y2") == F.col("_hi"), "_tall": tall})
     marked = marked.where(~is_bar)
-    before = means.select(*keys, F.col("y2").alias("y1"), tall.alias("_left_tall"), is_bar.alias("_left_bar")).where("y1 > 0")
-    linked = marked.join(before, [*keys, "y1"], "left")
+    before = means.select(F.struct(*keys, F.col("y2").alias("y1")).alias("_end"), tall.alias("_left_tall"), is_bar.alias("_left_bar")).where("_end.y1 > 0")
+    linked = marked.withColumn("_end", F.struct(*keys, "y1")).join(before, "_end", "left").drop("_end")
     starts = F.coalesce(F.col("_left_bar") | (F.col("_tall") & F.col("_left_tall")), F.lit(True))
     parts = running_max(linked, keys, [F.col("y1")], F.col("y1"), F.when(starts, F.col("y1")), "_part")
     low = band_content_score(F.col("white_mean"), F.col("edge_mean")) < threshold * 1.25
-    busy = parts.groupBy(*keys, "_part").agg((F.bool_or(~F.col("_tall") & low) & (F.count(F.lit(1)) > 1)).alias("_busy"))
-    columns = [*keys, "_part", "y1", "y2", "score", "reason", "white_sum", "edge_sum", "row_count", "is_first", "is_last"]
-    walked = parts.join(busy, [*keys, "_part"]).select(*columns, "_busy")
-    todo = walked.where("_busy").drop("_busy")
-    done = todo.groupBy(*keys, "_part").applyInPandas(
-        lambda part: _absorb(part, min_height, small, small_at_end, threshold), todo.schema
-    )
-    kept = ["y1", "y2", "score", "reason"]
+    marked = cut_lineage(parts.withColumn("_low", ~F.col("_tall") & low))
+    group, kept = [*keys, "_part"], ["y1", "y2", "score", "reason"]
+    busy = marked.groupBy(F.struct(*group).alias("_stretch")).agg((F.bool_or("_low") & (F.count(F.lit(1)) > 1)).alias("_busy"))
+    told = marked.withColumn("_stretch", F.struct(*group)).join(busy, "_stretch").drop("_stretch")
+    todo = told.where("_busy").select(*group, *kept, "white_sum", "edge_sum", "row_count", "is_first", "is_last")
+    done = walked(todo, group, ["y1"], todo.select(*group, *kept).schema, _walk_empty(min_height, small, small_at_end, threshold))
     bars = means.where(is_bar).select(*keys, *kept)
-    return done.select(*keys, *kept).unionByName(walked.where("NOT _busy").select(*keys, *kept)).unionByName(bars)
+    return done.select(*keys, *kept).unionByName(told.where("NOT _busy").select(*keys, *kept)).unionByName(bars)

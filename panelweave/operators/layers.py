@@ -23,7 +23,7 @@ def layer_texts(layers: DataFrame, keys: Sequence[str], width: int, height: int)
     text = strip(F.replace(F.coalesce("layer_text", F.lit("")), F.lit("\r"), F.lit("\n")))
     kept = layers.where(F.col("kind").isin(*TEXT_KINDS)).select(*keys, "layer_id", text.alias("text"), *box.aliased())
     kept = kept.where((G.area(Box.named()) > 0) & (F.col("text") != ""))
-    numbered = row_numbers(kept, keys, [F.col("layer_id")], F.col("layer_id"), name="_no")
+    numbered = row_numbers(kept, keys, [F.col("layer_id")], name="_no")
     return numbered.withColumns({"text_id": F.format_string("psd_%03d", "_no"), "conf": F.lit(1.0)}).drop("_no")
 
 
@@ -33,7 +33,7 @@ def layer_paths(tree: DataFrame, keys: Sequence[str]) -> DataFrame:
     Each round doubles how far up a path reaches, so that a tree of depth d takes log2(d) joins.  A round that finishes
     no path means that the rest lie in or below a circle, which is an error.
     """
-    numbered = row_numbers(tree, keys, [F.col("pos")], F.col("pos"), name="number")
+    numbered = row_numbers(tree, keys, [F.col("pos")], name="number")
     paths = cut_lineage(numbered.select(*keys, "layer_id", "number", F.col("above").alias("_up"), F.concat("name", F.lit("#"), "layer_id").alias("path")))
     before = None
     while open_ := paths.where("_up IS NOT NULL").count():
@@ -78,7 +78,7 @@ def accepted_in_order(judged: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Accepted layers by overlap, then the smaller area, then layer order."""
     passed = judged.where("reason = 'ratio_pass'")
     area = [F.col("bubble_area_ratio")] if "bubble_area_ratio" in judged.columns else []
-    return row_numbers(passed, keys, [F.desc("overlap_ratio"), *area, F.col("layer_id")], -F.col("overlap_ratio") * 100, size=5, name="place")
+    return row_numbers(passed, keys, [F.desc("overlap_ratio"), *area, F.col("layer_id")], name="place")
 
 
 def slowest(judged: DataFrame, keys: Sequence[str], top: int = 10) -> DataFrame:

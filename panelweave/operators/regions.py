@@ -118,13 +118,13 @@ def number_panels(regions: DataFrame, keys: Sequence[str], width: int, height: i
     padded = G.pad_to_page(Box.named(), pad, F.lit(width), F.lit(height))
     good = regions.where(F.col("score") >= score).where(~padded.empty).withColumns({"_y": F.col("y1"), "_x": F.col("x1")})
     good = good.withColumns(dict(zip(("x1", "y1", "x2", "y2"), padded)))
-    numbered = row_numbers(good, keys, [F.col("_y"), F.col("_x"), F.col("region_id")], F.col("_y"), name="_no")
+    numbered = row_numbers(good, keys, [F.col("_y"), F.col("_x"), F.col("region_id")], name="_no")
     return numbered.withColumn("panel_id", F.format_string("panel_%03d", "_no")).drop("_no", "_x", "_y")
 
 
 def band_panels(bands: DataFrame, keys: Sequence[str], width: int, height: int, pad: int = 6) -> DataFrame:
     """One full-width panel per band; an empty band leaves a gap in the numbers."""
-    numbered = row_numbers(bands, keys, [F.col("y1"), F.col("y2")], F.col("y1"), name="_no")
+    numbered = row_numbers(bands, keys, [F.col("y1"), F.col("y2")], name="_no")
     y1, y2 = F.greatest(F.col("y1") - pad, F.lit(0)), F.least(F.col("y2") + pad, F.lit(height))
     return numbered.where(y2 > y1).select(
         *keys, F.format_string("panel_%03d", "_no").alias("panel_id"), F.lit(-1).alias("region_id"), (F.col("_no") - 1).alias("band_index"),

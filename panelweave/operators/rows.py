@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelweave.functions.geometry import clip
-from panelweave.operators.spread import BUCKET, last_mark, true_runs, with_halo
+from panelweave.operators.spread import BUCKET, interval_sums, last_mark, true_runs, with_halo
 from panelweave.session import cut_lineage
 
 CUT_COLUMNS = ("y", "strength", "kind", "span_y1", "span_y2", "meta_e")
@@ -127,7 +127,7 @@ def weighted_median(weights: DataFrame, keys: Sequence[str], value: str = "mid_y
 def detect_hard_lines(segments: DataFrame, keys: Sequence[str], width: int, height: int, density_thr: float = 0.12,
                       min_run: int = 10, half_span: int = 9) -> DataFrame:
     """Cuts at runs of rows crossed by many ruled lines, in images whose lines agree."""
-    lines = long_segments(segments, width)
+    lines = cut_lineage(long_segments(segments, width))
     stats = cut_lineage(orientation_stats(lines, keys, width, height).where("passes"))
     lines = lines.join(stats.select(*keys), [*keys], "left_semi")
     density = cut_lineage(line_density(lines, keys, width, height))
@@ -153,19 +153,23 @@ def detect_hard_lines(segments: DataFrame, keys: Sequence[str], width: int, heig
 
 def content_difference(cuts: DataFrame, rows: DataFrame, keys: Sequence[str], window: int = 64, gray_thr: float = 0.02,
                        edge_thr: float = 0.002, floor: float = 0.4) -> DataFrame:
-    """Weaken cuts with alike rows above and below.  Adds ``gray_diff`` and ``edge_diff``."""
-    near = cuts.select(*keys, F.col("y").alias("cut_y")).distinct()
-    near = near.withColumn("y", F.explode(F.sequence(F.col("cut_y") - window, F.col("cut_y") + window - 1)))
-    above = F.col("y") < F.col("cut_y")
+    """Weaken cuts with alike rows above and below.  Adds ``gray_diff`` and ``edge_diff``.
 
-    def mean(column: str, side: Column) -> Column:
-        return F.coalesce(F.avg(F.when(side, F.col(column))), F.lit(0.0))
-
-    means = near.join(rows.select(*keys, "y", "gray_mean", "edge_density"), [*keys, "y"]).groupBy(*keys, "cut_y").agg(
-        (F.abs(mean("gray_mean", above) - mean("gray_mean", ~above)) / 255.0).alias("gray_diff"),
-        F.abs(mean("edge_density", above) - mean("edge_density", ~above)).alias("edge_diff"),
-    )
-    joined = cuts.join(means.withColumnRenamed("cut_y", "y"), [*keys, "y"], "left").fillna(0.0, ["gray_diff", "edge_diff"])
+    A side's mean comes from running sums at its two ends, not from its rows.
+    """
+    at = cuts.select(*keys, "y").distinct()
+    sides = at.select(*keys, F.explode(F.array(F.struct((F.col("y") - window).alias("y1"), F.col("y").alias("y2")), F.struct(F.col("y").alias("y1"), (F.col("y") + window).alias("y2")))).alias("s"))
+    sums = cut_lineage(interval_sums(sides.select(*keys, "s.*").distinct(), rows, keys, ["gray_mean", "edge_density"]))
+
+    def side(name: str, end: str) -> DataFrame:
+        means = [F.coalesce(F.try_divide(F.col(c), F.col("n_rows")), F.lit(0.0)).alias(c) for c in ("gray_mean", "edge_density")]
+        return sums.select(F.struct(*keys, F.col(end).alias("y")).alias("_at"), F.col("y2" if end == "y1" else "y1").alias("_other"), F.struct(*means).alias(name))
+
+    above = side("_above", "y2").where(F.col("_at.y") - F.col("_other") == window).drop("_other")
+    below = side("_below", "y1").where(F.col("_other") - F.col("_at.y") == window).drop("_other")
+    joined = cuts.withColumn("_at", F.struct(*keys, "y")).join(above, "_at").join(below, "_at").drop("_at")
+    diff = {"gray_diff": F.abs(F.col("_above.gray_mean") - F.col("_below.gray_mean")) / 255.0, "edge_diff": F.abs(F.col("_above.edge_density") - F.col("_below.edge_density"))}
+    joined = joined.withColumns(diff).drop("_above", "_below")
     scale = clip(F.lit(floor) + F.col("gray_diff") / F.lit(max(gray_thr, 1e-6)) * F.lit(1.0 - floor), floor, 1.0)
     alike = (F.col("gray_diff") < gray_thr) & (F.col("edge_diff") < edge_thr)
     return joined.withColumn("strength", F.when(alike, clip(F.col("strength") * scale, 0.0, 1.0)).otherwise(F.col("strength")))

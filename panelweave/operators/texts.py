@@ -16,7 +16,7 @@ from panelweave.functions.text import SIMILARITIES
 from panelweave.operators.rounds import components, matched
 from panelweave.operators.spatial import nearest_by_center, touching_pairs
 from panelweave.operators.spread import row_numbers
-from panelweave.session import cut_lineage
+from panelweave.session import cut_lineage, dealt
 
 
 def _reach(box: Box, factor: float) -> Box:
@@ -104,7 +104,7 @@ def unify(texts: DataFrame, mapping: DataFrame, panels: DataFrame, keys: Sequenc
 def reading_order(items: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Number the assigned texts of each panel from top to bottom, then left to right."""
     assigned = items.where("status = 'assigned'")
-    return row_numbers(assigned, [*keys, "primary_panel_id"], [F.col("rel_y1"), F.col("rel_x1"), F.col("text_id")], F.col("rel_y1"), name="reading_no")
+    return row_numbers(assigned, [*keys, "primary_panel_id"], [F.col("rel_y1"), F.col("rel_x1"), F.col("text_id")], name="reading_no")
 
 
 def match_edges(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[str], similarity: str = "edit", cell: int = 128) -> DataFrame:
@@ -121,7 +121,7 @@ def match_edges(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[str
     near = pairs.withColumns({"iou": overlap, "distance": distance}).where("iou >= 0.35 OR distance <= 0.25")
     near = near.withColumn("geom_score", F.greatest(F.col("iou"), F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance"))))
     near = near.withColumn("_need", F.when(F.col("geom_score") >= 0.70, F.lit(0.65)).otherwise(F.lit(0.999)))
-    near = near.hint("rebalance")
+    near = dealt(near, *keys, "text_id", "o_text_id")
     alike = near.withColumn("text_score", SIMILARITIES[similarity](F.col("text"), F.col("o_text"), F.col("_need")))
     return alike.where(F.col("text_score") >= F.col("_need")).select(
         *keys, F.col("text_id").alias("layer_text_id"), F.col("o_text_id").alias("ocr_text_id"), "geom_score", "text_score",
@@ -162,7 +162,7 @@ def merge_sources(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[s
 
 def renumber(texts: DataFrame, keys: Sequence[str], ties: Sequence[Column], name: str = "text_id", label: str = "text") -> DataFrame:
     """New ids ``text_001`` ... per page, from top to bottom, then left to right."""
-    numbered = row_numbers(texts, keys, [F.col("y1"), F.col("x1"), *ties], F.col("y1"), name="_no")
+    numbered = row_numbers(texts, keys, [F.col("y1"), F.col("x1"), *ties], name="_no")
     return numbered.withColumn(name, F.format_string(f"{label}_%03d", "_no")).drop("_no")
 
 

@@ -146,7 +146,7 @@ def _(t):
 
 @query("ocr_numbering", "SELECT doc_id, line_no, printf('ocr_%03d', row_number() OVER (PARTITION BY doc_id ORDER BY line_no)) AS text_id FROM lines WHERE trim(line)<>''")
 def _(t):
-    numbered = row_numbers(t("lines"), ["doc_id"], [F.col("line_no")], F.col("line_no"), name="no")
+    numbered = row_numbers(t("lines"), ["doc_id"], [F.col("line_no")], name="no")
     return numbered.where(F.trim("line") != "").select("doc_id", "line_no", F.format_string("ocr_%03d", "no").alias("text_id"))
 
 

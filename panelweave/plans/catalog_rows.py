@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelweave.operators import bands as D
 from panelweave.operators import rows as R
 from panelweave.plans.registry import query
+from panelweave.session import cut_lineage
 
 KEYS = ["image_id"]
 FEATS = """feats AS (SELECT image_id, y, gray_mean, sum(white_raw) OVER w / 21e0 AS white_ratio, sum(dark_raw) OVER w / 21e0 AS dark_ratio,
@@ -95,12 +96,12 @@ def _rescaled(cuts, name):
 STEPPED = "stepped AS (SELECT image_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY y) AS BIGINT) AS ord, y, 'gutter' AS kind, 0.5e0 + (y%50)/100e0 AS strength, y-2 AS span_y1, y+2 AS span_y2, 0e0 AS meta_e FROM (SELECT image_id, y FROM row_profile) s)"
 
 
-@query("content_diff_rescale", f"WITH {FEATS}, {STEPPED}, {_rescaled('stepped', 'scaled')} SELECT image_id, y, round(strength,5) AS strength, round(gray_diff,5) AS gray_diff FROM scaled")
+@query("content_diff_rescale", f"WITH {FEATS}, {STEPPED}, {_rescaled('stepped', 'scaled')} SELECT image_id, y, round(strength,9) AS strength, round(gray_diff,9) AS gray_diff FROM scaled")
 def _(t):
     rows = feats(t)
     cuts = rows.select("image_id", "y", (F.lit(0.5) + F.col("y") % 50 / 100.0).alias("strength"))
     scaled = R.content_difference(cuts, rows, KEYS)
-    return scaled.select("image_id", "y", F.round("strength", 5).alias("strength"), F.round("gray_diff", 5).alias("gray_diff"))
+    return scaled.select("image_id", "y", F.round("strength", 9).alias("strength"), F.round("gray_diff", 9).alias("gray_diff"))
 
 
 def _spans(cuts, name="spans"):
@@ -146,7 +147,7 @@ def _small(raw="raw", name="small"):
 
 @query("merge_small_bands", f"WITH RECURSIVE {LISTED}, {WHOLE}, {_split('listed', 'whole')}, {_small()} SELECT image_id, CAST(y1 AS INT) AS y1, CAST(y2 AS INT) AS y2 FROM small")
 def _(t):
-    return D.merge_small(D.split_intervals(whole(t), listed(t), KEYS), KEYS).select("image_id", "y1", "y2")
+    return D.merge_small(D.split_intervals(cut_lineage(whole(t)), cut_lineage(listed(t)), KEYS), KEYS).select("image_id", "y1", "y2")
 
 
 def _scored(bands, cuts, name="scored"):
@@ -179,7 +180,7 @@ def fixed(t):
 
 @query("band_nearest_cuts", f"WITH {LISTED}, {FIXED}, {_scored('fixed', 'listed')} SELECT {BAND_OUT} FROM scored")
 def _(t):
-    return _band_out(D.score_bands(fixed(t), listed(t), KEYS))
+    return _band_out(D.score_bands(cut_lineage(fixed(t)), cut_lineage(listed(t)), KEYS))
 
 
 HEIGHTS = "heights AS (SELECT CAST(floor(event_id/35) AS BIGINT) AS image_id, 3000 + CAST(min(event_id)%9 AS INT)*500 AS height FROM events GROUP BY 1)"
@@ -217,11 +218,11 @@ def _(t):
 
 @query(
     "band_feature_means",
-    f"""WITH {FEATS} SELECT b.image_id, CAST(b.y1 AS INT) AS y1, CAST(b.y2 AS INT) AS y2, round(coalesce(avg(f.white_ratio),0e0),6) AS white_mean, round(coalesce(avg(f.edge_density),0e0),6) AS edge_mean
+    f"""WITH {FEATS} SELECT b.image_id, CAST(b.y1 AS INT) AS y1, CAST(b.y2 AS INT) AS y2, round(coalesce(avg(f.white_ratio),0e0),9) AS white_mean, round(coalesce(avg(f.edge_density),0e0),9) AS edge_mean
         FROM band_list b LEFT JOIN feats f ON f.image_id=b.image_id AND f.y>=b.y1 AND f.y<b.y2 GROUP BY 1,2,3""",
 )
 def _(t):
-    return D.band_feature_means(t("band_list"), feats(t), KEYS).select("image_id", "y1", "y2", r6("white_mean"), r6("edge_mean"))
+    return D.band_feature_means(t("band_list"), feats(t), KEYS).select("image_id", "y1", "y2", F.round("white_mean", 9).alias("white_mean"), F.round("edge_mean", 9).alias("edge_mean"))
 
 
 @query(
@@ -238,7 +239,7 @@ def _(t):
 
 def detected(t):
     """Cuts of the row profiles, merged and weakened where both sides look alike."""
-    rows = feats(t)
+    rows = cut_lineage(feats(t))
     found = R.detect_gutters(rows, KEYS).withColumn("ord", F.lit(0) + F.col("y"))
     found = found.unionByName(R.detect_black_bars(rows, KEYS).withColumn("ord", F.lit(1_000_000) + F.col("y")))
     return rows, R.content_difference(D.merge_cuts(found, KEYS), rows, KEYS)
@@ -298,11 +299,11 @@ def _lines(t):
 
 
 def _line_parts(t):
-    lines = _lines(t)
-    stats = R.orientation_stats(lines, KEYS, 1000, 1000).where("passes")
+    lines = cut_lineage(_lines(t))
+    stats = cut_lineage(R.orientation_stats(lines, KEYS, 1000, 1000).where("passes"))
     lines = lines.join(stats.select("image_id"), "image_id", "left_semi")
-    density = R.line_density(lines, KEYS, 1000, 1000)
-    runs = R.true_runs(density, KEYS, "y", F.col("density") >= 0.12).where("y2 - y1 >= 10")
+    density = cut_lineage(R.line_density(lines, KEYS, 1000, 1000))
+    runs = cut_lineage(R.true_runs(density, KEYS, "y", F.col("density") >= 0.12).where("y2 - y1 >= 10"))
     return lines, stats, density, runs
 
 

@@ -136,7 +136,7 @@ def _(t):
 
 @query("texts_order", "SELECT page_id, text_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, text_id) AS INT) AS place FROM texts")
 def _(t):
-    return X.row_numbers(t("texts"), KEYS, [F.col("y1"), F.col("x1"), F.col("text_id")], F.col("y1"), name="place").select("page_id", "text_id", "place")
+    return X.row_numbers(t("texts"), KEYS, [F.col("y1"), F.col("x1"), F.col("text_id")], name="place").select("page_id", "text_id", "place")
 
 
 @query("renumber_texts", "SELECT page_id, text_id AS old_id, printf('text_%03d', row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, text_id)) AS text_id FROM texts")

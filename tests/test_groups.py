@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from panelweave.operators import bands, patches, regions
 
@@ -242,3 +243,42 @@ def test_stages_only_ever_join_regions(spark):
     nodes, edges, _links = _grid(spark, 6)
     counts = [patches.grow_regions(nodes, edges, ["band"], stage=s).select("region_id").distinct().count() for s in ("orphans", "merge", "absorb")]
     assert counts == sorted(counts, reverse=True)
+
+
+def _merged_by_anchor(cuts, distance):
+    out = []
+    for y, ord_, strength, kind in sorted(cuts):
+        if out and y - out[-1][0] <= distance:
+            g = out[-1]
+            better = bands.PRIORITY.get(kind, 0) > bands.PRIORITY.get(g[2], 0)
+            out[-1] = (g[0], max(g[1], strength), kind if better else g[2], g[3], g[4] + 1)
+        else:
+            out.append((y, strength, kind, ord_ / 10, 1))
+    return out
+
+
+@pytest.mark.parametrize("size", [32, 4096])
+def test_anchors_cross_buckets_as_in_one_walk(spark, monkeypatch, size):
+    rng = random.Random(size)
+    plain = bands._anchors
+    monkeypatch.setattr(bands, "_anchors", lambda cuts, keys, distance: plain(cuts, keys, distance, size))
+    rows, want = [], []
+    for image, step in ((1, 3), (2, 12), (3, 30), (None, 7)):
+        y, cuts = rng.randrange(40), []
+        for k in range(250):
+            y += rng.choice([0, 1, step, step, rng.randrange(1, 2 * step), 25, 26])
+            cuts.append((y, k, rng.random(), rng.choice(["gutter", "black_bar", "hard_line", "other"])))
+        rows += [(image, k, y, s, kind, y - 2, y + 3, k / 10) for y, k, s, kind in cuts]
+        want += [(image, *g) for g in _merged_by_anchor(cuts, 25)]
+    df = spark.createDataFrame(rows, "image_id int, ord long, y int, strength double, kind string, span_y1 int, span_y2 int, meta_e double")
+    got = bands.merge_cuts(df, ["image_id"]).select("image_id", "y", "strength", "kind", "meta_e", "merged").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert bands.merge_cuts(df.limit(0), ["image_id"]).count() == 0
+
+
+def test_a_dense_image_is_merged_by_many_tasks(spark):
+    df = spark.range(50_000).select(F.lit(1).alias("image_id"), F.col("id").alias("ord"), F.col("id").cast("int").alias("y"), F.lit(0.5).alias("strength"), F.lit("gutter").alias("kind"), *[F.col("id").cast("int").alias(c) for c in ("span_y1", "span_y2")], F.lit(0.0).alias("meta_e"))
+    anchors = bands._anchors(df, ["image_id"], 25)
+    assert anchors.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    got = bands.merge_cuts(df, ["image_id"]).agg(F.count("*"), F.sum("merged"), F.max(F.col("y") % 26)).first()
+    assert tuple(got) == (-(-50_000 // 26), 50_000, 0)

@@ -42,7 +42,7 @@ def test_groups_of_two_pages_with_the_same_ids(spark):
 def test_null_keys_and_positions_stay(spark):
     rows = [(None, 1), (None, None), (1, None), (1, 3), (1, 9000), (None, 9000)]
     df = spark.createDataFrame(rows, "g int, y int")
-    got = row_numbers(df, ["g"], [F.col("y")], F.col("y"), size=10)
+    got = row_numbers(df, ["g"], [F.col("y")])
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, None, 1), (None, 1, 2), (None, 9000, 3), (1, None, 1), (1, 3, 2), (1, 9000, 3)], key=str)
     peaks = running_max(df, ["g"], [F.col("y")], F.col("y"), F.col("y"), "top", size=10)
     assert peaks.count() == len(rows) and peaks.where("top < y").isEmpty()

@@ -14,7 +14,7 @@ def test_row_numbers_and_running_max_equal_windows(spark):
     order = Window.partitionBy("g").orderBy("y")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     want = df.select("g", "id", F.row_number().over(order).alias("rn"), F.max("id").over(before).alias("m"))
-    got = spread.row_numbers(df, ["g"], [F.col("y")], F.col("y"), size=64)
+    got = spread.row_numbers(df, ["g"], [F.col("y")])
     got = spread.running_max(got, ["g"], [F.col("y")], F.col("y"), F.col("id"), "m", size=64, include_current=False)
     assert want.exceptAll(got.select("g", "id", "rn", "m")).isEmpty()
     assert got.count() == 5000
@@ -84,3 +84,48 @@ def test_components_of_chain_and_pairs(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (103, 102)]
     got = {r.id: r.component for r in rounds.components(spark.createDataFrame(edges, "a int, b int")).collect()}
     assert got == {**{i: 0 for i in range(21)}, 100: 100, 101: 100, 102: 102, 103: 102}
+
+
+def test_parts_split_a_dense_group_by_rows(spark):
+    rows = spark.range(100_000).select(F.lit(1).alias("page"), (F.col("id") * 7919 % 500).cast("int").alias("y"), "id")
+    parts = spread.laid_out(rows, ["page"], [F.col("y"), F.col("id")]).groupBy(spread.BUCKET).count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 50_000
+    got = spread.row_numbers(rows, ["page"], [F.desc("y"), F.col("id")])
+    want = rows.withColumn("rn", F.row_number().over(Window.partitionBy("page").orderBy(F.desc("y"), "id")))
+    assert got.select("id", "rn").exceptAll(want.select("id", "rn")).isEmpty() and got.count() == 100_000
+
+
+def test_interval_sums_equal_plain_sums(spark):
+    rng = random.Random(9)
+    values = {(g, y): rng.random() for g in (1, None) for y in range(-40, 300) if y % 11}
+    rows = spark.createDataFrame([(g, y, v) for (g, y), v in values.items()] + [(2, 5, float("nan")), (2, 6, None), (2, 7, 1.5)], "g int, y int, v double")
+    spans = [(g, a, a + rng.randrange(-5, 260)) for g in (1, None, 2, 3) for a in rng.sample(range(-60, 290), 25)]
+    got = spread.interval_sums(spark.createDataFrame(spans, "g int, y1 int, y2 int"), rows, ["g"], ["v"]).collect()
+    assert len(got) == len(spans)
+    for r in got:
+        held = [v for (g, y), v in values.items() if g == r.g and r.y1 <= y < r.y2]
+        more = [v for y, v in ((5, None), (6, None), (7, 1.5)) if r.g == 2 and r.y1 <= y < r.y2]
+        assert r.n_rows == len(held) + len(more) and abs(r.v - sum(held) - sum(v or 0 for v in more)) < 1e-12
+
+
+def test_neighbours_over_empty_buckets(spark):
+    rng = random.Random(2)
+    ys = sorted(rng.sample(range(5000), 60))
+    df = spark.createDataFrame([(g, y) for g in (1, None) for y in ys], "g int, y int")
+    got = spread.neighbours(df, ["g"], F.col("y"), ["y"], size=64).collect()
+    around = {y: (a, b) for a, y, b in zip([None, *ys], ys, [*ys[1:], None])}
+    assert len(got) == 120 and all((r.prev and r.prev.y, r.next and r.next.y) == around[r.y] for r in got)
+
+
+def test_walked_reads_each_group_in_order(spark):
+    df = spark.range(9000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7919 % 9001).alias("y"))
+
+    def falls(rows):
+        last = -1
+        for (y,) in rows:
+            yield (y, y > last)
+            last = y
+
+    schema = spark.createDataFrame([], "g long, y long, up boolean").schema
+    got = spread.walked(df, ["g"], ["y"], schema, falls, piece=100)
+    assert got.count() == 9000 and got.where("NOT up").isEmpty()
