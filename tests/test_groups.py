@@ -278,7 +278,11 @@ def test_anchors_cross_buckets_as_in_one_walk(spark, monkeypatch, size):
 
 def test_a_dense_image_is_merged_by_many_tasks(spark):
     df = spark.range(50_000).select(F.lit(1).alias("image_id"), F.col("id").alias("ord"), F.col("id").cast("int").alias("y"), F.lit(0.5).alias("strength"), F.lit("gutter").alias("kind"), *[F.col("id").cast("int").alias(c) for c in ("span_y1", "span_y2")], F.lit(0.0).alias("meta_e"))
-    anchors = bands._anchors(df, ["image_id"], 25)
-    assert anchors.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # so few rows would else be one task
+    try:
+        anchors = bands._anchors(df, ["image_id"], 25).select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert anchors > 1
     got = bands.merge_cuts(df, ["image_id"]).agg(F.count("*"), F.sum("merged"), F.max(F.col("y") % 26)).first()
     assert tuple(got) == (-(-50_000 // 26), 50_000, 0)

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -129,3 +130,45 @@ def test_walked_reads_each_group_in_order(spark):
     schema = spark.createDataFrame([], "g long, y long, up boolean").schema
     got = spread.walked(df, ["g"], ["y"], schema, falls, piece=100)
     assert got.count() == 9000 and got.where("NOT up").isEmpty()
+
+
+def _greedy_losers(conflicts):
+    """Ids in order; the stronger of a conflict is the smaller."""
+    kept, lost = set(), set()
+    for i in sorted({i for pair in conflicts for i in pair}):
+        (lost if any((k, i) in conflicts for k in kept) else kept).add(i)
+    return lost
+
+
+@pytest.mark.parametrize("most", [100_000, 30])
+def test_suppression_equals_one_ordered_pass(spark, most):
+    rng = random.Random(most)
+    for n, links in ((60, 90), (200, 260), (40, 400)):
+        conflicts = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(links)} | {(1000 + k, 1001 + k) for k in range(25)}
+        df = spark.createDataFrame([(a, b) for a, b in conflicts], "a int, b int").select(*[F.struct(F.when(F.col(c) % 7 > 0, F.col(c) % 7).alias("g"), c).alias(c2) for c, c2 in (("a", "hi"), ("b", "lo"))])
+        df = df.select(F.struct("hi.g", F.col("hi.a").alias("i")).alias("hi"), F.struct("lo.g", F.col("lo.b").alias("i")).alias("lo"))
+        got = [r.id.i for r in rounds.suppressed(df, most=most, rounds=1).collect()]
+        assert sorted(got) == sorted(_greedy_losers(conflicts))
+
+
+@pytest.mark.parametrize("most", [100_000, 20])
+def test_matching_equals_one_ordered_pass(spark, most):
+    rng = random.Random(most)
+    edges = {(rng.randrange(40), rng.randrange(40)): rng.choice([0.5, 0.7, 0.9]) for _ in range(160)} | {(100 + k, 100 + k + d): 1 + (2 * k + d) / 1000 for k in range(30) for d in (0, 1)}
+    df = spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "a int, b int, w double").select(F.struct("a").alias("l"), F.struct("b").alias("r"), "w")
+    want, lefts, rights = [], set(), set()
+    for (a, b), w in sorted(edges.items(), key=lambda e: (-e[1], *e[0])):
+        if a not in lefts and b not in rights:
+            want.append((a, b, w))
+            lefts.add(a)
+            rights.add(b)
+    assert sorted((r.l.a, r.r.b, r.w) for r in rounds.matched(df, "l", "r", "w", rounds=1, most=most).collect()) == sorted(want)
+
+
+def test_long_chains_take_few_jobs(spark, monkeypatch):
+    written = []
+    plain = rounds.cut_lineage
+    monkeypatch.setattr(rounds, "cut_lineage", lambda df: written.append(1) or plain(df))
+    stairs = spark.range(5000).select(F.col("id").alias("hi"), (F.col("id") + 1).alias("lo"))
+    assert rounds.suppressed(stairs).agg(F.count("id"), F.min(F.col("id") % 2)).first()[:] == (2500, 1)
+    assert len(written) < 40
