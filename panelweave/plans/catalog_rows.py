@@ -273,24 +273,24 @@ def _(t):
     return _band_out(D.refine_bands(built, rows, KEYS))
 
 
-LINES = """lines_ AS (SELECT *, (sy1+sy2)*0.5e0 AS mid_y, CAST(least(floor(th/pi()*18),17) AS INT) AS angle_bin FROM (SELECT *, CASE WHEN atan2(sy2-sy1,sx2-sx1)<0 THEN atan2(sy2-sy1,sx2-sx1)+pi() ELSE atan2(sy2-sy1,sx2-sx1) END AS th,
+LINES = """lines_ AS MATERIALIZED (SELECT *, (sy1+sy2)*0.5e0 AS mid_y, CAST(least(floor(th/pi()*18),17) AS INT) AS angle_bin FROM (SELECT *, CASE WHEN atan2(sy2-sy1,sx2-sx1)<0 THEN atan2(sy2-sy1,sx2-sx1)+pi() ELSE atan2(sy2-sy1,sx2-sx1) END AS th,
  sqrt(power(sx2-sx1,2)+power(sy2-sy1,2)) AS length FROM segments) s WHERE length>=350e0)"""
-STATS = """ang AS (SELECT image_id, angle_bin, count(*) AS n FROM lines_ GROUP BY 1,2),
+STATS = """ang AS MATERIALIZED (SELECT image_id, angle_bin, count(*) AS n FROM lines_ GROUP BY 1,2),
  ybins AS (SELECT image_id, CAST(least(floor(mid_y*42/1000e0),41) AS INT) AS yb, count(*) AS n FROM lines_ WHERE mid_y>=0 AND mid_y<=1000 GROUP BY 1,2),
- stats AS (SELECT a.image_id, a.dominance, CAST(a.dominant_bin AS INT) AS dominant_bin, coalesce(y.concentration,0e0) AS concentration, l.max_len,
+ stats AS MATERIALIZED (SELECT a.image_id, a.dominance, CAST(a.dominant_bin AS INT) AS dominant_bin, coalesce(y.concentration,0e0) AS concentration, l.max_len,
    CASE WHEN l.max_len>=600e0 THEN a.dominance>=0.45e0 OR coalesce(y.concentration,0e0)>=0.22e0 ELSE a.dominance>=0.45e0 AND coalesce(y.concentration,0e0)>=0.22e0 END AS passes
    FROM (SELECT image_id, max(n)/CAST(sum(n) AS DOUBLE) AS dominance, arg_max(angle_bin, n*100-angle_bin) AS dominant_bin FROM ang GROUP BY 1) a
    LEFT JOIN (SELECT image_id, max(n)/CAST(sum(n) AS DOUBLE) AS concentration FROM ybins GROUP BY 1) y ON y.image_id=a.image_id
    JOIN (SELECT image_id, max(length) AS max_len FROM lines_ GROUP BY 1) l ON l.image_id=a.image_id)"""
-DENSITY = """dens AS (SELECT image_id, CAST(y AS INT) AS y, sum(share)/1000e0 AS density FROM (SELECT image_id, length/(greatest(sy1,sy2)-least(sy1,sy2)+1) AS share,
+DENSITY = """dens AS MATERIALIZED (SELECT image_id, CAST(y AS INT) AS y, sum(share)/1000e0 AS density FROM (SELECT image_id, length/(greatest(sy1,sy2)-least(sy1,sy2)+1) AS share,
  unnest(range(least(least(sy1,sy2),999), least(greatest(sy1,sy2),999)+1)) AS y FROM lines_ WHERE image_id IN (SELECT image_id FROM stats WHERE passes)) s GROUP BY 1,2)"""
-RUNS = """line_runs AS (SELECT image_id, min(y) AS y1, max(y)+1 AS y2 FROM (SELECT image_id, y, y-row_number() OVER (PARTITION BY image_id ORDER BY y) AS g FROM dens WHERE density>=0.12e0) s GROUP BY image_id, g HAVING max(y)+1-min(y)>=10)"""
-INRUN = """inrun AS (SELECT * FROM (SELECT r.image_id, r.y1, r.y2, l.mid_y, l.length, l.angle_bin=s.dominant_bin AS is_dom, bool_or(l.angle_bin=s.dominant_bin) OVER (PARTITION BY r.image_id, r.y1) AS has_dom
+RUNS = """line_runs AS MATERIALIZED (SELECT image_id, min(y) AS y1, max(y)+1 AS y2 FROM (SELECT image_id, y, y-row_number() OVER (PARTITION BY image_id ORDER BY y) AS g FROM dens WHERE density>=0.12e0) s GROUP BY image_id, g HAVING max(y)+1-min(y)>=10)"""
+INRUN = """inrun AS MATERIALIZED (SELECT * FROM (SELECT r.image_id, r.y1, r.y2, l.mid_y, l.length, l.angle_bin=s.dominant_bin AS is_dom, bool_or(l.angle_bin=s.dominant_bin) OVER (PARTITION BY r.image_id, r.y1) AS has_dom
  FROM line_runs r JOIN lines_ l ON l.image_id=r.image_id AND l.mid_y>=r.y1 AND l.mid_y<=r.y2 JOIN stats s ON s.image_id=r.image_id) q WHERE is_dom OR NOT has_dom)"""
 
 
 def _median(source, keys, name):
-    return f"""{name} AS (SELECT {keys}, min(mid_y) AS median FROM (SELECT *, sum(w) OVER (PARTITION BY {keys} ORDER BY mid_y ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY {keys}) AS a
+    return f"""{name} AS MATERIALIZED (SELECT {keys}, min(mid_y) AS median FROM (SELECT *, sum(w) OVER (PARTITION BY {keys} ORDER BY mid_y ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY {keys}) AS a
       FROM (SELECT {keys}, mid_y, sum(length) AS w FROM {source} GROUP BY {keys}, mid_y) m) q WHERE c>=a*0.5e0 GROUP BY {keys})"""
 
 
