@@ -85,8 +85,13 @@ def nearest_panels(texts: DataFrame, panels: DataFrame, keys: Sequence[str]) ->
 
 
 def unify(texts: DataFrame, mapping: DataFrame, panels: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Texts with their panel's box and their place in it; the last mapping and panel row of an id count."""
-    last = mapping.groupBy(*keys, "text_id").agg(F.max_by(F.struct("primary_panel_id", "assignment_score"), "ord").alias("m"))
+    """Texts with their panel's box and their place in it; the last mapping and panel row of an id count.
+
+    ``candidate_panels`` are those of the mapping, an empty list where it has none.
+    """
+    kind = dict(mapping.dtypes).get("candidate_panels", "array<struct<rank:int,panel_id:bigint,score:double>>")
+    told = mapping.withColumn("candidate_panels", _optional(mapping, "candidate_panels", kind))
+    last = told.groupBy(*keys, "text_id").agg(F.max_by(F.struct("primary_panel_id", "assignment_score", "candidate_panels"), "ord").alias("m"))
     boxes = panels.groupBy(*keys, F.col("panel_id").alias("primary_panel_id")).agg(F.max_by(F.struct("x1", "y1", "x2", "y2"), "ord").alias("p"))
     joined = texts.join(last, [*keys, "text_id"], "left").withColumn("primary_panel_id", F.col("m.primary_panel_id"))
     joined = joined.join(boxes, [*keys, "primary_panel_id"], "left")
@@ -96,7 +101,7 @@ def unify(texts: DataFrame, mapping: DataFrame, panels: DataFrame, keys: Sequenc
     return joined.select(
         *keys, "text_id", "text", *Box.named().aliased(), F.when(known, F.col("primary_panel_id")).alias("primary_panel_id"),
         *panel.aliased("panel_"), *(F.when(known, c).alias(f"rel_{n}") for c, n in zip(inside, ("x1", "y1", "x2", "y2"))),
-        F.coalesce("m.assignment_score", F.lit(0.0)).alias("assignment_score"),
+        F.coalesce("m.assignment_score", F.lit(0.0)).alias("assignment_score"), F.coalesce("m.candidate_panels", F.array().cast(kind)).alias("candidate_panels"),
         F.when(known, F.lit("assigned")).otherwise(F.lit("unassigned")).alias("status"),
     )
 
@@ -129,34 +134,49 @@ def match_edges(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[str
     )
 
 
+def _optional(df: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
 def merge_sources(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[str], similarity: str = "edit") -> DataFrame:
     """Match both sources one to one, keep what is unmatched, and renumber per page.
 
-    A match takes its text from the layer and its place from OCR.  Ids are of any ordered type, unique within ``keys``.
+    A match takes its text and layer from the layer side.  Its place is the OCR quad, else the layer's quad, else the
+    layer's box; a quad gives the box that holds it.  Where OCR texts have no column ``quad``, their boxes are their
+    quads.  Matches of a page are groups ``m_001`` ... by weight.  Layers may have ``quad``, ``layer_id``, ``layer_path``
+    and ``geom_source``.  Ids are of any ordered type, unique within ``keys``.
     """
     ends = [F.struct(*keys, c).alias(c) for c in ("layer_text_id", "ocr_text_id")]
     edges = cut_lineage(match_edges(layer_texts, ocr_texts, keys, similarity).select(*ends, "weight"))
-    pairs = cut_lineage(matched(edges, "layer_text_id", "ocr_text_id", "weight"))
+    pairs = matched(edges, "layer_text_id", "ocr_text_id", "weight")
     pairs = pairs.select("layer_text_id.*", F.col("ocr_text_id.ocr_text_id").alias("ocr_text_id"), "weight")
-    layer = layer_texts.select(*keys, F.col("text_id").alias("layer_text_id"), F.col("text").alias("l_text"), *Box.named().aliased("l_"))
-    ocr = ocr_texts.select(*keys, "text_id", F.col("text").alias("o_text"), *Box.named().aliased("o_"), "conf").withColumnRenamed("text_id", "ocr_text_id")
-
-    def out(df: DataFrame, status: str, text: str, box: str, conf: Column, rank: int) -> DataFrame:
-        place = 0.0 if rank else -F.col("weight")
-        return df.select(
-            *keys, F.col(text).alias("text"), *Box.named(box).aliased(), conf.alias("conf"), F.lit(status).alias("merge_status"),
-            F.lit("ocr" if status == "unmatched_ocr" else "psd").alias("text_source"), F.lit(rank).alias("_rank"),
-            F.lit(place).alias("_place") if rank else place.alias("_place"),
-            F.coalesce(*(F.col(c) for c in ("layer_text_id", "ocr_text_id") if c in df.columns)).alias("_id"),
+    pairs = cut_lineage(row_numbers(pairs, keys, [F.desc("weight"), F.col("layer_text_id"), F.col("ocr_text_id")], name="_group"))
+    quads = "array<array<double>>"
+    own = [_optional(layer_texts, c, kind).alias(c) for c, kind in (("layer_id", "long"), ("layer_path", "string"))]
+    layer = layer_texts.select(*keys, F.col("text_id").alias("layer_text_id"), F.col("text").alias("l_text"), *Box.named().aliased("l_"), _optional(layer_texts, "quad", quads).alias("l_quad"), _optional(layer_texts, "geom_source", "string").alias("l_geom"), *own)
+    ocr_quad = F.col("quad") if "quad" in ocr_texts.columns else G.to_quad(Box.named())
+    ocr = ocr_texts.select(*keys, F.col("text_id").alias("ocr_text_id"), F.col("text").alias("o_text"), *Box.named().aliased("o_"), "conf", ocr_quad.alias("o_quad"), _optional(ocr_texts, "geom_source", "string").alias("o_geom"))
+
+    def there(quad: str) -> Column:
+        return F.when(F.size(quad) > 0, F.col(quad))
+
+    def out(df: DataFrame, status: str, quad: Column, stored: str, geometry: Column, conf: Column, rank: int) -> DataFrame:
+        box, named = G.from_quad(F.col("quad"), Box.named(stored)), "o" if status == "unmatched_ocr" else "l"
+        place = F.lit(0.0) if rank else -F.col("weight")
+        group = F.lit(None).cast("string") if rank else F.format_string("m_%03d", "_group")
+        layered = [F.col(c) for c in ("layer_id", "layer_path") if c in df.columns]
+        return df.withColumn("quad", quad).select(
+            *keys, F.col(f"{named}_text").alias("text"), *box.aliased(), conf.alias("conf"), F.lit(status).alias("merge_status"),
+            F.lit("ocr" if rank == 1 else "psd").alias("text_source"), "quad", *layered, group.alias("merge_group_id"), geometry.alias("geom_source"),
+            F.lit(rank).alias("_rank"), place.alias("_place"), F.col("ocr_text_id" if rank == 1 else "layer_text_id").alias("_id"),
         )
 
     both = layer.join(pairs, [*keys, "layer_text_id"]).join(ocr, [*keys, "ocr_text_id"])
-    merged = out(both, "matched", "l_text", "o_", F.greatest(F.lit(1.0), F.col("conf")), 0)
+    rows = out(both, "matched", F.coalesce(there("o_quad"), there("l_quad")), "l_", F.when(F.size("o_quad") > 0, "ocr_quad").otherwise("psd_bbox"), F.greatest(F.lit(1.0), F.col("conf")), 0)
+    alone_ocr = ocr.join(pairs.select(*keys, "ocr_text_id"), [*keys, "ocr_text_id"], "left_anti")
+    rows = rows.unionByName(out(alone_ocr, "unmatched_ocr", there("o_quad"), "o_", F.coalesce("o_geom", F.lit("ocr_quad")), F.col("conf"), 1), allowMissingColumns=True)
     alone_layer = layer.join(pairs.select(*keys, "layer_text_id"), [*keys, "layer_text_id"], "left_anti")
-    alone_ocr = ocr_texts.select(*keys, F.col("text_id").alias("ocr_text_id"), F.col("text").alias("o_text"), *Box.named().aliased("o_"), "conf")
-    alone_ocr = alone_ocr.join(pairs.select(*keys, "ocr_text_id"), [*keys, "ocr_text_id"], "left_anti")
-    rows = merged.unionByName(out(alone_ocr, "unmatched_ocr", "o_text", "o_", F.col("conf"), 1))
-    rows = rows.unionByName(out(alone_layer, "unmatched_psd", "l_text", "l_", F.lit(1.0), 2))
+    rows = rows.unionByName(out(alone_layer, "unmatched_psd", there("l_quad"), "l_", F.coalesce("l_geom", F.lit("psd_bbox")), F.lit(1.0), 2))
     return renumber(rows, keys, [F.col("_rank"), F.col("_place"), F.col("_id")]).drop("_rank", "_place", "_id")
 
 

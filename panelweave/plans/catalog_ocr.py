@@ -242,11 +242,13 @@ def _(t):
     return t("part").select("p_partkey", E.model_allowed(name).alias("allowed"))
 
 
-@query("enum_validate", "SELECT page_id, CASE WHEN page_id%3=0 THEN 'ok' ELSE 'bad scene' END AS scene, CASE WHEN lang IN ('zh','ko') THEN 'ok' WHEN lang='' THEN 'blank' ELSE 'bad language' END AS language, CASE WHEN page_id%2=0 THEN 'ok' ELSE 'bad endpoint' END AS endpoint FROM (SELECT doc_id AS page_id, CASE WHEN doc_id%4=0 THEN '' WHEN doc_id%4=1 THEN 'zh' ELSE lang END AS lang FROM documents) s")
+@query("enum_validate", "SELECT page_id, CASE WHEN page_id%3=0 THEN 'ok' ELSE 'bad scene' END AS scene, CASE WHEN lang IN ('zh','ko') THEN 'ok' WHEN lang='' THEN 'blank' ELSE 'bad language' END AS language, CASE WHEN page_id%2=0 THEN 'ok' ELSE 'bad endpoint' END AS endpoint, CASE WHEN page_id%5<3 THEN 'ok' ELSE 'bad data_type' END AS data_type, CASE WHEN page_id%4<2 THEN 'ok' ELSE 'bad url' END AS url FROM (SELECT doc_id AS page_id, CASE WHEN doc_id%4=0 THEN '' WHEN doc_id%4=1 THEN 'zh' ELSE lang END AS lang FROM documents) s")
 def _(t):
     d = F.col("doc_id")
     lang = F.when(d % 4 == 0, " ").when(d % 4 == 1, " ZH").otherwise(F.col("lang"))
     return t("documents").select(
         d.alias("page_id"), E.validate(F.when(d % 3 == 0, " General ").otherwise("poster"), "scene").alias("scene"), E.validate(lang, "language").alias("language"),
         E.validate(F.when(d % 2 == 0, "PDF").otherwise(""), "endpoint").alias("endpoint"),
+        E.validate(F.when(d % 5 == 0, " URL ").when(d % 5 == 1, "uri").when(d % 5 == 2, "File").when(d % 5 == 3, "path"), "data_type").alias("data_type"),
+        E.validate(F.when(d % 4 == 0, F.concat(F.lit(" HTTPS://h/"), d)).when(d % 4 == 1, "http://x").when(d % 4 == 2, "ftp://x"), "url").alias("url"),
     )

@@ -90,18 +90,22 @@ ITEMS = f"{CAND}, {TOP3}, {MAPPING}, {UNIFIED}"
 
 
 def items(t):
-    best = X.best_candidates(candidates(t), KEYS, top=2)
+    best = X.best_candidates(candidates(t), KEYS)
+    lists = best.groupBy(*KEYS, "text_id").agg(F.array_sort(F.collect_list(F.struct("rank", "panel_id", "score"))).alias("candidate_panels"))
+    best = best.where("rank <= 2").join(lists, [*KEYS, "text_id"])
     unknown = F.when((F.col("rank") == 1) & (F.col("text_id") % 17 == 0), F.col("panel_id") + 90000000).otherwise(F.col("panel_id"))
-    mapping = best.select("page_id", "text_id", unknown.alias("primary_panel_id"), F.col("score").alias("assignment_score"), (F.col("rank") - 1).alias("ord"))
+    mapping = best.select("page_id", "text_id", unknown.alias("primary_panel_id"), F.col("score").alias("assignment_score"), (F.col("rank") - 1).alias("ord"), "candidate_panels")
     return X.unify(t("texts"), mapping, t("panels").withColumn("ord", F.lit(0)), KEYS)
 
 
 @query(
     "unified_text_map",
-    f"WITH {ITEMS} SELECT page_id, text_id, text, x1, y1, x2, y2, primary_panel_id, panel_x1, panel_y1, panel_x2, panel_y2, rel_x1, rel_y1, rel_x2, rel_y2, round(assignment_score,6) AS assignment_score, status FROM items",
+    f"WITH {ITEMS} SELECT page_id, text_id, text, x1, y1, x2, y2, primary_panel_id, panel_x1, panel_y1, panel_x2, panel_y2, rel_x1, rel_y1, rel_x2, rel_y2, round(assignment_score,6) AS assignment_score, status, coalesce(c.candidate_panels,'') AS candidate_panels FROM items"
+    " LEFT JOIN (SELECT page_id, text_id, string_agg(concat(CAST(rank AS VARCHAR),':',CAST(panel_id AS VARCHAR)), ',' ORDER BY rank) AS candidate_panels FROM top3 GROUP BY 1,2) c USING (page_id, text_id)",
 )
 def _(t):
-    return items(t).withColumn("assignment_score", r6("assignment_score"))
+    told = F.array_join(F.transform("candidate_panels", lambda c: F.concat_ws(":", c.rank, c.panel_id)), ",")
+    return items(t).withColumns({"assignment_score": r6("assignment_score"), "candidate_panels": told})
 
 
 @query(
@@ -216,14 +220,42 @@ def _(t):
     return merge_stats(merged(t), KEYS)
 
 
+def _sql_quad(a: str) -> str:
+    x1, y1, x2, y2 = (f"CAST({a}{c} AS DOUBLE)" for c in ("x1", "y1", "x2", "y2"))
+    points = [f"CAST({x}+{dx} AS VARCHAR), ' ', CAST({y}+{dy} AS VARCHAR)" for x, dx, y, dy in ((x1, "0.25e0", y1, "0e0"), (x2, "0e0", y1, "0.5e0"), (x2, "0.75e0", y2, "0e0"), (x1, "0e0", y2, "0e0"))]
+    return "concat(" + ", ',', ".join(points) + ")"
+
+
+# Every second OCR text and every third layer text has a quad a little wider than its box.
+PLACED = f"""placed AS (
+ SELECT t.page_id, t.text, CASE WHEN o.text_id%2=0 THEN o.x1 ELSE t.x1 END AS x1, CASE WHEN o.text_id%2=0 THEN o.y1 ELSE t.y1 END AS y1, CASE WHEN o.text_id%2=0 THEN o.x2+1 WHEN t.text_id%3=0 THEN t.x2+1 ELSE t.x2 END AS x2,
+  CASE WHEN o.text_id%2=0 THEN o.y2 ELSE t.y2 END AS y2, greatest(1e0,o.conf) AS conf, 'matched' AS merge_status, 'psd' AS text_source, CASE WHEN o.text_id%2=0 THEN {_sql_quad('o.')} WHEN t.text_id%3=0 THEN {_sql_quad('t.')} END AS quad,
+  t.text_id%50 AS layer_id, concat('root#1/t#', CAST(t.text_id%50 AS VARCHAR)) AS layer_path, printf('m_%03d', row_number() OVER (PARTITION BY p.page_id ORDER BY p.w DESC, p.l, p.o)) AS merge_group_id,
+  CASE WHEN o.text_id%2=0 THEN 'ocr_quad' ELSE 'psd_bbox' END AS geom_source, 0 AS rk, -p.w AS pl, t.text_id AS id FROM pairs p JOIN texts t ON t.text_id=p.l JOIN ocr_texts o ON o.text_id=p.o
+ UNION ALL SELECT page_id, text, x1, y1, CASE WHEN text_id%2=0 THEN x2+1 ELSE x2 END, y2, conf, 'unmatched_ocr', 'ocr', CASE WHEN text_id%2=0 THEN {_sql_quad('')} END, NULL, NULL, NULL, 'ocr_quad', 1, 0e0, text_id FROM ocr_texts WHERE text_id NOT IN (SELECT o FROM pairs)
+ UNION ALL SELECT page_id, text, x1, y1, CASE WHEN text_id%3=0 THEN x2+1 ELSE x2 END, y2, 1e0, 'unmatched_psd', 'psd', CASE WHEN text_id%3=0 THEN {_sql_quad('')} END, text_id%50, concat('root#1/t#', CAST(text_id%50 AS VARCHAR)), NULL, 'psd_bbox', 2, 0e0, text_id FROM texts WHERE text_id NOT IN (SELECT l FROM pairs))"""
+
+
+def _with_quads(df, every: int):
+    x1, y1, x2, y2 = (F.col(c).cast("double") for c in ("x1", "y1", "x2", "y2"))
+    wide = F.array(F.array(x1 + 0.25, y1), F.array(x2, y1 + 0.5), F.array(x2 + 0.75, y2), F.array(x1, y2))
+    return df.withColumn("quad", F.when(F.col("text_id") % every == 0, wide))
+
+
 @query(
     "text_canvas_map",
-    "SELECT page_id, text_id, text, x1, y1, x2, y2, round(conf,6) AS confidence FROM ocr_texts",
+    f"""WITH RECURSIVE {NEAR}, {MATCHED}, {PLACED} SELECT page_id, printf('text_%03d', row_number() OVER (PARTITION BY page_id ORDER BY y1, x1, rk, pl, id)) AS text_id, text, quad, CAST(x1 AS INT) AS x1, CAST(y1 AS INT) AS y1, CAST(x2 AS INT) AS x2, CAST(y2 AS INT) AS y2,
+        round(least(greatest(x1/780e0,0e0),1e0),9) AS norm_x1, round(least(greatest(y1/1850e0,0e0),1e0),9) AS norm_y1, round(least(greatest(x2/780e0,0e0),1e0),9) AS norm_x2, round(least(greatest(y2/1850e0,0e0),1e0),9) AS norm_y2,
+        layer_id, layer_path, text_source, geom_source, merge_group_id, merge_status, round(conf,6) AS confidence FROM placed""",
 )
 def _(t):
+    from panelweave.functions.ocr_json import quad_text
     from panelweave.operators.packaging import text_canvas_map
 
-    return text_canvas_map(t("ocr_texts"), KEYS).select("page_id", "text_id", "text", "x1", "y1", "x2", "y2", r6("confidence"))
+    layer = F.col("text_id") % 50
+    layers = _with_quads(t("texts"), 3).withColumns({"layer_id": layer, "layer_path": F.concat(F.lit("root#1/t#"), layer)})
+    told = text_canvas_map(X.merge_sources(layers, _with_quads(t("ocr_texts"), 2), KEYS), KEYS, 780, 1850)
+    return told.withColumns({"quad": quad_text(F.col("quad")), "confidence": r6("confidence"), **{c: F.round(c, 9) for c in ("norm_x1", "norm_y1", "norm_x2", "norm_y2")}})
 
 
 BOXES = "boxes AS (SELECT page_id, text_id, least(greatest(x1,0),780) AS x1, least(greatest(y1,0),1850) AS y1, least(greatest(x2,0),780) AS x2, least(greatest(y2,0),1850) AS y2 FROM texts WHERE least(greatest(x2,0),780)>least(greatest(x1,0),780) AND least(greatest(y2,0),1850)>least(greatest(y1,0),1850))"
