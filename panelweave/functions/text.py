@@ -14,12 +14,19 @@ def normalize_text(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, r"(?U)\s", ""))
 
 
-def edit_similarity(a: Column, b: Column, at_least: Column | None = None) -> Column:
-    """1 - edit distance / longer length of the normalised texts.
+def reachable(similarity: str, a: Column, b: Column, at_least: Column) -> Column:
+    """Whether two normalised texts could be alike by ``at_least``, by their lengths alone."""
+    la, lb = F.length(a), F.length(b)
+    top = {"edit": F.lit(1.0) - F.abs(la - lb) / F.greatest(la, lb), "blocks": F.least(la, lb) * 2.0 / (la + lb)}[similarity]
+    return F.when(la + lb == 0, True).otherwise((F.least(la, lb) > 0) & (top >= at_least))
+
+
+def edit_similarity(a: Column, b: Column, at_least: Column | None = None, normalized: bool = False) -> Column:
+    """1 - edit distance / longer length of the normalised texts; ``normalized`` says that they are.
 
     Pairs that cannot reach ``at_least`` give 0, without the full distance.
     """
-    na, nb = normalize_text(a), normalize_text(b)
+    na, nb = (a, b) if normalized else (normalize_text(a), normalize_text(b))
     longest = F.greatest(F.length(na), F.length(nb))
     least = F.lit(0.0) if at_least is None else at_least
     allowed = F.ceil(longest * (F.lit(1.0) - least)).cast("int")
@@ -37,9 +44,9 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def block_similarity(a: Column, b: Column, at_least: Column | None = None) -> Column:
+def block_similarity(a: Column, b: Column, at_least: Column | None = None, normalized: bool = False) -> Column:
     """Matching-block ratio of the normalised texts; Arrow batches, for pairs already narrowed."""
-    return _block_ratio(normalize_text(a), normalize_text(b))
+    return _block_ratio(a, b) if normalized else _block_ratio(normalize_text(a), normalize_text(b))
 
 
 def _ratio(a: str, b: str) -> float:

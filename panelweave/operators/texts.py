@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import geometry as G
 from panelweave.functions.geometry import Box
-from panelweave.functions.text import SIMILARITIES
+from panelweave.functions.text import SIMILARITIES, normalize_text, reachable
 from panelweave.operators.rounds import components, matched
 from panelweave.operators.spatial import nearest_by_center, touching_pairs
 from panelweave.operators.spread import row_numbers
@@ -115,19 +115,19 @@ def reading_order(items: DataFrame, keys: Sequence[str]) -> DataFrame:
 def match_edges(layer_texts: DataFrame, ocr_texts: DataFrame, keys: Sequence[str], similarity: str = "edit", cell: int = 128) -> DataFrame:
     """Pairs of a layer text and an OCR text that may be one: near, and alike.
 
-    Geometry narrows the pairs first; texts are compared only then.  Comparing
+    Geometry narrows the pairs first, then the texts' lengths; texts are compared only then.  Comparing
     is the costly part, so that the pairs, of one crowded page perhaps, are
-    dealt out evenly before it.
+    dealt out evenly before it.  Texts are normalised before they are paired, once each.
     """
-    pick = [*keys, "text_id", "text", "x1", "y1", "x2", "y2"]
+    pick = [*keys, "text_id", normalize_text(F.col("text")).alias("text"), "x1", "y1", "x2", "y2"]
     box, other = Box.named(), Box.named("o_")
     pairs = touching_pairs(layer_texts.select(*pick), _renamed(ocr_texts.select(*pick), keys, "o_"), keys, _reach(box, 0.25), other, cell)
     overlap, distance = G.iou(box, other, floor_union=False), G.center_distance(box, other)
     near = pairs.withColumns({"iou": overlap, "distance": distance}).where("iou >= 0.35 OR distance <= 0.25")
     near = near.withColumn("geom_score", F.greatest(F.col("iou"), F.greatest(F.lit(0.0), F.lit(1.0) - F.col("distance"))))
     near = near.withColumn("_need", F.when(F.col("geom_score") >= 0.70, F.lit(0.65)).otherwise(F.lit(0.999)))
-    near = dealt(near, *keys, "text_id", "o_text_id")
-    alike = near.withColumn("text_score", SIMILARITIES[similarity](F.col("text"), F.col("o_text"), F.col("_need")))
+    near = dealt(near.where(reachable(similarity, F.col("text"), F.col("o_text"), F.col("_need"))), *keys, "text_id", "o_text_id")
+    alike = near.withColumn("text_score", SIMILARITIES[similarity](F.col("text"), F.col("o_text"), F.col("_need"), normalized=True))
     return alike.where(F.col("text_score") >= F.col("_need")).select(
         *keys, F.col("text_id").alias("layer_text_id"), F.col("o_text_id").alias("ocr_text_id"), "geom_score", "text_score",
         (0.7 * F.col("geom_score") + 0.3 * F.col("text_score")).alias("weight"),
