@@ -1,9 +1,11 @@
 """Byte-level BPE: texts to token ids and back, by a rank file.
 
-A text is cut by the vocabulary's pattern and each match is merged by itself. Matches already met are looked up. For
-others, adjacent pairs wait in one bucket per merge rank; a bitmap of two levels (words of ranks, and the words that hold
-any) finds the lowest filled bucket by find-first-set, so a match of n bytes takes about n log n steps however long it
-is, where scanning for the best pair takes n squared. Buckets hold positions of a linked list; a position whose pair has changed since is stale and skipped.
+A text is cut by the vocabulary's pattern and each match is merged by itself. Matches already met are looked up. All
+others of some texts go through one queue side by side: adjacent pairs wait in one bucket per merge rank; a bitmap of two
+levels (words of ranks, and the words that hold any) finds the lowest filled bucket by find-first-set, and the bucket is
+worked off from left to right. So n bytes take about n log n steps however long a match is, where scanning for the best
+pair takes n squared. Buckets hold positions of a linked list; a position whose pair has changed since is stale and
+skipped. Should a merge make a pair of lower rank than its own, the rest of the bucket waits until that is done.
 """
 
 from __future__ import annotations
@@ -12,9 +14,9 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,6 +26,9 @@ from panelweave.llm.common import slices, strings
 
 WORD_BITS = 8
 BIT = [1 << i for i in range(1 << WORD_BITS)]
+ID = np.dtype("<i4")
+#: Matches that share a queue: some MB of lists.
+AT_ONCE = 20_000
 
 
 class Codec:
@@ -33,93 +38,122 @@ class Codec:
     from which a match is not remembered.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 300_000, longest: int = 64):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = 600_000, longest: int = 64):
         self.ranks = ranks
         self.tokens = {i: b for b, i in ranks.items()}
         self.names = {i: str(i) for i in self.tokens}
         self.split = regex.compile(pattern).findall
         self.half, self.longest = remembered // 2, longest
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, data: bytes) -> tuple[int, ...]:
-        """Ids of one match."""
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.passing: list[str] = []
+        self.byte_pairs = np.full((256, 256), -1, np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.byte_pairs[token[0], token[1]] = rank
+
+    def merge(self, matches: list[bytes]) -> list[bytes]:
+        """Packed ids of each match. All matches share one queue: they lie one after another, and no pair reaches over a border."""
         get = self.ranks.get
-        if (whole := get(data)) is not None:
-            return (whole,)
-        n = len(data)
-        end = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        live = [get(data[i : i + 2], -1) for i in range(n - 1)]
-        live.append(-1)
-        buckets: dict[int, list[int]] = {}
+        out = [ID.type(whole).tobytes() if (whole := get(m)) is not None else None for m in matches]
+        open_ = [m for m, ids in zip(matches, out) if ids is None]
+        data, n = b"".join(open_), sum(map(len, open_))
+        border = np.cumsum([0, *map(len, open_)])
+        until = np.repeat(border[1:], np.diff(border)).tolist()
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        ends = border.tolist()
+        for at in ends[:-1]:
+            before[at] = -1
+        codes = np.frombuffer(data, np.uint8)
+        pairs = np.full(n, -1, np.int64)
+        pairs[:-1] = self.byte_pairs[codes[:-1], codes[1:]] if n else 0
+        pairs[border[1:] - 1] = -1
+        live = pairs.tolist()
+        order = np.argsort(pairs, kind="stable")
+        ranks, starts = np.unique(pairs[order], return_index=True)
+        buckets = {r: part.tolist() for r, part in zip(ranks.tolist(), np.split(order, starts[1:])) if r >= 0}
         words: dict[int, int] = {}
-        for i, rank in enumerate(live):
-            if rank in buckets:
-                buckets[rank].append(i)
-            elif rank >= 0:
-                buckets[rank] = [i]
-                word = rank >> WORD_BITS
-                words[word] = words.get(word, 0) | BIT[rank & 255]
+        for rank in buckets:
+            words[rank >> WORD_BITS] = words.get(rank >> WORD_BITS, 0) | BIT[rank & 255]
         top = sum(map(BIT.__getitem__, words))
 
-        def push(rank: int, position: int) -> None:
-            nonlocal top
-            if bucket := buckets.get(rank):
-                heappush(bucket, position)
-                return
-            buckets[rank] = [position]
-            word = rank >> WORD_BITS
-            words[word] = words.get(word, 0) | BIT[rank & 255]
-            top |= 1 << word
-
         while top:
             word = (top & -top).bit_length() - 1
-            bits = words[word]
-            low = bits & -bits
+            low = words[word] & -words[word]
             rank = word << WORD_BITS | low.bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
+            bucket = buckets.pop(rank)
+            words[word] ^= low
+            if not words[word]:
+                top ^= 1 << word
+            bucket.sort()
+            waiting = iter(bucket)
+            for i in waiting:
+                if live[i] != rank:
+                    continue
+                gone = end[i]
+                end[i] = stop = end[gone]
+                live[gone] = made = other = -1
+                if stop < until[i]:
+                    before[stop] = i
+                    if (made := get(data[i : end[stop]], -1)) >= 0:
+                        if (queue := buckets.get(made)) is not None:
+                            queue.append(i)
+                        else:
+                            buckets[made] = [i]
+                            words[made >> WORD_BITS] = words.get(made >> WORD_BITS, 0) | BIT[made & 255]
+                            top |= 1 << (made >> WORD_BITS)
+                live[i] = made
+                if (left := before[i]) >= 0:
+                    if (other := get(data[left:stop], -1)) >= 0:
+                        if (queue := buckets.get(other)) is not None:
+                            queue.append(left)
+                        else:
+                            buckets[other] = [left]
+                            words[other >> WORD_BITS] = words.get(other >> WORD_BITS, 0) | BIT[other & 255]
+                            top |= 1 << (other >> WORD_BITS)
+                    live[left] = other
+                if 0 <= made < rank or 0 <= other < rank:  # a lower pair goes first; the rest of this rank waits
+                    if rest := [*waiting, *buckets.pop(rank, [])]:
+                        buckets[rank] = rest
+                        words[word] = words.get(word, 0) | low
+                        top |= 1 << word
+        found, counts, at = [], [], 0
+        for stop in ends[1:]:
+            size = len(found)
+            while at < stop:
+                found.append(get(data[at : end[at]]))
+                at = end[at]
+            counts.append(len(found) - size)
+        packed = np.array(found, ID).tobytes()
+        cuts = (np.cumsum([0, *counts]) * ID.itemsize).tolist()
+        rest = map(packed.__getitem__, map(slice, cuts, cuts[1:]))
+        return [next(rest) if x is None else x for x in out]
+
+    def cut(self, texts: list[str]) -> list[list[str]]:
+        """The matches of each text; the ids of all of them can then be looked up in ``known``."""
+        cut = [self.split(t) for t in texts]
+        for m in self.passing:
+            self.known.pop(m, None)
+        if len(self.known) >= self.half:
+            self.known, self.older = {}, self.known
+        missing = set(chain.from_iterable(cut)).difference(self.known)
+        fresh = []
+        for m in missing:
+            if (ids := self.older.get(m)) is None:
+                fresh.append(m)
             else:
-                i = bucket.pop()
-                words[word] = bits = bits ^ low
-                if not bits:
-                    top ^= 1 << word
-            if live[i] != rank:
-                continue
-            gone = end[i]
-            end[i] = stop = end[gone]
-            live[gone] = live[i] = -1
-            if stop < n:
-                before[stop] = i
-                if (rank := get(data[i : end[stop]])) is not None:
-                    live[i] = rank
-                    push(rank, i)
-            if (left := before[i]) >= 0:
-                if (rank := get(data[left:stop])) is not None:
-                    live[left] = rank
-                    push(rank, left)
-                else:
-                    live[left] = -1
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[data[i : end[i]]])
-            i = end[i]
-        return tuple(out)
-
-    def __getitem__(self, match: str) -> tuple[int, ...]:
-        ids = self.known.get(match)
-        if ids is None:
-            ids = self.older.get(match) or self.merge(match.encode())
-            if len(match) <= self.longest:
-                if len(self.known) >= self.half:
-                    self.known, self.older = {}, self.known
-                self.known[match] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
+                self.known[m] = ids
+        for at in range(0, len(fresh), AT_ONCE):
+            some = fresh[at : at + AT_ONCE]
+            self.known.update(zip(some, self.merge([m.encode() for m in some])))
+        self.passing = [m for m in missing if len(m) > self.longest]
+        return cut
+
+    def ids(self, cut: list[str]) -> list[int]:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, cut)), ID).tolist()
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        return map(self.ids, self.cut(texts))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -145,7 +179,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame
         encoder = codec(rank_file, pattern)
         for piece in slices(batches):
             texts = strings(piece.column("text"))
-            ids = [encoder.encode(t) for t in texts]
+            ids = list(encoder.encode(texts))
             exact = [encoder.decode(i) == t.encode() for i, t in zip(ids, texts)]
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(exact, pa.bool_())],
@@ -177,8 +211,7 @@ def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         own = codec(rank_file, pattern)
         for piece in slices(batches):
             rows = []
-            for text in strings(piece.column("text")):
-                ids = own.encode(text)
+            for ids in own.encode(strings(piece.column("text"))):
                 rows.append((len(ids), hashlib.sha256(",".join(map(own.names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
             n, a, b = zip(*rows)
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
