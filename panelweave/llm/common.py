@@ -21,9 +21,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def kept_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and read it back: later steps survive lost executors."""
-    path = shared_folder(df.sparkSession, name)
+def kept_table(df: DataFrame, name: str = "kept", path: str | None = None) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder, or to a ``path`` there, and read it back: later steps survive lost executors."""
+    path = path or shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

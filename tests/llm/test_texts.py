@@ -12,14 +12,15 @@ import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
 
-from panelweave.llm import catalog, language_id, order_minhash
+from panelweave.llm import catalog, language_id, order_minhash, ranked_search
 from panelweave.llm.byte_bpe import codec, decode_documents, digests, encode_documents
 from panelweave.llm.chat_format import format_chats, loss_text, read_chat
 from panelweave.llm.language_id import _backward, _forward, held_out, learn, predict, shared_out, train
 from panelweave.llm.order_minhash import aligned, exact_keys, exact_limit, near_duplicates, needed, sketch_keys
 from panelweave.llm.personal_data import Field, Shapes, active_runs, base_spans, luhn, redact, shape, spans_of
 from panelweave.llm.personal_data import learn as learn_field
-from panelweave.llm.ranked_search import search
+from panelweave.llm.common import WordHashes
+from panelweave.llm.ranked_search import Index, bag, packed, search
 
 from test_words import table
 
@@ -311,7 +312,7 @@ def test_search_equals_scoring_all(spark):
     asked = [(d, t) for d, t, _ in rows if d % 50 == 0] + [(999, "nowhere met"), (998, None)]
     queries = spark.createDataFrame(asked, "query_id long, text string")
     got = defaultdict(list)
-    for r in search(queries, table(spark, [*rows, (None, "of the", "s")]), shard_docs=90, query_block=4).collect():
+    for r in search(queries, table(spark, [*rows, (None, "of the", "s")]), shard_docs=90, pack_terms=60, wave_terms=200).collect():
         got[r.query_id].append((r["rank"], r.doc_id, r.score))
     bags = [(d, Tally((t or "").lower().split())) for d, t, _ in rows]
     mean = sum(sum(b.values()) for _, b in bags) / len(bags)
@@ -329,6 +330,49 @@ def test_search_equals_scoring_all(spark):
     assert search(queries, table(spark, [])).collect() == []
 
 
+def test_wand_starts_from_a_threshold_and_passes_over_blocks(monkeypatch):
+    monkeypatch.setattr(ranked_search, "BLOCK", 8)
+    rng, hashes = random.Random(11), WordHashes()
+    texts = [" ".join(f"l{d % 4}w{int(rng.expovariate(0.1))}" for _ in range(rng.randint(0, 40))).encode() for d in range(500)]
+    bags = [bag(t, hashes) for t in texts]
+    mean = sum(n for _, _, n in bags) / len(bags)
+    index = Index(packed(np.arange(500), bags), mean, 1.2, 0.75)
+    often = Tally(t for ts, _, _ in bags for t in ts.tolist())
+    passed = 0
+    for terms, counts, _ in bags[:60]:
+        weights = counts * np.array([math.log(1 + (500 - often[t] + 0.5) / (often[t] + 0.5)) for t in terms.tolist()])
+        own = dict(zip(terms.tolist(), weights.tolist()))
+        plain = []
+        for d, (ts, cs, n) in enumerate(bags):
+            score = sum(own[t] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * n / mean)) for t, c in zip(ts.tolist(), cs.tolist()) if t in own)
+            plain += [(-round(score, 9), d)] if score else []
+        plain = sorted(plain)[:5]
+        ids, scores = index.best(terms, weights, 5)
+        assert [(-round(s, 9), d) for d, s in zip(ids.tolist(), scores.tolist())] == plain
+        if len(plain) == 5:
+            assert index.best(terms, weights, 5, scores[-1])[0].tolist() == ids.tolist()
+            assert index.best(terms, weights, 5, scores[1] * (1 + 1e-6))[0].tolist() == [d for s, d in plain if -s > scores[1] * (1 + 1e-6)]
+            most = index.top[np.searchsorted(index.terms, terms)] @ weights
+            assert not len(index.best(terms, weights, 5, most * 1.01)[0])
+            scored = []
+            index.most, kept = _Counted(index.most, scored), index.most
+            index.best(terms, weights, 5, scores[-1])
+            index.most = kept
+            passed += index.blocks - len(scored)
+    assert passed > 60 * index.blocks // 4
+
+
+class _Counted:
+    """Block maxima that note how often they are looked up: once for each pivot block."""
+
+    def __init__(self, values, seen):
+        self.values, self.seen = values, seen
+
+    def __getitem__(self, rows):
+        self.seen.append(len(rows))
+        return self.values[rows]
+
+
 def test_every_query_row_is_answered(spark):
     docs = table(spark, [(d, f"a{d % 3} b{d % 5} c{d}", "s") for d in range(60)])
     answers = lambda rows: [(r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in search(spark.createDataFrame(rows, "query_id long, text string"), docs, k=4).collect()]
