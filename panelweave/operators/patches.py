@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -178,7 +179,7 @@ class GrowLimits:
 
 
 class _Graph:
-    """One band's patches as arrays; positions follow ascending node id."""
+    """One band's patches; positions follow ascending node id, borders lie in one dict per node."""
 
     def __init__(self, nodes: pd.DataFrame, edges: pd.DataFrame):
         nodes = nodes.sort_values("node_id")
@@ -188,54 +189,109 @@ class _Graph:
         self.colors = nodes[["mean_b", "mean_g", "mean_r"]].to_numpy(dtype=float)
         self.seeds = nodes["seed_no"].to_numpy(dtype=float)
         spot = {n: i for i, n in enumerate(self.ids)}
-        self.linked = np.zeros((len(spot), len(spot)), dtype=bool)
-        self.cost = np.ones((len(spot), len(spot)))
-        for a, b, cost in zip(edges["a"], edges["b"], edges["boundary_cost"]):
-            if a in spot and b in spot:
-                i, j = spot[a], spot[b]
-                self.linked[i, j] = self.linked[j, i] = True
-                self.cost[i, j] = self.cost[j, i] = min(cost, 1.0)
+        self.near: list[dict[int, float]] = [{} for _ in self.ids]
+        for a, b, cost in zip(edges["a"], edges["b"], np.fmin(edges["boundary_cost"].to_numpy(dtype=float), 1.0).tolist()):
+            i, j = spot.get(a), spot.get(b)
+            if i is not None and j is not None and i != j:
+                self.near[i][j] = self.near[j][i] = min(cost, self.near[i].get(j, 1.0))
 
-    def center(self, region: list[int]) -> np.ndarray:
-        mean = self.vectors[region].mean(axis=0)
-        size = float(np.linalg.norm(mean))
-        return mean / size if size > 1e-8 else mean
 
-    def barrier(self, left: list[int], right: list[int]) -> float | None:
-        """Lowest border cost between two sets of nodes; None if they do not touch."""
-        touching = self.linked[np.ix_(left, right)]
-        return float(self.cost[np.ix_(left, right)][touching].min()) if touching.any() else None
+def _grown(graph: _Graph, seed: int, owner: np.ndarray, limits: GrowLimits) -> list[int]:
+    """Extend a seed over its free neighbours, best first, up to the area limit.
 
-
-def _cosine(a: np.ndarray, b: np.ndarray) -> float:
-    sizes = float(np.linalg.norm(a)), float(np.linalg.norm(b))
-    return 0.0 if min(sizes) < 1e-8 else float(a @ b) / (sizes[0] * sizes[1])
-
-
-def _grown(graph: _Graph, seed: int, taken: set[int], limits: GrowLimits) -> list[int]:
-    """Extend a seed over its free neighbours, best first, up to the area limit."""
+    Free neighbours wait with their lowest border and least colour distance, which only newly added nodes can change.
+    """
     room = max(1.0, limits.max_share * graph.area.sum())
-    region, area = [seed], graph.area[seed]
+    region, fresh, area = [seed], [seed], graph.area[seed]
+    inside, waiting, total = {seed}, {}, graph.vectors[seed].copy()
     while True:
-        free = [n for n in np.flatnonzero(graph.linked[region].any(axis=0)) if n not in taken and n not in region]
-        middle = graph.center(region)
-        offers = []
-        for n in free:
-            touching = [m for m in region if graph.linked[n, m]]
-            cost = graph.cost[n, touching].min()
-            apart = np.sqrt(((graph.colors[touching] - graph.colors[n]) ** 2).sum(axis=1))
-            visual = float(np.clip(1.0 - apart / (255.0 * np.sqrt(3.0)), 0.0, 1.0).max())
-            semantic = _cosine(graph.vectors[n], middle)
-            if cost <= limits.boundary and (semantic >= limits.semantic or visual >= limits.visual):
-                offers.append((0.55 * semantic + 0.30 * visual - 0.35 * cost, n))
-        added = False
-        for _score, n in sorted(offers, reverse=True)[: limits.frontier]:
+        for m in fresh:
+            waiting.pop(m, None)
+            for n, cost in graph.near[m].items():
+                if owner[n] < 0 and n not in inside:
+                    apart = float(np.linalg.norm(graph.colors[m] - graph.colors[n]))
+                    known = waiting.get(n, (cost, apart))
+                    waiting[n] = min(known[0], cost), min(known[1], apart)
+        if not waiting:
+            return region
+        free = np.fromiter(waiting, int, len(waiting))
+        cost, apart = np.array(list(waiting.values())).T
+        visual = np.clip(1.0 - apart / (255.0 * np.sqrt(3.0)), 0.0, 1.0)
+        semantic = _cosines(graph.vectors[free], total)
+        good = np.flatnonzero((cost <= limits.boundary) & ((semantic >= limits.semantic) | (visual >= limits.visual)))
+        score = (0.55 * semantic + 0.30 * visual - 0.35 * cost)[good]
+        fresh = []
+        for n in free[good[np.lexsort((free[good], score))[::-1][: limits.frontier]]].tolist():
             if area + graph.area[n] <= room:
-                region.append(int(n))
+                fresh.append(n)
                 area += graph.area[n]
-                added = True
-        if not added:
+                total += graph.vectors[n]
+        if not fresh:
             return region
+        region += fresh
+        inside.update(fresh)
+
+
+def _cosines(rows: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Cosine of each row with a vector; 0 where either has next to no length."""
+    sizes, size = np.linalg.norm(rows, axis=1), float(np.linalg.norm(other))
+    flat = (sizes < 1e-8) | (size < 1e-8)
+    return np.where(flat, 0.0, (rows @ other) / np.where(flat, 1.0, sizes * size))
+
+
+class _Regions:
+    """Regions in order, with their areas, summed vectors and lowest borders to the regions they touch."""
+
+    def __init__(self, graph: _Graph, members: list[list[int]], owner: np.ndarray):
+        self.members = members
+        self.area = [float(graph.area[m].sum()) for m in members]
+        self.total = [graph.vectors[m].sum(axis=0) for m in members]
+        self.border: list[dict[int, float]] = [{} for _ in members]
+        for n, near in enumerate(graph.near):
+            mine = self.border[owner[n]]
+            for m, cost in near.items():
+                if (other := int(owner[m])) != owner[n]:
+                    mine[other] = min(cost, mine.get(other, cost))
+
+    def join(self, into: int, gone: int) -> None:
+        self.members[into] += self.members[gone]
+        self.area[into] += self.area[gone]
+        self.total[into] = self.total[into] + self.total[gone]
+        for other, cost in self.border[gone].items():
+            del self.border[other][gone]
+            if other != into:
+                self.border[into][other] = self.border[other][into] = min(cost, self.border[into].get(other, cost))
+        self.members[gone], self.border[gone] = [], {}
+
+    def merge_alike(self, limits: GrowLimits) -> None:
+        """Alike regions without a strong border merge, in passes; a vector stays as it was when its turn began."""
+        changed = True
+        while changed:
+            changed = False
+            for i in range(len(self.members)):
+                own = self.total[i] / max(1, len(self.members[i]))
+                todo = sorted(j for j in self.border[i] if j > i)
+                while todo:
+                    j = heappop(todo)
+                    if self.border[i][j] <= limits.merge_boundary and _cosines((self.total[j] / len(self.members[j]))[None], own)[0] >= limits.merge_semantic:
+                        for further in self.border[j]:
+                            if further > j and further not in self.border[i]:
+                                heappush(todo, further)
+                        self.join(i, j)
+                        changed = True
+
+    def absorb_tiny(self, limits: GrowLimits) -> None:
+        """The first tiny region joins the neighbour behind its lowest border, until none can.
+
+        A tiny region whose borders are all of cost 1 never gets another, so each is looked at once.
+        """
+        least = max(1.0, sum(self.area) * limits.min_node_share)
+        tiny = lambda r: self.members[r] and (len(self.members[r]) < limits.min_nodes or self.area[r] < least)
+        for r in range(len(self.members)):
+            if tiny(r):
+                cost, best = min(((c, j) for j, c in self.border[r].items()), default=(1.0, r))
+                if cost < 1.0:
+                    self.join(best, r)
 
 
 STAGES = ("grow", "orphans", "merge", "absorb")
@@ -243,74 +299,42 @@ STAGES = ("grow", "orphans", "merge", "absorb")
 
 def _regions_of(graph: _Graph, limits: GrowLimits, stage: str) -> list[list[int]]:
     total = float(graph.area.sum())
-    taken: dict[int, int] = {}
+    owner = np.full(len(graph.ids), -1)
     regions: list[list[int]] = []
-    for seed in sorted(np.flatnonzero(~np.isnan(graph.seeds)), key=lambda n: graph.seeds[n]):
-        if seed not in taken:
-            region = _grown(graph, int(seed), set(taken), limits)
+    for seed in sorted(np.flatnonzero(~np.isnan(graph.seeds)).tolist(), key=lambda n: graph.seeds[n]):
+        if owner[seed] < 0:
+            region = _grown(graph, seed, owner, limits)
             if graph.area[region].sum() >= max(1.0, limits.min_share * total):
-                taken.update(dict.fromkeys(region, len(regions)))
+                owner[region] = len(regions)
                 regions.append(region)
-
     if stage == "grow":
         return regions
 
     # Left-over nodes join the region behind their lowest border, or start one.
-    for n in range(len(graph.ids)):
-        if n not in taken:
-            costs = [(1.0 if (c := graph.barrier([n], r)) is None else c) for r in regions]
-            best = int(np.argmin(costs)) if costs else 0
-            if costs and costs[best] < 1.0 and costs[best] <= limits.boundary:
-                taken[n] = best
-                regions[best].append(n)
-            else:
-                taken[n] = len(regions)
-                regions.append([n])
-
+    for n in np.flatnonzero(owner < 0).tolist():
+        cost, best = min(((c, int(owner[m])) for m, c in graph.near[n].items() if owner[m] >= 0), default=(1.0, 0))
+        if cost >= 1.0 or cost > limits.boundary:
+            best = len(regions)
+            regions.append([])
+        owner[n] = best
+        regions[best].append(n)
     if stage == "orphans":
         return regions
 
-    # Alike regions without a strong border merge; a vector stays as it was when its turn began.
-    changed = True
-    while changed and len(regions) > 1:
-        changed = False
-        for i, region in enumerate(regions):
-            middle = graph.center(region) if region else None
-            for j in range(i + 1, len(regions) if region else 0):
-                barrier = graph.barrier(region, regions[j]) if regions[j] else None
-                if barrier is not None and barrier <= limits.merge_boundary and _cosine(middle, graph.center(regions[j])) >= limits.merge_semantic:
-                    region.extend(regions[j])
-                    regions[j] = []
-                    changed = True
-        regions = [r for r in regions if r]
-
-    if stage == "merge":
-        return regions
-
-    # Tiny regions join the neighbour behind the lowest border, one at a time.
-    least = max(1.0, total * limits.min_node_share)
-    changed = True
-    while changed and len(regions) > 1:
-        changed = False
-        for i, region in enumerate(regions):
-            if len(region) >= limits.min_nodes and graph.area[region].sum() >= least:
-                continue
-            costs = [1.0 if i == j or (c := graph.barrier(region, other)) is None else c for j, other in enumerate(regions)]
-            best = int(np.argmin(costs))
-            if costs[best] < 1.0:
-                regions[best].extend(region)
-                del regions[i]
-                changed = True
-                break
-    return regions
+    found = _Regions(graph, regions, owner)
+    found.merge_alike(limits)
+    if stage == "absorb":
+        found.absorb_tiny(limits)
+    return [r for r in found.members if r]
 
 
 def grow_regions(nodes: DataFrame, edges: DataFrame, keys: Sequence[str], limits: GrowLimits = GrowLimits(), stage: str = "absorb") -> DataFrame:
     """Partition each band's patches into regions: (keys, region_id, node_id).
 
     ``stage`` stops after growing from seeds, attaching left-over nodes, merging alike
-    regions, or, the default, absorbing tiny ones.  Bands are independent and small by
-    construction of the patch graph; each is one pandas call.
+    regions, or, the default, absorbing tiny ones.  A null border cost counts as 1, of several
+    borders of a pair the lowest counts.  Each band is one pandas call whose memory and time
+    follow its nodes and edges.
     """
     if stage not in STAGES:
         raise ValueError(f"stage must be one of {STAGES}")

@@ -149,16 +149,20 @@ def _(t):
     return summary.withColumns({"area_ratio": r6("area_ratio"), "score": r6("score")})
 
 
-@query("grow_regions")
-def _(t):
-    return P.grow_regions(nodes(t), t("patch_edges"), BAND)
-
-
 def _stage(key, stage):
     query(key)(lambda t: P.grow_regions(nodes(t), t("patch_edges"), BAND, stage=stage))
 
 
-_stage("seed_regions", "grow")
+_stage("grow_regions", "grow")
 _stage("attach_orphans", "orphans")
 _stage("merge_regions", "merge")
 _stage("absorb_tiny", "absorb")
+
+
+@query("seed_regions")
+def _(t):
+    """Box, area share and score of what grew from each seed."""
+    members = P.grow_regions(nodes(t), t("patch_edges"), BAND, stage="grow")
+    bands = t("patch_nodes").select("band_index").distinct().withColumns({"band_y1": F.col("band_index") * 500, "band_area": F.lit(360000)})
+    summary = P.region_summary(members, t("patch_nodes"), bands, BAND)
+    return summary.withColumns({"area_ratio": r6("area_ratio"), "score": r6("score")})

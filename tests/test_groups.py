@@ -1,7 +1,10 @@
 """Walks that SQL cannot say, against small models written from the rules."""
 
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,6 +242,30 @@ def test_grow_equals_model(spark, seed):
     assert [sorted(got[i]) for i in sorted(got)] == _grow_model([tuple(r) for r in nodes.collect()], links)
 
 
+def test_a_band_of_twenty_thousand_patches_takes_memory_in_proportion():
+    rng, wide = np.random.default_rng(9), 145
+    n = wide * wide
+    kind = (np.arange(n) % wide // 29) % 3
+    nodes = pd.DataFrame({"node_id": np.arange(n), "area": rng.integers(50, 150, n), "seed_no": np.where(np.arange(n) < 8, np.arange(n) + 1.0, np.nan)})
+    nodes = nodes.assign(embedding=[[float(k == c) + 0.1 for c in range(3)] for k in kind], mean_b=kind * 90.0, mean_g=50.0, mean_r=kind * 60.0)
+    a = np.concatenate([np.flatnonzero(np.arange(n) % wide < wide - 1), np.arange(n - wide)])
+    b = a + np.where(np.arange(len(a)) < n - wide, 1, wide)
+    edges = pd.DataFrame({"a": a, "b": b, "boundary_cost": rng.random(len(a)).round(2)})
+    tracemalloc.start()
+    found = patches._regions_of(patches._Graph(nodes, edges), patches.GrowLimits(), "absorb")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(x for r in found for x in r) == list(range(n)) and most < 200 << 20
+
+
+def test_no_cost_is_the_strongest_border_and_the_lowest_of_several_counts(spark):
+    schema = "band int, node_id int, area int, edge_mean double, non_white_ratio double, mean_b double, mean_g double, mean_r double, embedding array<double>"
+    rows = [(0, i, 100, 0.9 if i == 0 else 0.1, 0.5, 0.0, 0.0, 0.0, [1.0, 0.0]) for i in range(6)]
+    links = [(0, 0, 1, 0.9), (0, 0, 1, 0.1), (0, 1, 2, 0.1), (0, 2, 3, None), (0, 3, 4, 0.1), (0, 4, 5, 0.1), (0, 5, 5, 0.0), (0, 5, 77, 0.0)]
+    got = patches.grow_regions(spark.createDataFrame(rows, schema), spark.createDataFrame(links, "band int, a int, b int, boundary_cost double"), ["band"])
+    assert sorted((r.region_id, r.node_id) for r in got.collect()) == [(0, 0), (0, 1), (0, 2), (1, 3), (1, 4), (1, 5)]
+
+
 def test_stages_only_ever_join_regions(spark):
     nodes, edges, _links = _grid(spark, 6)
     counts = [patches.grow_regions(nodes, edges, ["band"], stage=s).select("region_id").distinct().count() for s in ("orphans", "merge", "absorb")]
