@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelweave.functions.text import strip
+from panelweave.session import cut_lineage
 
 # Wording of prompts and of the script made without a model.
 NO_TEXT = "(无文字)"
@@ -146,6 +150,80 @@ def embed_batch(wanted: DataFrame, call: Callable[[pd.DataFrame], list], column:
     return wanted.mapInPandas(run, schema)
 
 
+def stored_vectors(spark: SparkSession, store: str) -> DataFrame:
+    """(content_key, embedding, backend, batch) of a vector store; no rows where nothing has been stored yet."""
+    schema = "content_key string, embedding array<double>, backend string, batch int"
+    try:
+        return spark.read.schema(schema).parquet(store)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.range(0).selectExpr(*("CAST(NULL AS {1}) AS {0}".format(*c.split()) for c in schema.split(", ")))
+
+
+def embed_through_store(inputs: DataFrame, store: str, models: dict[str, Callable[[pd.DataFrame], list]] | None = None,
+                        local: Callable[[DataFrame], DataFrame] | None = None, retries: int = 3, wait: float = 0.4,
+                        batch_rows: int = 64) -> DataFrame:
+    """(content_key, embedding, backend), one row per key of ``inputs``: from the store, else a model, else ``local``.
+
+    Only keys the store lacks are computed, once each, and are then added to it as a batch of their own, so a second run
+    computes nothing. ``models`` are tried in turn on up to ``batch_rows`` rows of ``inputs``, each ``retries`` times
+    with a growing pause; a model must give a vector for every row, which is brought to unit length. ``local`` turns the
+    rows no model answered into (content_key, embedding); without it (strict mode) they end the job. ``backend`` is the
+    model's name or ``local``, and ``cache`` for what the store had. Rows with a null key are left out.
+    One run at a time may write to a store; what a broken run left behind has no rows and is filled by the next.
+    """
+    models = models or {}
+    if not models and local is None:
+        raise ValueError("no model, and no local fallback either")
+    spark = inputs.sparkSession
+    stored = stored_vectors(spark, store)
+    number = (stored.agg(F.max("batch")).first()[0] or 0) + 1
+    known = stored.where(F.col("batch") < number)
+    keys = inputs.where(F.col("content_key").isNotNull())
+    missing = keys.join(known.select("content_key"), "content_key", "left_anti").dropDuplicates(["content_key"])
+
+    def one(rows: pd.DataFrame) -> tuple[list, str | None, str]:
+        failures = []
+        for name, call in models.items():
+            for attempt in range(1, max(1, retries) + 1):
+                try:
+                    vectors = np.array(call(rows), dtype=float)
+                    if vectors.ndim != 2 or len(vectors) != len(rows):
+                        raise ValueError(f"{len(rows)} vectors of one length wanted, shape {vectors.shape} given")
+                    sizes = np.linalg.norm(vectors, axis=1, keepdims=True)
+                    return (vectors / np.where(sizes > 1e-8, sizes, 1.0)).tolist(), name, ""
+                except Exception as exc:
+                    failures.append(f"{name}#{attempt}: {type(exc).__name__}: {exc}")
+                    if attempt < retries:
+                        time.sleep(wait * attempt)
+        if local is None:
+            raise RuntimeError("no vector from any model: " + "; ".join(failures))
+        return [None] * len(rows), None, "; ".join(failures)
+
+    def ask(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for batch in batches:
+            for start in range(0, len(batch), batch_rows):
+                rows = batch.iloc[start : start + batch_rows]
+                vectors, backend, reason = one(rows)
+                yield pd.DataFrame({"content_key": rows["content_key"].to_numpy(), "embedding": vectors, "backend": backend, "reason": reason})
+
+    if models:
+        made = cut_lineage(missing.mapInPandas(ask, "content_key string, embedding array<double>, backend string, reason string"))
+        left = missing.join(made.where(F.col("backend").isNull()).select("content_key"), "content_key", "left_semi")
+        made = made.where(F.col("backend").isNotNull()).select("content_key", "embedding", "backend")
+    else:
+        made, left = None, missing
+    if local is not None:
+        plain = local(left).select("content_key", "embedding", F.lit("local").alias("backend"))
+        made = plain if made is None else made.unionByName(plain)
+    made.write.mode("append").parquet(f"{store}/batch={number}")
+    asked = keys.select("content_key").distinct()
+    now = stored_vectors(spark, store).where(F.col("batch") <= number)
+    backend = F.when(F.col("batch") < number, F.lit("cache")).otherwise(F.col("backend"))
+    return now.join(asked, "content_key", "left_semi").select("content_key", "embedding", backend.alias("backend"))
+
+
 def script_payloads(scripts: DataFrame) -> DataFrame:
     """JSON record and Markdown of each script; a blank Markdown falls back to the script's text."""
     record = F.to_json(F.struct("panel_id", "script_text", "backend"))

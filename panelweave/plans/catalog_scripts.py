@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import ocr_json as O
 from panelweave.operators import patches as P
-from panelweave.operators import registry as R
 from panelweave.operators import scripts as S
+from panelweave.plans.catalog_patches import CROPS, GRAY, crops
 from panelweave.plans.registry import query
+from panelweave.session import shared_folder
 
 PANEL = ["panel_id"]
 # All texts of all conversations, and further blank ones.
@@ -88,14 +89,23 @@ def _(t):
     return t("events").select("event_id", O.flatten_content(F.try_parse_json(F.expr(CONTENT))).alias("content"))
 
 
-@query("batch_embed")
+@query(
+    "batch_embed",
+    f"""WITH {GRAY}, {CROPS}, keyed AS (SELECT image_id, node_id, sha1(unhex(concat(hex(concat('local:', printf('(%d, %d, 3)', max(y)-min(y)+1, max(x)-min(x)+1))), string_agg(concat(lpad(printf('%X', b),2,'0'), lpad(printf('%X', g),2,'0'), lpad(printf('%X', r),2,'0')), '' ORDER BY y, x)))) AS content_key FROM crops GROUP BY 1,2)
+    SELECT content_key, CASE WHEN bool_or(image_id%2=0) THEN 'cache' ELSE 'local' END AS backend, CAST(32 AS INT) AS width, 1e0 AS length FROM keyed GROUP BY 1""",
+)
 def _(t):
-    boxes = t("pixels").groupBy("image_id", F.col("label").alias("node_id")).agg(
-        F.min("x").alias("x1"), F.min("y").alias("y1"), (F.max("x") + 1).alias("x2"), (F.max("y") + 1).alias("y2")
-    )
+    """Vectors of all patches, where those of the images of even number have been stored before."""
     keys = ["image_id", "node_id"]
-    crops = P.patch_crops(t("pixels"), boxes, ["image_id"])
-    wanted = P.content_keys(crops, keys, "local:").join(P.histogram_embedding(crops, keys), keys)
-    cache = wanted.select("content_key", "embedding").limit(0).withColumn("backend", F.lit("cache"))
-    filled = R.fill_cache(wanted.select("content_key", "embedding"), cache, lambda missing: missing.withColumn("backend", F.lit("local")))
-    return filled.select("content_key", "backend", F.size("embedding").alias("width"))
+    patches = crops(t)
+    keyed = P.content_keys(patches, keys, "local:")
+    store = shared_folder(t.spark, "patch-vectors")
+
+    def local(missing):
+        chosen = missing.select("content_key", *keys)
+        return P.histogram_embedding(patches.join(chosen.select(*keys), keys, "left_semi"), keys).join(chosen, keys)
+
+    S.embed_through_store(keyed.where("image_id % 2 = 0"), store, local=local)
+    vectors = S.embed_through_store(keyed, store, local=local)
+    size = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x))
+    return vectors.select("content_key", "backend", F.size("embedding").alias("width"), F.round(size, 6).alias("length"))

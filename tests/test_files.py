@@ -157,3 +157,55 @@ def test_embedding_callable_runs_per_batch(spark):
     df = spark.range(5)
     got = scripts.embed_batch(df, lambda batch: [[float(i)] for i in batch["id"]]).collect()
     assert sorted(r.embedding[0] for r in got) == [0.0, 1.0, 2.0, 3.0, 4.0]
+
+
+def _by_length(batch):
+    return [[float(len(k)), 0.0] for k in batch["content_key"]]
+
+
+def test_a_second_embedding_run_computes_nothing(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def model(batch):
+        calls.add(len(batch))
+        return [[3.0, 4.0]] * len(batch)
+
+    store = str(tmp_path / "store")
+    first = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "content_key string")
+    got = {r.content_key: (r.embedding, r.backend) for r in scripts.embed_through_store(first, store, {"m": model}).collect()}
+    assert got == {"a": ([0.6, 0.8], "m"), "b": ([0.6, 0.8], "m")} and calls.value == 2
+    more = first.unionByName(spark.createDataFrame([("c",)], "content_key string"))
+    again = scripts.embed_through_store(more, store, {"m": model})
+    assert {r.content_key: r.backend for r in again.collect()} == {"a": "cache", "b": "cache", "c": "m"} and calls.value == 3
+    scripts.embed_through_store(more, store, {"m": model})
+    assert calls.value == 3
+    assert {r.content_key: r.backend for r in again.collect()}["c"] == "m"
+    assert scripts.embed_through_store(first.limit(0), store, {"m": model}).collect() == []
+
+
+def test_embedding_falls_back_or_stops(spark, tmp_path):
+    tries = spark.sparkContext.accumulator(0)
+
+    def broken(batch):
+        tries.add(1)
+        raise OSError("down")
+
+    def short(batch):
+        return [[1.0]] * (len(batch) - 1)
+
+    def odd(batch):
+        if (batch["content_key"] == "b").any():
+            raise OSError("not this one")
+        return _by_length(batch)
+
+    rows = spark.createDataFrame([("a",), ("b",)], "content_key string").coalesce(1)
+    local = lambda left: left.select("content_key", F.array(F.lit(0.0), F.lit(1.0)).alias("embedding"))
+    models = {"broken": broken, "short": short, "odd": odd}
+    got = scripts.embed_through_store(rows, str(tmp_path / "one"), models, local, retries=2, wait=0.0, batch_rows=1).collect()
+    assert {r.content_key: (r.embedding, r.backend) for r in got} == {"a": ([1.0, 0.0], "odd"), "b": ([0.0, 1.0], "local")}
+    assert tries.value == 4
+    with pytest.raises(Exception, match="no vector from any model"):
+        scripts.embed_through_store(rows, str(tmp_path / "two"), {"broken": broken}, retries=1, wait=0.0)
+    with pytest.raises(ValueError, match="no model"):
+        scripts.embed_through_store(rows, str(tmp_path / "three"))
+    assert scripts.stored_vectors(spark, str(tmp_path / "two")).count() == 0
