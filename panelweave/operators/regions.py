@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,38 +59,78 @@ def dedup_regions(regions: DataFrame, keys: Sequence[str], iou: float = 0.60, co
     return _drop_conflicts(regions, keys, rank, drops)
 
 
-def _mergeable(a: dict, b: dict, limits: dict) -> bool:
-    def area(r) -> float:
-        return float(max(r["x2"] - r["x1"], 0) * max(r["y2"] - r["y1"], 0))
-
-    wide = min(a["x2"], b["x2"]) - max(a["x1"], b["x1"])
-    high = min(a["y2"], b["y2"]) - max(a["y1"], b["y1"])
-    shared = float(max(wide, 0) * max(high, 0))
-    area_a, area_b = area(a), area(b)
-    if shared > 0 and shared / max(area_a + area_b - shared, 1.0) >= limits["iou"]:
-        return True
-    if max(shared / max(area_a, 1.0), shared / max(area_b, 1.0)) >= limits["containment"]:
-        return True
-    narrow = max(1, min(a["x2"] - a["x1"], b["x2"] - b["x1"]))
-    gap = max(b["y1"] - a["y2"], a["y1"] - b["y2"], 0)
-    fragment = min(a["area_ratio"], b["area_ratio"]) <= limits["fragment"]
-    return fragment and max(wide, 0) / narrow >= limits["x_overlap"] and gap <= limits["gap"]
-
-
-def _fuse(part: pd.DataFrame, limits: dict) -> pd.DataFrame:
-    """Merge the first mergeable pair in list order, start over, until there is none."""
-    rows = part.sort_values(["y1_in", "x1_in", "region_id"]).to_dict("records")
-    pair = True
-    while pair:
-        pair = next(((i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if _mergeable(rows[i], rows[j], limits)), None)
-        if pair:
-            a, b = rows[pair[0]], rows.pop(pair[1])
-            a.update(
-                x1=min(a["x1"], b["x1"]), y1=min(a["y1"], b["y1"]), x2=max(a["x2"], b["x2"]), y2=max(a["y2"], b["y2"]),
-                score=max(a["score"], b["score"]), area_ratio=min(max(a["area_ratio"] + b["area_ratio"], 0.0), 1.0),
-                node_ids=sorted({*a["node_ids"], *b["node_ids"]}),
-            )
-    return pd.DataFrame(rows, columns=part.columns)
+class _Fragments:
+    """Regions of one stretch in list order, which merging keeps sorted by upper edge: the earlier of two stays."""
+
+    STEP = 64
+
+    def __init__(self, part: pd.DataFrame, limits: dict):
+        self.limits = limits
+        self.part = part.sort_values(["y1_in", "x1_in", "region_id"], kind="stable").reset_index(drop=True)
+        self.x1, self.y1, self.x2, self.y2 = (self.part[c].to_numpy(dtype=float, copy=True) for c in ("x1", "y1", "x2", "y2"))
+        self.ratio = self.part["area_ratio"].to_numpy(dtype=float, copy=True)
+        self.score = self.part["score"].to_numpy(dtype=float, copy=True)
+        self.alive = np.ones(len(self.part), bool)
+        self.ids: dict[int, set] = {}
+        self.deep = np.maximum.reduceat(self.y2, np.arange(0, len(self.part), self.STEP))
+
+    def first(self, i: int, others: np.ndarray) -> int:
+        """The first of ``others`` that merges with i, or -1."""
+        others = others[self.alive[others]]
+        wide = np.minimum(self.x2[i], self.x2[others]) - np.maximum(self.x1[i], self.x1[others])
+        high = np.minimum(self.y2[i], self.y2[others]) - np.maximum(self.y1[i], self.y1[others])
+        shared = np.maximum(wide, 0) * np.maximum(high, 0)
+        own, theirs = self._area(i), self._area(others)
+        narrow = np.maximum(1, np.minimum(self.x2[i] - self.x1[i], self.x2[others] - self.x1[others]))
+        gap = np.maximum(np.maximum(self.y1[others] - self.y2[i], self.y1[i] - self.y2[others]), 0)
+        alike = (shared > 0) & (shared / np.maximum(own + theirs - shared, 1.0) >= self.limits["iou"])
+        held = shared / np.maximum(np.minimum(own, theirs), 1.0) >= self.limits["containment"]
+        stacked = (np.minimum(self.ratio[i], self.ratio[others]) <= self.limits["fragment"]) & (np.maximum(wide, 0) / narrow >= self.limits["x_overlap"])
+        found = np.flatnonzero(alike | held | (stacked & (gap <= self.limits["gap"])))
+        return int(others[found[0]]) if len(found) else -1
+
+    def _area(self, i):
+        return np.maximum(self.x2[i] - self.x1[i], 0) * np.maximum(self.y2[i] - self.y1[i], 0)
+
+    def later(self, i: int) -> np.ndarray:
+        return np.arange(i + 1, max(i + 1, np.searchsorted(self.y1, max(self.y1[i], self.y2[i]) + self.limits["gap"], "right")))
+
+    def earlier(self, i: int) -> np.ndarray:
+        steps = np.flatnonzero(self.deep[: i // self.STEP + 1] >= self.y1[i] - self.limits["gap"])
+        spots = (steps[:, None] * self.STEP + np.arange(self.STEP)).ravel()
+        return spots[spots < i]
+
+    def join(self, i: int, j: int) -> None:
+        self.x1[i], self.x2[i] = min(self.x1[i], self.x1[j]), max(self.x2[i], self.x2[j])
+        self.y1[i], self.y2[i] = min(self.y1[i], self.y1[j]), max(self.y2[i], self.y2[j])
+        self.score[i] = max(self.score[i], self.score[j])
+        self.ratio[i] = min(max(self.ratio[i] + self.ratio[j], 0.0), 1.0)
+        self.ids[i] = self._members(i) | self._members(j)
+        self.ids.pop(j, None)
+        self.alive[j] = False
+        self.deep[i // self.STEP] = max(self.deep[i // self.STEP], self.y2[i])
+
+    def _members(self, i: int) -> set:
+        return self.ids[i] if i in self.ids else set(self.part.at[i, "node_ids"])
+
+    def fused(self) -> pd.DataFrame:
+        """Merge the first pair in list order again and again.
+
+        Once a row has no partner after it, only a change of a later row can give it one; so after each merge the rows
+        before the changed one are asked first, and those in between need not be asked again.
+        """
+        for i in range(len(self.part)):
+            at = i
+            while self.alive[at] and (j := self.first(at, self.later(at))) >= 0:
+                self.join(at, j)
+                while (e := self.first(at, self.earlier(at))) >= 0:
+                    self.join(e, at)
+                    at = e
+        out = self.part.copy()
+        for name, values in (("x1", self.x1), ("y1", self.y1), ("x2", self.x2), ("y2", self.y2), ("score", self.score), ("area_ratio", self.ratio)):
+            out[name] = values.astype(self.part[name].dtype)
+        out["node_ids"] = [sorted(self.ids[i]) if i in self.ids else ids for i, ids in enumerate(self.part["node_ids"])]
+        return out[self.alive]
 
 
 def merge_fragments(regions: DataFrame, keys: Sequence[str], iou: float = 0.45, x_overlap: float = 0.82, gap: int = 20,
@@ -98,19 +139,21 @@ def merge_fragments(regions: DataFrame, keys: Sequence[str], iou: float = 0.45,
 
     Merged boxes never leave their stretch of rows, and merging bridges at most
     ``gap`` rows.  Stretches further apart are therefore separate small tasks,
-    and a lone region skips Python.
+    and a lone region skips Python.  A region without a box stays as it is.
     """
+    if containment <= 0:
+        raise ValueError("containment must be positive")
     limits = {"iou": iou, "x_overlap": x_overlap, "gap": gap, "containment": containment, "fragment": fragment}
     regions = cut_lineage(regions.withColumns({"y1_in": F.col("y1"), "x1_in": F.col("x1")}))
     order = [F.col("y1"), F.col("x1"), F.col("region_id")]
     reach = running_max(regions, keys, order, F.col("y1"), F.greatest("y1", "y2"), "_reach", include_current=False)
     first = F.when(F.coalesce(F.col("y1") > F.col("_reach") + gap, F.lit(True)), F.col("y1"))
     named = cut_lineage(running_max(reach, keys, order, F.col("y1"), first, "_stretch").drop("_reach"))
-    sizes = named.groupBy(*keys, "_stretch").agg(F.count(F.lit(1)).alias("_n"))
-    sized = named.join(sizes, [*keys, "_stretch"])
-    crowded = sized.where("_n > 1").drop("_n")
-    fused = crowded.groupBy(*keys, "_stretch").applyInPandas(lambda part: _fuse(part, limits), crowded.schema)
-    return fused.unionByName(sized.where("_n = 1").drop("_n")).drop("_stretch", "y1_in", "x1_in")
+    sized = named.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_stretch")))
+    several = (F.col("_n") > 1) & F.greatest("x1", "y1", "x2", "y2", "score", "area_ratio").isNotNull() & ~F.exists(F.array("x1", "y1", "x2", "y2"), F.isnull)
+    crowded = sized.where(several).drop("_n")
+    fused = crowded.groupBy(*keys, "_stretch").applyInPandas(lambda part: _Fragments(part, limits).fused(), crowded.schema)
+    return fused.unionByName(sized.where(~several).drop("_n")).drop("_stretch", "y1_in", "x1_in")
 
 
 def number_panels(regions: DataFrame, keys: Sequence[str], width: int, height: int, score: float = 0.12, pad: int = 6) -> DataFrame:

@@ -1,6 +1,7 @@
 """Walks that SQL cannot say, against small models written from the rules."""
 
 import random
+import time
 import tracemalloc
 
 import numpy as np
@@ -28,6 +29,53 @@ def _fusible(a, b):
     )
 
 
+def _fused_plainly(rows):
+    """Boxes, scores, ratios and members after merging the first pair in list order, from the start each time."""
+    todo = [{"id": r[0], "box": r[1:5], "score": r[5], "ratio": r[6], "ids": set(r[7])} for r in sorted(rows, key=lambda r: (r[2], r[1], r[0]))]
+    pair = True
+    while pair:
+        pair = next(((a, b) for k, a in enumerate(todo) for b in todo[k + 1 :] if _fusible(a, b)), None)
+        if pair:
+            a, b = pair
+            p, q = a["box"], b["box"]
+            a.update(box=(min(p[0], q[0]), min(p[1], q[1]), max(p[2], q[2]), max(p[3], q[3])), score=max(a["score"], b["score"]), ratio=min(1.0, a["ratio"] + b["ratio"]), ids=a["ids"] | b["ids"])
+            todo.remove(b)
+    return [(r["id"], *r["box"], r["score"], round(r["ratio"], 9), sorted(r["ids"])) for r in todo]
+
+
+def _fused(rows):
+    part = pd.DataFrame(rows, columns=["region_id", "x1", "y1", "x2", "y2", "score", "area_ratio", "node_ids"])
+    out = regions._Fragments(part.assign(y1_in=part["y1"], x1_in=part["x1"]), LIMITS).fused()
+    return [(r.region_id, r.x1, r.y1, r.x2, r.y2, r.score, round(r.area_ratio, 9), sorted(r.node_ids)) for r in out.itertuples()]
+
+
+def _boxes(rng, n, wide, high):
+    for i in range(n):
+        x, y = rng.randrange(wide), rng.randrange(high)
+        yield i, x, y, x + rng.randrange(0, 240), y + rng.randrange(0, 90), rng.random(), rng.randrange(40) / 100, [i, i + 1]
+
+
+def test_fragments_equal_starting_over():
+    rng = random.Random(12)
+    for case in range(400):
+        rows = list(_boxes(rng, rng.randrange(1, 90), rng.choice([60, 300, 2000]), rng.choice([100, 900, 4000])))
+        assert _fused(rows) == _fused_plainly(rows)
+
+
+def test_five_thousand_fragments_are_merged_quickly():
+    rows = list(_boxes(random.Random(13), 5000, 4000, 40_000))
+    start = time.perf_counter()
+    assert 0 < len(_fused(rows)) < 5000
+    assert time.perf_counter() - start < 20
+
+
+def test_regions_without_a_box_stay(spark):
+    schema = "band int, region_id int, x1 int, y1 int, x2 int, y2 int, score double, area_ratio double, node_ids array<int>"
+    rows = [(None, 1, 0, 0, 100, 50, 0.5, 0.1, [1]), (None, 2, 0, 55, 100, 90, 0.6, 0.1, [2]), (None, 3, None, 10, 20, 30, 0.1, 0.1, None), (1, 4, 0, None, 5, 5, 0.1, 0.1, [4]), (1, 5, 0, None, 5, 5, 0.1, 0.1, [5])]
+    got = regions.merge_fragments(spark.createDataFrame(rows, schema), ["band"]).collect()
+    assert sorted((r.region_id, r.y2, r.node_ids) for r in got) == [(1, 90, [1, 2]), (3, 30, None), (4, 5, [4]), (5, 5, [5])]
+
+
 def test_merge_fragments_follows_list_order(spark):
     rng = random.Random(11)
     rows = []
