@@ -7,6 +7,7 @@ Ids are of any ordered type and unique within their keys; ties follow ``region_i
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
@@ -175,16 +176,37 @@ def band_panels(bands: DataFrame, keys: Sequence[str], width: int, height: int,
     )
 
 
-def panel_manifest(regions: DataFrame, page_keys: Sequence[str], band_keys: Sequence[str], width: int, height: int) -> tuple[DataFrame, DataFrame]:
-    """(manifest with the count after every step per page, exported panels)."""
-    primary = cut_lineage(select_primary(regions, band_keys))
-    merged = cut_lineage(merge_fragments(primary, band_keys))
-    deduped = cut_lineage(dedup_regions(merged, page_keys))
-    panels = cut_lineage(number_panels(deduped, page_keys, width, height))
+@dataclass(frozen=True)
+class ExportLimits:
+    """Thresholds of the steps from regions to panels; a manifest states them under these names."""
+
+    score_thr: float = 0.12
+    pad: int = 6
+    min_area_ratio: float = 0.04
+    containment_thr: float = 0.88
+    iou_thr: float = 0.75
+    merge_iou_thr: float = 0.45
+    merge_x_overlap_thr: float = 0.82
+    merge_gap_px: int = 20
+    merge_containment_thr: float = 0.78
+    merge_fragment_max_area_ratio: float = 0.12
+    nms_iou_thr: float = 0.60
+    nms_containment_thr: float = 0.90
+
+
+def panel_manifest(regions: DataFrame, page_keys: Sequence[str], band_keys: Sequence[str], width: int, height: int,
+                   limits: ExportLimits = ExportLimits()) -> tuple[DataFrame, DataFrame]:
+    """(manifest per page: the count after every step and the thresholds, exported panels as rows)."""
+    primary = cut_lineage(select_primary(regions, band_keys, limits.min_area_ratio, limits.containment_thr, limits.iou_thr))
+    merged = cut_lineage(merge_fragments(
+        primary, band_keys, limits.merge_iou_thr, limits.merge_x_overlap_thr, limits.merge_gap_px, limits.merge_containment_thr, limits.merge_fragment_max_area_ratio
+    ))
+    deduped = cut_lineage(dedup_regions(merged, page_keys, limits.nms_iou_thr, limits.nms_containment_thr))
+    panels = cut_lineage(number_panels(deduped, page_keys, width, height, limits.score_thr, limits.pad))
     steps = {"source": regions, "primary": primary, "merged": merged, "dedup": deduped, "panel": panels}
     tagged = None
     for name, df in steps.items():
         part = df.select(*page_keys, F.lit(name).alias("step"))
         tagged = part if tagged is None else tagged.unionByName(part)
     counts = tagged.groupBy(*page_keys).agg(*(F.count_if(F.col("step") == name).alias(f"{name}_count") for name in steps))
-    return counts, panels
+    return counts.withColumns({name: F.lit(value) for name, value in asdict(limits).items()}), panels

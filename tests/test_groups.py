@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.operators import bands, patches, regions
+from panelweave.operators import bands, packaging, patches, regions
 
 LIMITS = {"iou": 0.45, "containment": 0.78, "x_overlap": 0.82, "gap": 20, "fragment": 0.12}
 
@@ -69,6 +69,26 @@ def test_five_thousand_fragments_are_merged_quickly():
     assert time.perf_counter() - start < 20
 
 
+def test_manifest_states_and_follows_its_limits(spark):
+    schema = "page int, band int, region_id int, x1 int, y1 int, x2 int, y2 int, score double, area_ratio double, node_ids array<int>"
+    rows = [(1, 0, i, 0, 200 * i, 100, 200 * i + 100, i / 10, 0.3, [i]) for i in range(5)]
+    df = spark.createDataFrame(rows, schema)
+    for limits, panels in ((regions.ExportLimits(), 3), (regions.ExportLimits(score_thr=0.35, pad=0), 1), (regions.ExportLimits(merge_gap_px=100, merge_fragment_max_area_ratio=1.0), 1)):
+        manifest, exported = regions.panel_manifest(df, ["page"], ["page", "band"], 1000, 1000, limits)
+        (record,) = manifest.collect()
+        assert (record.source_count, record.panel_count, record.pad, record.score_thr, record.merge_gap_px) == (5, panels, limits.pad, limits.score_thr, limits.merge_gap_px)
+        assert exported.count() == panels
+
+
+def test_a_run_record_fills_what_is_not_told(spark):
+    summary = spark.createDataFrame([(1, "a", 3), (2, "b", 0)], "page int, prefix string, panel_count long")
+    merges = spark.createDataFrame([(1, 4, 5)], "page int, merge_unmatched_psd_count long, merge_unmatched_ocr_count long")
+    told = spark.createDataFrame([(2, "license", None)], "page int, ocr_mode string, ocr_latency_ms long")
+    one, two = sorted(packaging.run_record(summary, ["page"], merges, told, " Stage2 ").collect())
+    assert (one.split_mode, one.panel_count, one.merge_unmatched_psd_count, one.ocr_mode, one.textbox_layer_count) == ("stage2", 3, 4, "", 0)
+    assert (two.merge_unmatched_ocr_count, two.ocr_mode, two.ocr_latency_ms, two.panel_text_manifest_path) == (0, "license", 0, "b_panel_text_manifest.json")
+
+
 def test_regions_without_a_box_stay(spark):
     schema = "band int, region_id int, x1 int, y1 int, x2 int, y2 int, score double, area_ratio double, node_ids array<int>"
     rows = [(None, 1, 0, 0, 100, 50, 0.5, 0.1, [1]), (None, 2, 0, 55, 100, 90, 0.6, 0.1, [2]), (None, 3, None, 10, 20, 30, 0.1, 0.1, None), (1, 4, 0, None, 5, 5, 0.1, 0.1, [4]), (1, 5, 0, None, 5, 5, 0.1, 0.1, [5])]
