@@ -212,16 +212,62 @@ def gap_links(boxes: DataFrame, keys: Sequence[str], cell: int = 256) -> DataFra
     return pairs.select(*keys, F.col("text_id").alias("a"), F.col("o_text_id").alias("b"))
 
 
-def box_groups(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Component of each box over the gap links; equal boxes are linked once."""
-    places = cut_lineage(boxes.groupBy(*keys, "x1", "y1", "x2", "y2").agg(F.min("text_id").alias("text_id"), F.count(F.lit(1)).alias("n")))
+def _linking(boxes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Pairs (a, b) of gap links that connect the same boxes as all of them, in number near that of the cells covered.
+
+    ``boxes`` hold ``gap_x`` and ``gap_y``, the sides of a grid cell. Boxes that share a cell are linked, so a star about
+    the cell's smallest id says it all. Links between cells side by side follow from the cells' outermost edges. Across a
+    corner only boxes that end there matter, and of those the furthest at each place.
+    """
+    def at(column: str, gap: str) -> Column:
+        return F.floor(F.col(column) / F.col(gap))
+
+    spread = boxes.withColumn("_cx", F.explode(F.sequence(at("x1", "gap_x"), at("x2", "gap_x"))))
+    spread = spread.withColumn("_cy", F.explode(F.sequence(at("y1", "gap_y"), at("y2", "gap_y"))))
+    cells = spread.groupBy(*keys, "_cx", "_cy").agg(
+        F.min("text_id").alias("a"), F.max("text_id").alias("_last"), *(F.max(c).alias(c) for c in ("x2", "y2", "gap_x", "gap_y")), *(F.min(c).alias(c) for c in ("x1", "y1"))
+    )
+    cells = cut_lineage(cells)
+    shared = cells.where("a <> _last").select(*keys, "_cx", "_cy", "a")
+    links = spread.join(shared, [*keys, "_cx", "_cy"]).select(*keys, "a", F.col("text_id").alias("b"))
+    for cell, edge, low, gap in (("_cx", "x2", "x1", "gap_x"), ("_cy", "y2", "y1", "gap_y")):
+        # A box that goes on into the next cell links both already.
+        ahead = cells.where(at(low, gap) == F.col(cell)).select(*keys, *((F.col(c) - int(c == cell)).alias(c) for c in ("_cx", "_cy")), F.col("a").alias("b"), F.col(low).alias("_low"))
+        beside = cells.where(at(edge, gap) == F.col(cell)).join(ahead, [*keys, "_cx", "_cy"]).where(F.col(edge) + F.col(gap) >= F.col("_low"))
+        links = links.unionByName(beside.select(*keys, "a", "b"))
+    for end, start, down in (("y2", "y1", 1), ("y1", "y2", -1)):
+        place = [*keys, "_cx", "_cy"]
+        here = boxes.withColumns({"_cx": at("x2", "gap_x"), "_cy": at(end, "gap_y")}).groupBy(*place, "x2", "gap_x", "gap_y")
+        here = here.agg(F.max(F.struct((F.col(end) * down).alias("y"), "text_id")).alias("_here"))
+        there = boxes.withColumns({"_cx": at("x1", "gap_x") - 1, "_cy": at(start, "gap_y") - down}).groupBy(*place, "x1")
+        there = there.agg(F.min(F.struct((F.col(start) * down).alias("y"), "text_id")).alias("_there"))
+        near = (F.col("x2") + F.col("gap_x") >= F.col("x1")) & (F.col("_here.y") + F.col("gap_y") >= F.col("_there.y"))
+        across = here.join(there, place).where(near).groupBy(*place).agg(F.min(F.struct("_here.text_id", F.col("_there.text_id").alias("b"))).alias("_pair"))
+        links = links.unionByName(across.select(*keys, F.col("_pair.text_id").alias("a"), F.col("_pair.b").alias("b")))
+    return links.where("a <> b").distinct()
+
+
+def box_groups(boxes: DataFrame, keys: Sequence[str], crowd: int = 128, cell: int = 256) -> DataFrame:
+    """Component of each box over the gap links; equal boxes are linked once. A box whose edges are reversed is alone.
+
+    Pages with more than ``crowd`` boxes to a cell are linked by ``_linking``, whose cost follows the boxes, others by
+    their pairs, which are then few; both give the same components.
+    """
+    places = cut_lineage(boxes.groupBy(*keys, "x1", "y1", "x2", "y2").agg(F.min("text_id").alias("text_id")))
     # Gaps come from all boxes, copies included.
-    heights = boxes.select(*keys, "x1", "y1", "x2", "y2")
-    grown = places.join(gap_params(heights, keys), [*keys])
+    gaps = gap_params(boxes.select(*keys, "x1", "y1", "x2", "y2"), keys)
+    corner = [F.floor(F.col(c) / F.lit(cell)) for c in ("x1", "y1")]
+    crowds = places.groupBy(*keys, *corner).agg(F.count(F.lit(1)).alias("_n")).groupBy(*keys).agg((F.max("_n") > crowd).alias("_crowded"))
+    grown = cut_lineage(places.where("x2 >= x1 AND y2 >= y1").join(gaps.join(crowds, [*keys]), [*keys]))
     box = Box.named()
     wide = Box(box.x1 - F.col("gap_x"), box.y1 - F.col("gap_y"), box.x2 + F.col("gap_x"), box.y2 + F.col("gap_y"))
-    links = touching_pairs(grown, _renamed(places, keys, "o_"), keys, wide, Box.named("o_"), also=F.col("text_id") < F.col("o_text_id"))
-    ends = [F.struct(*keys, F.col(c).alias("text_id")).alias(name) for c, name in (("text_id", "a"), ("o_text_id", "b"))]
+    loose = grown.where(~F.col("_crowded")).drop("_crowded")
+    pairs = touching_pairs(loose, _renamed(loose.drop("gap_x", "gap_y"), keys, "o_"), keys, wide, Box.named("o_"), cell, also=F.col("text_id") < F.col("o_text_id"))
+    links = pairs.select(*keys, F.col("text_id").alias("a"), F.col("o_text_id").alias("b"))
+    dense = grown.where("_crowded")
+    if not dense.isEmpty():
+        links = links.unionByName(_linking(dense, keys))
+    ends = [F.struct(*keys, F.col(c).alias("text_id")).alias(c) for c in ("a", "b")]
     named = components(links.select(*ends)).withColumnRenamed("id", "_id")
     placed = places.withColumn("_id", F.struct(*keys, "text_id")).join(named, "_id", "left")
     placed = placed.select(*keys, "x1", "y1", "x2", "y2", F.coalesce("component.text_id", "text_id").alias("component"))

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelweave.operators import bands, packaging, patches, regions
+from panelweave.operators import bands, packaging, patches, regions, texts
 
 LIMITS = {"iou": 0.45, "containment": 0.78, "x_overlap": 0.82, "gap": 20, "fragment": 0.12}
 
@@ -89,6 +89,37 @@ def test_a_run_record_fills_what_is_not_told(spark):
     assert (two.merge_unmatched_ocr_count, two.ocr_mode, two.ocr_latency_ms, two.panel_text_manifest_path) == (0, "license", 0, "b_panel_text_manifest.json")
 
 
+def test_groups_of_boxes_equal_linking_all_pairs(spark):
+    rng = random.Random(14)
+    rows = []
+    for page, (n, side, most) in enumerate([(40, 300, 30), (120, 900, 25), (60, 500, 12), (150, 200, 60), (90, 1500, 60), (1, 10, 5)]):
+        for i in range(n):
+            x, y = rng.randrange(-20, side), rng.randrange(side)
+            rows.append((page, i, x, y, x + 1 + rng.randrange(most * 2), y + 1 + rng.randrange(most)))
+    df = spark.createDataFrame(rows, "page int, text_id int, x1 int, y1 int, x2 int, y2 int")
+    gaps = {r.page: (r.gap_x, r.gap_y) for r in texts.gap_params(df, ["page"]).collect()}
+    got = {(r.page, r.text_id): r.component for r in texts.box_groups(df, ["page"], crowd=0).collect()}
+    mixed = {(r.page, r.text_id): r.component for r in texts.box_groups(df, ["page"], crowd=20).collect()}
+    want = {(page, i): i for page, i, *_ in rows}
+    again = True
+    while again:
+        again = False
+        for p, i, ax1, ay1, ax2, ay2 in rows:
+            for q, j, bx1, by1, bx2, by2 in rows:
+                if p == q and want[p, i] < want[p, j]:
+                    gx, gy = gaps[p]
+                    if not (ax2 + gx < bx1 or bx2 + gx < ax1 or ay2 + gy < by1 or by2 + gy < ay1):
+                        want[p, j], again = want[p, i], True
+    assert got == mixed == want and len({(p, c) for (p, _), c in got.items()}) > 20
+
+
+def test_links_of_a_dense_page_are_in_proportion_to_its_boxes(spark):
+    df = spark.range(20_000).selectExpr("1 page", "id text_id", "CAST(id % 200 AS INT) x1", "CAST(id DIV 200 AS INT) y1").selectExpr("*", "x1 + 60 AS x2", "y1 + 30 AS y2")
+    grown = df.join(texts.gap_params(df, ["page"]), "page")
+    assert texts._linking(grown, ["page"]).count() < 30 * 20_000
+    assert texts.box_groups(df, ["page"]).select("component").distinct().count() == 1
+
+
 def test_regions_without_a_box_stay(spark):
     schema = "band int, region_id int, x1 int, y1 int, x2 int, y2 int, score double, area_ratio double, node_ids array<int>"
     rows = [(None, 1, 0, 0, 100, 50, 0.5, 0.1, [1]), (None, 2, 0, 55, 100, 90, 0.6, 0.1, [2]), (None, 3, None, 10, 20, 30, 0.1, 0.1, None), (1, 4, 0, None, 5, 5, 0.1, 0.1, [4]), (1, 5, 0, None, 5, 5, 0.1, 0.1, [5])]
