@@ -32,10 +32,12 @@ def touching_pairs(
     Both sides are spread over the cells they cover, so that one page full of
     boxes is shared by many tasks.  A pair that shares several cells is kept in
     the one that holds the low corner of its overlap.  ``also`` narrows the
-    join; the two sides must not share column names besides ``keys``.
+    join; the two sides must not share column names besides ``keys``.  Spark's
+    estimate of a side does not count the cells it is spread over, so the join
+    asks for a merge: a side that seems small must not go through the driver.
     """
     a, b = _into_cells(left, left_box, "l", cell), _into_cells(right, right_box, "r", cell)
-    joined = a.join(b, [*keys, "_cx", "_cy"])
+    joined = a.join(b.hint("merge"), [*keys, "_cx", "_cy"])
     low_x, low_y = F.greatest("_lx1", "_rx1"), F.greatest("_ly1", "_ry1")
     kept = (
         (low_x <= F.least("_lx2", "_rx2"))
@@ -58,7 +60,7 @@ def nearest_by_center(
     Level n of the grid has cells of side cell * 2**n.  The finest level whose
     3 x 3 neighbourhood holds any target bounds the distance to the nearest one
     by 2 * sqrt(2) cells, so that two levels up the neighbourhood must hold it.
-    Only those cells are joined.  ``rank`` and ``payload`` may use ``_px, _py, _tx, _ty``.
+    Only those cells are joined, by merging as in ``touching_pairs``.  ``rank`` and ``payload`` may use ``_px, _py, _tx, _ty``.
     """
     p = points.withColumns({"_px": point[0], "_py": point[1]})
     t = targets.withColumns({"_tx": target[0], "_ty": target[1]})
@@ -73,17 +75,17 @@ def nearest_by_center(
 
     level = F.col("_level")
     around = F.sequence(F.lit(-1), F.lit(1))
-    taken = t.join(levels, [*keys]).select(*keys, "_level", at_level("_tx", level).alias("_cx"), at_level("_ty", level).alias("_cy")).distinct()
-    asked = p.select(*keys, "_px", "_py").distinct().join(levels, [*keys])
+    taken = t.join(levels.hint("merge"), [*keys]).select(*keys, "_level", at_level("_tx", level).alias("_cx"), at_level("_ty", level).alias("_cy")).distinct()
+    asked = p.select(*keys, "_px", "_py").distinct().join(levels.hint("merge"), [*keys])
     asked = asked.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
     asked = asked.select(
         *keys, "_px", "_py", "_level", (at_level("_px", level) + F.col("_dx")).alias("_cx"), (at_level("_py", level) + F.col("_dy")).alias("_cy")
     )
-    found = asked.join(taken, [*keys, "_level", "_cx", "_cy"]).groupBy(*keys, "_px", "_py").agg((F.min("_level") + 2).alias("_level"))
-    placed = p.join(found, [*keys, "_px", "_py"]).withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
+    found = asked.join(taken.hint("merge"), [*keys, "_level", "_cx", "_cy"]).groupBy(*keys, "_px", "_py").agg((F.min("_level") + 2).alias("_level"))
+    placed = p.join(found.hint("merge"), [*keys, "_px", "_py"]).withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around))
     placed = placed.withColumns({"_cx": at_level("_px", level) + F.col("_dx"), "_cy": at_level("_py", level) + F.col("_dy")})
     wanted = levels.select(*keys, (level + 2).alias("_level"))
-    offered = t.join(wanted, [*keys]).withColumns({"_cx": at_level("_tx", level), "_cy": at_level("_ty", level)})
-    pairs = placed.join(offered, [*keys, "_level", "_cx", "_cy"])
+    offered = t.join(wanted.hint("merge"), [*keys]).withColumns({"_cx": at_level("_tx", level), "_cy": at_level("_ty", level)})
+    pairs = placed.join(offered.hint("merge"), [*keys, "_level", "_cx", "_cy"])
     best = F.min(F.struct(*[c.alias(f"r{i}") for i, c in enumerate(rank)], *[F.col(c) for c in payload])).alias("_best")
     return pairs.groupBy(*keys, *point_id).agg(best).select(*keys, *point_id, *[F.col(f"_best.{c}").alias(c) for c in payload])

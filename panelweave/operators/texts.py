@@ -94,7 +94,8 @@ def unify(texts: DataFrame, mapping: DataFrame, panels: DataFrame, keys: Sequenc
     last = told.groupBy(*keys, "text_id").agg(F.max_by(F.struct("primary_panel_id", "assignment_score", "candidate_panels"), "ord").alias("m"))
     boxes = panels.groupBy(*keys, F.col("panel_id").alias("primary_panel_id")).agg(F.max_by(F.struct("x1", "y1", "x2", "y2"), "ord").alias("p"))
     joined = texts.join(last, [*keys, "text_id"], "left").withColumn("primary_panel_id", F.col("m.primary_panel_id"))
-    joined = joined.join(boxes, [*keys, "primary_panel_id"], "left")
+    # Panels grow with the texts: merged, so that their boxes need not go through the driver.
+    joined = joined.join(boxes.hint("merge"), [*keys, "primary_panel_id"], "left")
     known = F.col("p").isNotNull()
     panel = Box(*(F.col(f"p.{c}") for c in ("x1", "y1", "x2", "y2")))
     inside = G.relative_to_panel(Box.named(), panel)
