@@ -30,7 +30,7 @@ ORDERED = "SELECT page_id, primary_panel_id AS panel_id, CAST(text_id AS VARCHAR
 def _(t):
     path = shared_folder(t.spark, "panel-texts")
     writers.write_panel_texts(X.reading_order(CT.items(t), CT.KEYS), path, CT.KEYS)
-    rows = readers.scan_panel_texts(t.spark, path)
+    rows = readers.scan_panel_texts(t.spark, path, [*CT.KEYS, "panel_id"])
     return rows.select(F.col("page_id").cast("long").alias("page_id"), F.col("panel_id").cast("long").alias("panel_id"), "text_id", "text", "reading_no")
 
 

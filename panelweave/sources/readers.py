@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -60,10 +60,13 @@ def scan_panel_manifests(spark: SparkSession, folder: str) -> DataFrame:
     return records.select("prefix", "meta_path", F.posexplode("panels").alias("ord", "panel")).select("prefix", "meta_path", "ord", "panel.*")
 
 
-def scan_panel_texts(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines of panel texts: blank lines and rows that are no objects are skipped, broken JSON is an error."""
+def scan_panel_texts(spark: SparkSession, path: str, keys: Sequence[str] = ()) -> DataFrame:
+    """JSON lines of panel texts: blank lines and rows that are no objects are skipped, broken JSON is an error.
+
+    ``keys`` are further fields of a line, read as strings, which say what panel it is of.
+    """
     lines = spark.read.text(path, recursiveFileLookup=False).where(F.trim("value") != "")
     rows = lines.withColumn("_v", F.parse_json("value")).where(F.schema_of_variant("_v").startswith("OBJECT"))
     partitions = [c for c in lines.columns if c != "value"]
-    fields = {"text_id": "string", "text": "string", "reading_no": "int", "assignment_score": "double"}
+    fields = {**dict.fromkeys(keys, "string"), "text_id": "string", "text": "string", "reading_no": "int", "assignment_score": "double"}
     return rows.select(*partitions, *(F.try_variant_get("_v", f"$.{name}", kind).alias(name) for name, kind in fields.items()))

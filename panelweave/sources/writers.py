@@ -17,12 +17,16 @@ def write_bands(bands: DataFrame, path: str) -> None:
 
 
 def write_panel_texts(ordered: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """JSON lines per panel in reading order.  A panel without texts has no folder; the manifest lists it."""
+    """JSON lines of all panels, one after the other, each in reading order; a line names its panel.
+
+    Files follow the texts, not the panels: a folder per panel would be more files than a driver can list.  A panel
+    without texts has no line; the manifest lists it.
+    """
     columns = ["text_id", "text", "reading_no", "assignment_score"]
     panel = [*keys, "primary_panel_id"]
     laid = ordered.select(*panel, *columns).repartitionByRange(*panel, "reading_no").sortWithinPartitions(*panel, "reading_no")
-    lines = laid.select(*keys, F.col("primary_panel_id").alias("panel_id"), F.to_json(F.struct(*columns)).alias("value"))
-    lines.write.mode("overwrite").partitionBy(*keys, "panel_id").text(path)
+    lines = laid.select(F.to_json(F.struct(*keys, F.col("primary_panel_id").alias("panel_id"), *columns)).alias("value"))
+    lines.write.mode("overwrite").text(path)
 
 
 def write_runs_csv(export: DataFrame, path: str) -> None:
