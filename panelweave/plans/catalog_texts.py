@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from panelweave.functions.text import block_similarity, edit_similarity, normalize_text
 from panelweave.operators import texts as X
 from panelweave.plans.registry import query
+from panelweave.session import dealt
 
 KEYS = ["page_id"]
 
@@ -183,10 +184,11 @@ def _(t):
         FROM (SELECT page_id, text_id, lower(regexp_replace(text, '\s', '', 'g')) AS na, lower(regexp_replace(other, '\s', '', 'g')) AS nb FROM (SELECT a.doc_id AS page_id, a.doc_id*10000000+a.line_no AS text_id, a.line AS text, b.line AS other FROM lines a JOIN lines b ON b.doc_id=a.doc_id AND b.line_no=a.line_no+1) s) n""",
 )
 def _(t):
-    texts = t("texts")
+    # Normalised before they are paired, once each, and dealt out, since comparing is the costly part.
+    texts = t("texts").select("page_id", "line_no", "text_id", normalize_text(F.col("text")).alias("text"))
     following = texts.select("page_id", (F.col("line_no") - 1).alias("line_no"), F.col("text").alias("other"))
-    pairs = texts.join(following, ["page_id", "line_no"])
-    return pairs.select("page_id", "text_id", F.round(edit_similarity(F.col("text"), F.col("other")), 6).alias("similarity"))
+    pairs = dealt(texts.join(following, ["page_id", "line_no"]), "page_id", "text_id")
+    return pairs.select("page_id", "text_id", F.round(edit_similarity(F.col("text"), F.col("other"), normalized=True), 6).alias("similarity"))
 
 
 MATCHED = """ranked AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY w DESC, l, o) AS i, count(*) OVER (PARTITION BY page_id) AS n FROM edges),

@@ -1,12 +1,16 @@
 """Plans and files whose cost must follow the rows."""
 
 import os
+import random
 
 from pyspark.sql import functions as F
 
 from panelweave.functions.geometry import Box
+from panelweave.functions.text import edit_distance, edit_similarity
 from panelweave.operators import texts
 from panelweave.operators.spatial import nearest_by_center, touching_pairs
+from panelweave.plans import catalog
+from panelweave.plans.registry import PLANS, Tables
 from panelweave.sources import readers, writers
 
 
@@ -50,3 +54,41 @@ def test_panel_text_files_follow_the_texts(spark, tmp_path):
     back = readers.scan_panel_texts(spark, path, ["page", "panel_id"])
     got = sorted((r.page, int(r.panel_id), r.text_id, r.text, r.reading_no, r.assignment_score) for r in back.collect())
     assert got == sorted((str(i % 3), i // 2, str(i), f"line\n{i}", i % 2 + 1, 0.5) for i in range(600))
+
+
+def test_long_pairs_are_measured_by_bit_vectors(spark):
+    rng = random.Random(7)
+
+    def model(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    words = ["".join(rng.choice("abcé\U0001f600") for _ in range(rng.randint(1, 80))) for _ in range(120)]
+    assert all(edit_distance(a, b) == model(a, b) for a, b in zip(words, words[1:]))
+    long = "".join(rng.choice("abcdefgh") for _ in range(600))
+    changed = "x".join(long[i : i + 50] for i in range(0, 600, 50))
+    other = "".join(rng.choice("abcdefgh") for _ in range(600))
+    pairs = spark.createDataFrame([(0, long, changed), (1, long, other), (2, long, long), (3, None, long), (4, "ab", "ac"), (5, "", long)], "i int, a string, b string")
+    got = {r.i: (r.full, r.half) for r in pairs.select(
+        "i", edit_similarity(F.col("a"), F.col("b"), normalized=True).alias("full"), edit_similarity(F.col("a"), F.col("b"), F.lit(0.9), normalized=True).alias("half")
+    ).collect()}
+    apart = model(long, other)
+    assert got == {0: (1 - 11 / 611, 1 - 11 / 611), 1: (1 - apart / 600, 0.0), 2: (1.0, 1.0), 3: (None, None), 4: (0.5, 0.5), 5: (0.0, 0.0)}
+
+
+def test_lines_are_normalised_once(spark):
+    rows = [(1, "a b\nA c\n\nlast"), (2, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("en")).createOrReplaceTempView("sizes_documents")
+
+    class Given(Tables):
+        def __call__(self, name):
+            return self.spark.table("sizes_documents") if name == "documents" else super().__call__(name)
+
+    catalog.load()
+    told = PLANS["text_similarity_lev"](Given(spark, ""))
+    assert sorted((r.text_id % 10, r.similarity) for r in told.collect()) == [(0, 0.5), (1, 0.0), (2, 0.0)]
+    assert all(line.count("regexp_replace") <= 1 for line in _plan(told).splitlines())
