@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from panelweave.functions.geometry import Box
-from panelweave.functions.text import edit_distance, edit_similarity
+from panelweave.functions.text import _ratio, edit_distance, edit_similarity
 from panelweave.operators import texts
 from panelweave.operators.spatial import nearest_by_center, touching_pairs
 from panelweave.plans import catalog
@@ -92,3 +92,21 @@ def test_lines_are_normalised_once(spark):
     told = PLANS["text_similarity_lev"](Given(spark, ""))
     assert sorted((r.text_id % 10, r.similarity) for r in told.collect()) == [(0, 0.5), (1, 0.0), (2, 0.0)]
     assert all(line.count("regexp_replace") <= 1 for line in _plan(told).splitlines())
+
+
+def test_pairs_are_compared_once(spark):
+    def sheet(first: int, change):
+        rows = [(1, first + i, change(f"line {i} of the page, " + "abcdefghij" * (i % 3)), 10, 100 * i, 200, 100 * i + 40) for i in range(12)]
+        return spark.createDataFrame(rows, "page int, text_id long, text string, x1 int, y1 int, x2 int, y2 int")
+
+    layer, ocr = sheet(100, lambda text: text), sheet(500, lambda text: text.replace("e", "3"))
+    for similarity, step in (("edit", "levenshtein("), ("edit", "distances("), ("blocks", "ratios(")):
+        edges = texts.match_edges(layer, ocr, ["page"], similarity=similarity)
+        told = [line for line in _plan(edges).splitlines() if step in line]
+        assert len(told) == 1 and all(line.count(step) <= 2 for line in told)
+        assert sorted((r.layer_text_id, r.ocr_text_id) for r in edges.collect()) == [(100 + i, 500 + i) for i in range(12)]
+
+
+def test_blocks_are_looked_for_where_they_may_do():
+    assert _ratio("abcd", "wxyz", 0.5) == 0.0 and _ratio("abcd", "abcx", 0.7) == _ratio("abcd", "abcx") == 0.75
+    assert _ratio("abcd", "dcba", 0.9) == _ratio("abcd", "dcba") == 0.25
