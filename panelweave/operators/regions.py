@@ -6,11 +6,12 @@ Ids are of any ordered type and unique within their keys; ties follow ``region_i
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from panelweave.functions.geometry import Box
 from panelweave.operators.rounds import suppressed
 from panelweave.operators.spatial import touching_pairs
 from panelweave.operators.spread import row_numbers, running_max
-from panelweave.session import cut_lineage
+from panelweave.session import cut_lineage, dealt
 
 
 def _drop_conflicts(regions: DataFrame, keys: Sequence[str], rank: Sequence[Column], drops, cell: int = 256) -> DataFrame:
@@ -61,13 +62,19 @@ def dedup_regions(regions: DataFrame, keys: Sequence[str], iou: float = 0.60, co
 
 
 class _Fragments:
-    """Regions of one stretch in list order, which merging keeps sorted by upper edge: the earlier of two stays."""
+    """Regions of a stretch in list order, which merging keeps sorted by upper edge: the earlier of two stays.
+
+    ``part`` may hold many stretches one after the other, each in list order; ``starts`` then tells their first rows.
+    """
 
     STEP = 64
 
-    def __init__(self, part: pd.DataFrame, limits: dict):
+    def __init__(self, part: pd.DataFrame, limits: dict, starts: np.ndarray | None = None):
         self.limits = limits
-        self.part = part.sort_values(["y1_in", "x1_in", "region_id"], kind="stable").reset_index(drop=True)
+        self.part = part.sort_values(["y1_in", "x1_in", "region_id"], kind="stable").reset_index(drop=True) if starts is None else part
+        ends = [len(part)] if starts is None else [*starts[1:], len(part)]
+        sizes = np.diff([0, *ends])
+        self.start, self.end = np.repeat(np.subtract(ends, sizes), sizes).tolist(), np.repeat(ends, sizes).tolist()
         self.x1, self.y1, self.x2, self.y2 = (self.part[c].to_numpy(dtype=float, copy=True) for c in ("x1", "y1", "x2", "y2"))
         self.ratio = self.part["area_ratio"].to_numpy(dtype=float, copy=True)
         self.score = self.part["score"].to_numpy(dtype=float, copy=True)
@@ -78,6 +85,8 @@ class _Fragments:
     def first(self, i: int, others: np.ndarray) -> int:
         """The first of ``others`` that merges with i, or -1."""
         others = others[self.alive[others]]
+        if not len(others):
+            return -1
         wide = np.minimum(self.x2[i], self.x2[others]) - np.maximum(self.x1[i], self.x1[others])
         high = np.minimum(self.y2[i], self.y2[others]) - np.maximum(self.y1[i], self.y1[others])
         shared = np.maximum(wide, 0) * np.maximum(high, 0)
@@ -94,12 +103,13 @@ class _Fragments:
         return np.maximum(self.x2[i] - self.x1[i], 0) * np.maximum(self.y2[i] - self.y1[i], 0)
 
     def later(self, i: int) -> np.ndarray:
-        return np.arange(i + 1, max(i + 1, np.searchsorted(self.y1, max(self.y1[i], self.y2[i]) + self.limits["gap"], "right")))
+        return np.arange(i + 1, i + 1 + np.searchsorted(self.y1[i + 1 : self.end[i]], max(self.y1[i], self.y2[i]) + self.limits["gap"], "right"))
 
     def earlier(self, i: int) -> np.ndarray:
-        steps = np.flatnonzero(self.deep[: i // self.STEP + 1] >= self.y1[i] - self.limits["gap"])
+        start = self.start[i]
+        steps = start // self.STEP + np.flatnonzero(self.deep[start // self.STEP : i // self.STEP + 1] >= self.y1[i] - self.limits["gap"])
         spots = (steps[:, None] * self.STEP + np.arange(self.STEP)).ravel()
-        return spots[spots < i]
+        return spots[(spots >= start) & (spots < i)]
 
     def join(self, i: int, j: int) -> None:
         self.x1[i], self.x2[i] = min(self.x1[i], self.x1[j]), max(self.x2[i], self.x2[j])
@@ -134,13 +144,27 @@ class _Fragments:
         return out[self.alive]
 
 
+def _whole_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Some thousand rows at a time, cut where a stretch begins (``_turn`` 1)."""
+    held = []
+    for batch in batches:
+        firsts = np.flatnonzero(batch.column("_turn").to_numpy() == 1)
+        if len(firsts) and (held or firsts[-1]):
+            yield pa.Table.from_batches([*held, batch.slice(0, firsts[-1])])
+            held, batch = [], batch.slice(firsts[-1])
+        held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def merge_fragments(regions: DataFrame, keys: Sequence[str], iou: float = 0.45, x_overlap: float = 0.82, gap: int = 20,
                     containment: float = 0.78, fragment: float = 0.12) -> DataFrame:
     """Merge regions of a band that overlap, or small ones stacked closely, until none is left to merge.
 
     Merged boxes never leave their stretch of rows, and merging bridges at most
-    ``gap`` rows.  Stretches further apart are therefore separate small tasks,
-    and a lone region skips Python.  A region without a box stays as it is.
+    ``gap`` rows.  Stretches further apart are therefore merged by themselves,
+    many of them in one Arrow batch, and a lone region skips Python.  A region
+    without a box stays as it is.
     """
     if containment <= 0:
         raise ValueError("containment must be positive")
@@ -153,7 +177,21 @@ def merge_fragments(regions: DataFrame, keys: Sequence[str], iou: float = 0.45,
     sized = named.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "_stretch")))
     several = (F.col("_n") > 1) & F.greatest("x1", "y1", "x2", "y2", "score", "area_ratio").isNotNull() & ~F.exists(F.array("x1", "y1", "x2", "y2"), F.isnull)
     crowded = sized.where(several).drop("_n")
-    fused = crowded.groupBy(*keys, "_stretch").applyInPandas(lambda part: _Fragments(part, limits).fused(), crowded.schema)
+    turn = F.row_number().over(Window.partitionBy(*keys, "_stretch").orderBy("y1_in", "x1_in", F.asc_nulls_last("region_id")))
+    listed = dealt(crowded, *keys, "_stretch").withColumn("_turn", turn).sortWithinPartitions(*keys, "_stretch", "_turn")
+    numbers = ["x1", "y1", "x2", "y2", "score", "area_ratio"]
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_stretches(batches):
+            part = table.select(numbers).to_pandas().assign(node_ids=table.column("node_ids").to_pylist())
+            merged = _Fragments(part, limits, np.flatnonzero(table.column("_turn").to_numpy() == 1)).fused()
+            out = table.drop_columns("_turn").take(merged.index.to_numpy())
+            for name in [*numbers, "node_ids"]:
+                at = out.schema.get_field_index(name)
+                out = out.set_column(at, out.schema.field(at), pa.array(merged[name].tolist(), out.schema.field(at).type))
+            yield from out.to_batches()
+
+    fused = listed.mapInArrow(fuse, crowded.schema)
     return fused.unionByName(sized.where(~several).drop("_n")).drop("_stretch", "y1_in", "x1_in")
 
 

@@ -62,6 +62,30 @@ def test_fragments_equal_starting_over():
         assert _fused(rows) == _fused_plainly(rows)
 
 
+def test_many_stretches_in_one_list_merge_as_each_by_itself():
+    rng = random.Random(17)
+    names = ["region_id", "x1", "y1", "x2", "y2", "score", "area_ratio", "node_ids"]
+    stretches = [sorted(_boxes(rng, rng.randrange(1, 90), 60, 900), key=lambda r: (r[2], r[1], r[0])) for _ in range(60)]
+    starts = np.cumsum([0, *map(len, stretches[:-1])])
+    out = regions._Fragments(pd.DataFrame(sum(stretches, []), columns=names), LIMITS, starts).fused()
+    got = [(r.region_id, r.x1, r.y1, r.x2, r.y2, r.score, round(r.area_ratio, 9), sorted(r.node_ids)) for r in out.itertuples()]
+    assert got == [r for rows in stretches for r in _fused(rows)]
+
+
+def test_stretches_are_whole_whatever_the_batches(spark):
+    rng = random.Random(18)
+    rows = [(band, *r) for band in range(40) for r in _boxes(rng, rng.randrange(1, 30), 200, 600)]
+    df = spark.createDataFrame(rows, "band int, region_id int, x1 int, y1 int, x2 int, y2 int, score double, area_ratio double, node_ids array<int>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = sorted(map(tuple, regions.merge_fragments(df, ["band"]).drop("area_ratio").collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = [(band, *r[:6], r[7]) for band in range(40) for r in _fused([r[1:] for r in rows if r[0] == band])]
+    assert got == sorted(want)
+    assert len(got) < len(rows)
+
+
 def test_five_thousand_fragments_are_merged_quickly():
     rows = list(_boxes(random.Random(13), 5000, 4000, 40_000))
     start = time.perf_counter()
