@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.geometry import Box
 from panelweave.functions.text import _ratio, edit_distance, edit_similarity
-from panelweave.operators import texts
+from panelweave.operators import rows, texts
 from panelweave.operators.spatial import nearest_by_center, touching_pairs
 from panelweave.plans import catalog
 from panelweave.plans.registry import PLANS, Tables
+from panelweave.session import tasks_for
 from panelweave.sources import readers, writers
 
 
@@ -110,3 +111,24 @@ def test_pairs_are_compared_once(spark):
 def test_blocks_are_looked_for_where_they_may_do():
     assert _ratio("abcd", "wxyz", 0.5) == 0.0 and _ratio("abcd", "abcx", 0.7) == _ratio("abcd", "abcx") == 0.75
     assert _ratio("abcd", "dcba", 0.9) == _ratio("abcd", "dcba") == 0.25
+
+
+def test_lines_are_worked_on_in_tasks_of_bounded_size(spark, monkeypatch):
+    rng = random.Random(21)
+    found = [(i % 5, rng.randrange(300), rng.randrange(60), rng.randrange(700, 1000), rng.randrange(60)) for i in range(4000)]
+    segments = spark.createDataFrame(found, "image_id int, sx1 int, sy1 int, sx2 int, sy2 int")
+    assert tasks_for(segments, 100) == 40
+    assert tasks_for(segments, 4000) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = rows.long_segments(segments, 1000)
+    spread = rows.line_density(lines, ["image_id"], 1000, 1000, tasks=40)
+    assert spread.rdd.getNumPartitions() == 40
+
+    def told(df):
+        return sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect())
+
+    assert told(spread) == told(rows.line_density(lines, ["image_id"], 1000, 1000))
+    few = told(rows.detect_hard_lines(segments, ["image_id"], 1000, 1000))
+    monkeypatch.setattr(rows, "tasks_for", lambda df: 40)
+    stored, tasks = rows.laid_lines(segments, ["image_id"], 1000)
+    assert (stored.rdd.getNumPartitions(), tasks) == (40, 40)
+    assert few and told(rows.detect_hard_lines(segments, ["image_id"], 1000, 1000)) == few
