@@ -9,7 +9,7 @@ from panelweave.operators import patches as P
 from panelweave.operators import scripts as S
 from panelweave.plans.catalog_patches import CROPS, GRAY, crops
 from panelweave.plans.registry import query
-from panelweave.session import shared_folder
+from panelweave.session import cut_lineage, shared_folder
 
 PANEL = ["panel_id"]
 # All texts of all conversations, and further blank ones.
@@ -95,10 +95,13 @@ def _(t):
     SELECT content_key, CASE WHEN bool_or(image_id%2=0) THEN 'cache' ELSE 'local' END AS backend, CAST(32 AS INT) AS width, 1e0 AS length FROM keyed GROUP BY 1""",
 )
 def _(t):
-    """Vectors of all patches, where those of the images of even number have been stored before."""
+    """Vectors of all patches, where those of the images of even number have been stored before.
+
+    Keys are stored once made: every step asks for them, and making them goes through the pixels of all patches.
+    """
     keys = ["image_id", "node_id"]
     patches = crops(t)
-    keyed = P.content_keys(patches, keys, "local:")
+    keyed = cut_lineage(P.content_keys(patches, keys, "local:"))
     store = shared_folder(t.spark, "patch-vectors")
 
     def local(missing):

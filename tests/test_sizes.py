@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions.geometry import Box
 from panelweave.functions.text import _ratio, edit_distance, edit_similarity
-from panelweave.operators import rows, texts
+from panelweave.operators import patches, rows, texts
 from panelweave.operators.spatial import nearest_by_center, touching_pairs
 from panelweave.plans import catalog
 from panelweave.plans.registry import PLANS, Tables
@@ -132,3 +132,23 @@ def test_lines_are_worked_on_in_tasks_of_bounded_size(spark, monkeypatch):
     stored, tasks = rows.laid_lines(segments, ["image_id"], 1000)
     assert (stored.rdd.getNumPartitions(), tasks) == (40, 40)
     assert few and told(rows.detect_hard_lines(segments, ["image_id"], 1000, 1000)) == few
+
+
+def test_keys_of_patches_are_made_once(spark, monkeypatch, tmp_path):
+    catalog.load()
+    spark.range(1000).selectExpr("id AS event_id", "CAST(id % 97 AS DOUBLE) AS value").write.parquet(str(tmp_path / "events.parquet"))
+    tables, made, plain = Tables(spark, str(tmp_path)), spark.sparkContext.accumulator(0), patches.content_keys
+
+    def counted(crops, keys, salt):
+        keyed = plain(crops, keys, salt)
+
+        def passed(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return keyed.mapInArrow(passed, keyed.schema)
+
+    monkeypatch.setattr(patches, "content_keys", counted)
+    assert PLANS["batch_embed"](tables).count() > 0
+    assert made.value == tables("pixels").select("image_id", "label").distinct().count()
