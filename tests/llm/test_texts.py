@@ -373,6 +373,22 @@ class _Counted:
         return self.values[rows]
 
 
+def test_search_reads_few_postings_of_common_terms():
+    rng, hashes = random.Random(12), WordHashes()
+    texts = [" ".join([rng.choice("abcdefgh") for _ in range(40)] + [f"r{rng.randrange(900)}" for _ in range(3)]).encode() for _ in range(600)]
+    texts[50] = texts[51] = texts[7]
+    bags = [bag(t, hashes) for t in texts]
+    index, asked = Index(packed(np.arange(600), bags), 43.0, 1.2, 0.75), [(t, c * 0.5) for t, c, _ in bags[:40]]
+    first = [index.best(t, w, 10) for t, w in asked]
+    assert {7, 50, 51} == set(first[7][0][:3].tolist()) and len({*first[7][1][:3].tolist()}) == 1
+    read = []
+    index.weight = _Counted(index.weight, read)
+    for (t, w), (ids, scores) in zip(asked, first):
+        again = index.best(t, w, 10, scores[-1])
+        assert again[0].tolist() == ids.tolist() and again[1].tolist() == scores.tolist()
+    assert sum(read) * 4 < sum(int(np.isin(t, terms).sum()) for terms, _ in asked for t, _, _ in bags)
+
+
 def test_every_query_row_is_answered(spark):
     docs = table(spark, [(d, f"a{d % 3} b{d % 5} c{d}", "s") for d in range(60)])
     answers = lambda rows: [(r.query_id, r["rank"], r.doc_id, round(r.score, 9)) for r in search(spark.createDataFrame(rows, "query_id long, text string"), docs, k=4).collect()]
