@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import slices, strings
+from panelweave.llm.common import begin, slices, strings
 
 WORD_BITS = 8
 BIT = [1 << i for i in range(1 << WORD_BITS)]
@@ -176,6 +176,7 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame
     """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("byte_bpe", codec.cache_clear)
         encoder = codec(rank_file, pattern)
         for piece in slices(batches):
             texts = strings(piece.column("text"))
@@ -194,6 +195,7 @@ def decode_documents(tokens: DataFrame, rank_file: str, pattern: str) -> DataFra
     """(doc_id, data): the bytes that ``ids`` stand for; null ids give no bytes."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("byte_bpe", codec.cache_clear)
         decoder = codec(rank_file, pattern)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -208,6 +210,7 @@ def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode, decode the ids again, and digest both, text by text."""
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("byte_bpe", codec.cache_clear)
         own = codec(rank_file, pattern)
         for piece in slices(batches):
             rows = []

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import slices, strings
+from panelweave.llm.common import begin, slices, strings
 
 SEGMENT = 128
 UNDECIDED = "und"
@@ -194,6 +194,7 @@ def predict(docs: DataFrame, network: Network, keep: list[str] = ["doc_id"]) ->
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("language_id")
         for piece in slices(batches, 1 << 20):
             texts = strings(piece.column("text"))
             lettered = [bool(LETTER.search(t)) for t in texts]

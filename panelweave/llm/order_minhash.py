@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import WordHashes, kept_table, mixed, slices, utf8, window_hashes
+from panelweave.llm.common import WordHashes, begin, kept_table, mixed, slices, utf8, window_hashes
 from panelweave.operators.rounds import components
 
 BLOCK = 1024
@@ -166,6 +166,7 @@ def near_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, minima
     needs_sketch = threshold * (short + 1) - 1e-9  # below, no text without exact keys can be near enough
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("order_minhash")
         hashes = WordHashes()
         for piece in slices(batches):
             rows = []

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelweave.llm.common import slices, strings, thinned
+from panelweave.llm.common import begin, slices, strings, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 NEAR = 4
@@ -281,6 +281,7 @@ def spans_of(docs: DataFrame, field: Field, keep: list[str] = ["doc_id"]) -> Dat
         return [{"kind": k, "start": s, "end": e} for k, found in zip(KINDS, spans) for s, e in found]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("personal_data")
         shapes = Shapes(field.shapes)
         for piece in slices(batches):
             texts = strings(piece.column("text"))

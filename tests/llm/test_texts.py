@@ -9,6 +9,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from pyspark.sql import functions as F
 
@@ -304,6 +305,22 @@ def test_alignment_equals_the_table():
         assert aligned(np.array(a, np.uint64), np.array(b, np.uint64), 20) == row[-1]
 
 
+def test_a_worker_forgets_what_the_step_before_remembered(spark):
+    class Given:
+        """A table whose ``mapInArrow`` gives the function that tasks would run."""
+
+        schema = []
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, fn, schema: fn
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "text": ["one two", "three"]})
+    encode, label = encode_documents(Given(), RANKS, public_tokenizers.PATTERN), language_id.predict(Given(), language_id.Network([], None, None, None), ["doc_id", "text"])
+    for step, left in ((encode, 1), (encode, 1), (label, 0), (encode, 1)):
+        assert sum(b.num_rows for b in step(iter([batch]))) == 2 if step is encode else next(step(iter([])), None) is None
+        assert codec.cache_info().currsize == left
+        assert not left or len(codec(RANKS, public_tokenizers.PATTERN).known) == 3
+
+
 def test_search_equals_scoring_all(spark):
     rng = random.Random(10)
     text = lambda n: " ".join(rng.choice(["The", "of", "A"]) if rng.random() < 0.4 else "t" + str(int(rng.expovariate(0.02))) for _ in range(n))
