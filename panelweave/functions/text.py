@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import difflib
-from collections import Counter
+from bisect import bisect_left
 
 import numpy as np
 import pandas as pd
@@ -88,20 +87,96 @@ def strip(text: Column) -> Column:
 def block_similarity(a: Column, b: Column, at_least: Column | None = None, normalized: bool = False) -> Column:
     """Matching-block ratio of the normalised texts; Arrow batches, for pairs already narrowed.
 
-    Pairs whose characters in common are too few to reach ``at_least`` give 0, without looking for blocks.
+    The ratio is that of ``difflib.SequenceMatcher``. Long pairs that cannot reach ``at_least`` give 0 as soon as that shows.
     """
     least = F.lit(0.0) if at_least is None else at_least
     return _block_ratio(a, b, least) if normalized else _block_ratio(normalize_text(a), normalize_text(b), least)
 
 
+#: ``difflib`` looks for no match at a character that makes up more than a hundredth of a second text this long.
+LONG_TEXT = 200
+
+
+def _longest_run(a: str, b: str, alo: int, ahi: int, blo: int, bhi: int, cap: int) -> tuple[int, int, int]:
+    """(size, i, j) of the longest run both ranges share, the first in ``a``, then in ``b``; none is longer than ``cap``."""
+    size, at, i, find = 0, (alo, blo), alo, b.find
+    while i + size < ahi and size < cap:
+        j = find(a[i : i + size + 1], blo, bhi)
+        while j >= 0:
+            size += 1
+            while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+                size += 1
+            at = i, j
+            j = find(a[i : i + size + 1], j + 1, bhi) if i + size < ahi and size < cap else -1
+        i += 1
+    return size, *at
+
+
+def _rare_places(a: str, b: str) -> tuple[list[int], dict[str, list[int]]]:
+    """Where ``a`` has characters that are in ``b`` and rare there, and where ``b`` has each of them."""
+    codes = np.frombuffer((b + a).encode("utf-32-le", "surrogatepass"), "<u4")
+    if codes.max() >= 1 << 16:
+        codes = np.unique(codes, return_inverse=True)[1]
+    n = len(b)
+    held = np.bincount(codes[:n], minlength=int(codes.max()) + 1)
+    rare = ((held > 0) & (held <= n // 100 + 1))[codes]
+    places: dict[str, list[int]] = {}
+    for j in np.flatnonzero(rare[:n]).tolist():
+        places.setdefault(b[j], []).append(j)
+    return np.flatnonzero(rare[n:]).tolist(), places
+
+
+def _longest_rare_run(a: str, b: str, spots: list[int], places: dict[str, list[int]], alo: int, ahi: int, blo: int, bhi: int, cap: int) -> tuple[int, int, int]:
+    """As ``_longest_run``, of rare characters only."""
+    size, at, last, runs = 0, (alo, blo), -2, {}
+    for s in range(bisect_left(spots, alo), bisect_left(spots, ahi)):
+        i = spots[s]
+        held, before, now = places[a[i]], runs if i == last + 1 else {}, {}
+        for j in held[bisect_left(held, blo) : bisect_left(held, bhi)]:
+            k = now[j] = before.get(j - 1, 0) + 1
+            if k > size:
+                size, at = k, (i - k + 1, j - k + 1)
+        if size == cap:
+            break
+        runs, last = now, i
+    return size, *at
+
+
+def _matching(a: str, b: str, at_least: float) -> int:
+    """Characters in the matching blocks of ``difflib.SequenceMatcher``; 0 once a long pair shows that its ratio is below ``at_least``.
+
+    The longest run splits both texts, and what lies on either side is split in turn. A run inside a range is no longer
+    than the range's own, so looking for it ends at that size.
+    """
+    bound, total, whole, long = min(len(a), len(b)), 0, len(a) + len(b), len(b) >= LONG_TEXT
+    rare = _rare_places(a, b) if long else None
+    todo = [(0, len(a), 0, len(b), bound)]
+    while todo:
+        alo, ahi, blo, bhi, cap = todo.pop()
+        size, i, j = run = _longest_rare_run(a, b, *rare, alo, ahi, blo, bhi, cap) if long else _longest_run(a, b, alo, ahi, blo, bhi, cap)
+        if long:  # a run of rare characters goes on over others, and none at all over those both ranges begin with
+            while i > alo and j > blo and a[i - 1] == b[j - 1]:
+                i, j, size = i - 1, j - 1, size + 1
+            while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+                size += 1
+        total += size
+        bound += size - min(ahi - alo, bhi - blo)
+        if run[0]:
+            for part in ((alo, i, blo, j), (i + size, ahi, j + size, bhi)):
+                if most := min(part[1] - part[0], part[3] - part[2]):
+                    bound += most
+                    todo.append((*part, run[0]))
+        if long and 2.0 * bound / whole < at_least:
+            return 0
+    return total
+
+
 def _ratio(a: str, b: str, at_least: float = 0.0) -> float:
     if a == b:
         return 1.0
     if not a or not b:
         return 0.0
-    if 2.0 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b)) < at_least:
-        return 0.0
-    return difflib.SequenceMatcher(a=a, b=b).ratio()
+    return 2.0 * _matching(a, b, at_least) / (len(a) + len(b))
 
 
 def _block_ratio(a: Column, b: Column, at_least: Column) -> Column:

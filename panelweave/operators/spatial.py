@@ -24,6 +24,15 @@ def _into_cells(df: DataFrame, box: Box, prefix: str, cell: int) -> DataFrame:
     return across.withColumn("_cy", _cells(F.col(f"_{prefix}y1"), F.col(f"_{prefix}y2"), cell))
 
 
+def touching(a: Box, b: Box) -> Column:
+    """Whether two closed boxes touch; a box whose edges are reversed ends where it starts, one without a low corner touches none."""
+    meet = [
+        F.greatest(low, o_low) <= F.least(F.greatest(high, low), F.greatest(o_high, o_low))
+        for low, high, o_low, o_high in ((a.x1, a.x2, b.x1, b.x2), (a.y1, a.y2, b.y1, b.y2))
+    ]
+    return meet[0] & meet[1] & a.x1.isNotNull() & a.y1.isNotNull() & b.x1.isNotNull() & b.y1.isNotNull()
+
+
 def touching_pairs(
     left: DataFrame, right: DataFrame, keys: Sequence[str], left_box: Box, right_box: Box, cell: int = 256, also: Column | None = None
 ) -> DataFrame:

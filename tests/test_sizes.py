@@ -1,10 +1,12 @@
 """Plans and files whose cost must follow the rows."""
 
+import difflib
 import os
 import random
 
 from pyspark.sql import functions as F
 
+from panelweave.functions import text
 from panelweave.functions.geometry import Box
 from panelweave.functions.text import _ratio, edit_distance, edit_similarity
 from panelweave.operators import patches, rows, texts
@@ -113,6 +115,32 @@ def test_blocks_are_looked_for_where_they_may_do():
     assert _ratio("abcd", "dcba", 0.9) == _ratio("abcd", "dcba") == 0.25
 
 
+def test_blocks_are_those_of_the_standard_library():
+    assert not hasattr(text, "difflib")
+    rng = random.Random(8)
+    for trial in range(400):
+        size = rng.choice([4, 30, 90, 199, 200, 260, 420])
+        letters = rng.choice(["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz\u6f22\u5b57\U0001f600"])
+        b = "".join(rng.choice(letters) for _ in range(size)) + "".join(map(chr, rng.sample(range(0x4E00, 0x4F00), trial % 3 * 9)))
+        a = "".join(rng.choice(("", c, c, c, c, c, c + "z", rng.choice(letters))) for c in b[:: rng.choice((1, 1, 1, -1))])
+        want, least = difflib.SequenceMatcher(a=a, b=b).ratio(), rng.random()
+        assert _ratio(a, b) == want and _ratio(a, b, least) in ((want,) if want >= least else (want, 0.0))
+
+
+def test_texts_move_once_to_be_compared(spark):
+    def sheet(first: int, change):
+        rows = [(page, first + i, change(f"line {i} of page {page}"), 10, 90 * i, 200, 90 * i + 40) for page in (1, 2, None) for i in range(12 - 6 * (page == 2))]
+        return spark.createDataFrame(rows, "page int, text_id long, text string, x1 int, y1 int, x2 int, y2 int")
+
+    layer, ocr = sheet(100, lambda text: text), sheet(500, lambda text: text.replace("e", "3"))
+    for similarity in ("edit", "blocks"):
+        alone = texts.match_edges(layer, ocr, ["page"], similarity=similarity)
+        assert len([line for line in _plan(alone).splitlines() if "Exchange" in line]) == 2
+        mixed, cells = (texts.match_edges(layer, ocr, ["page"], similarity=similarity, crowd=crowd) for crowd in (15, 1))
+        assert sorted(map(tuple, alone.collect())) == sorted(map(tuple, mixed.collect())) == sorted(map(tuple, cells.collect()))
+        assert sorted((r.page, r.layer_text_id, r.ocr_text_id) for r in alone.collect()) == [(page, 100 + i, 500 + i) for page in (1, 2) for i in range(18 - 6 * page)]
+
+
 def test_lines_are_worked_on_in_tasks_of_bounded_size(spark, monkeypatch):
     rng = random.Random(21)
     found = [(i % 5, rng.randrange(300), rng.randrange(60), rng.randrange(700, 1000), rng.randrange(60)) for i in range(4000)]
