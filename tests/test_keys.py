@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from panelweave.functions import errors, geometry
 from panelweave.functions.ocr_json import find_uris, general_boxes, json_nodes
+from panelweave.operators import rounds, spread, texts
 from panelweave.operators.layers import layer_paths
 from panelweave.operators.regions import dedup_regions, select_primary
 from panelweave.operators.spread import row_numbers, running_max, with_halo
@@ -85,3 +86,20 @@ def test_requests_and_images_at_the_edge(spark):
     assert [r.v for r in urls.select(errors.validate(F.col("u"), "url").alias("v")).collect()] == ["ok", "bad url", "bad url", "bad url"]
     sizes = spark.createDataFrame([(0, 500), (4000, 2000)], "w int, h int").select(*[c.alias(n) for c, n in zip(geometry.fit_within(F.col("w"), F.col("h"), 2000, 2000), "swh")])
     assert [tuple(r) for r in sizes.collect()] == [(1.0, 0, 500), (0.5, 2000, 1000)]
+
+
+def test_texts_are_not_stored_while_they_are_merged(spark, monkeypatch):
+    stored = []
+    for module in (texts, rounds, spread):
+        plain = module.cut_lineage
+        monkeypatch.setattr(module, "cut_lineage", lambda df, plain=plain: stored.append(df.columns) or plain(df))
+    kinds = f"page int, text_id string, text string, {BOX}"
+    layer = [(1, "a", "one", 0, 0, 50, 20), (1, "a", "other", 0, 100, 50, 120), (1, "b", "two", 0, 200, 50, 220), (1, "b", "two", 0, 200, 50, 220), (None, "c", "lost", 0, 0, 50, 20)]
+    ocr = [(1, "x", "two", 1, 201, 51, 221, 0.5), (1, "x", "two", 1, 201, 51, 221, 0.5), (1, "y", "far", 500, 500, 550, 520, 0.25), (None, "z", "none", 0, 0, 50, 20, 0.5)]
+    merged = merge_sources(spark.createDataFrame(layer, kinds), spark.createDataFrame(ocr, f"{kinds}, conf double"), ["page"])
+    assert stored and all({"text", "l_text", "o_text", "quad", "l_quad", "o_quad"}.isdisjoint(x) for x in stored)
+    got = sorted((r.page or 0, r.text_id, r.text, r.x1, r.y1, r.conf, r.merge_status, r.merge_group_id) for r in merged.collect())
+    assert got == [
+        (0, "text_001", "none", 0, 0, 0.5, "unmatched_ocr", None), (0, "text_002", "lost", 0, 0, 1.0, "unmatched_psd", None), (1, "text_001", "one", 0, 0, 1.0, "unmatched_psd", None),
+        (1, "text_002", "other", 0, 100, 1.0, "unmatched_psd", None), *((1, f"text_{n:03d}", "two", 1, 201, 1.0, "matched", "m_001") for n in (3, 4, 5, 6)), (1, "text_007", "far", 500, 500, 0.25, "unmatched_ocr", None),
+    ]

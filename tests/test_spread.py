@@ -172,3 +172,21 @@ def test_long_chains_take_few_jobs(spark, monkeypatch):
     stairs = spark.range(5000).select(F.col("id").alias("hi"), (F.col("id") + 1).alias("lo"))
     assert rounds.suppressed(stairs).agg(F.count("id"), F.min(F.col("id") % 2)).first()[:] == (2500, 1)
     assert len(written) < 40
+
+
+@pytest.mark.parametrize("most", [100_000, 20])
+def test_groups_are_matched_without_rounds(spark, monkeypatch, most):
+    rng = random.Random(most)
+    edges = {(g, rng.randrange(12), rng.randrange(12)): rng.choice([0.5, 0.7, 0.9]) for g in (1, 2, 3) for _ in range(9 * g)}
+    written = []
+    plain = rounds.cut_lineage
+    monkeypatch.setattr(rounds, "cut_lineage", lambda df: written.append(1) or plain(df))
+    df = spark.createDataFrame([(*e, w) for e, w in edges.items()], "g int, l int, r int, w double")
+    want, taken = [], set()
+    for (g, a, b), w in sorted(edges.items(), key=lambda e: (-e[1], *e[0])):
+        if not {(g, "l", a), (g, "r", b)} & taken:
+            want.append((g, a, b, w))
+            taken |= {(g, "l", a), (g, "r", b)}
+    got = rounds.matched(df, "l", "r", "w", most=most, within=["g"])
+    assert sorted(map(tuple, got.select("g", "l", "r", "w").collect())) == sorted(want)
+    assert (len(written) == 1) == (most > 20)
